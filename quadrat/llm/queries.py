@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadrat.llm import warc
+from quadrat.llm import ogg, packing, pii, tokencount, warc
 from quadrat.llm.common import shared_dir, table
 
 
@@ -30,5 +30,34 @@ SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha1(body) AS pay
 FROM r
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_warc": op1_warc}
+def vocabulary(name: str) -> str:
+    """The place of a public vocabulary file on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+def op7_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ogg.media_columns(table(spark, sf_dir, "documents"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
+    "op4_token_counts": op4_token_counts,
+    "op7_ogg": op7_ogg,
+    "op8_pii": op8_pii,
+    "op9_packing": op9_packing,
+}
 ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL}
