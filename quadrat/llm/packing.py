@@ -16,6 +16,7 @@ an empty table gives no rows. Extra columns are not read.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -35,49 +36,92 @@ END_ID = 1
 GROUP_ITEMS = 20_000
 #: A sequence filled less than this is opened for the exchange, also in a certified group.
 FULL_ENOUGH = 0.98
-#: Words whose ids a worker remembers; the memory is emptied beyond that.
-REMEMBERED = 400_000
+#: Chunks, and words, whose ids a worker remembers in each of two generations.
+REMEMBERED = 500_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 #: Chunks with other characters than these send their text through the tokenizer whole: its normaliser may then work
 #: across chunks, or its white space differ from Python's.
 _PLAIN = re.compile("[!-~ß-öø-đĕ-įĺ-ňŋ-ž]*")
+_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-ž]+|\d|[^a-zß-ž0-9]+")
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
+class Memory:
+    """A dictionary of bounded size: the older of two generations is dropped when the younger is full."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def missing(self, keys: set) -> list:
+        """Those of ``keys`` that aren't known; the others are young afterwards."""
+        if len(self.young) > self.size:
+            self.young, self.old = {}, self.young
+        out = []
+        for k in keys.difference(self.young):
+            found = self.old.get(k)
+            if found is None:
+                out.append(k)
+            else:
+                self.young[k] = found
+        return out
+
+
 class Encoder:
-    """Texts to little-endian 32-bit ids, with a memory of the chunks between white space.
+    """Texts to little-endian 32-bit ids, with memories of the chunks between white space and of the words in them.
 
-    The tokenizer lower-cases, drops white space and merges within a word only, so a chunk's ids don't depend on its
-    neighbours and each distinct chunk is tokenised once. A text with a chunk outside ``_PLAIN``, or with ``<|`` (which
+    The tokenizer lower-cases, drops white space and merges within a word only, so a word's ids don't depend on its
+    neighbours and each distinct word is tokenised once: those that a text brings go in one string, and are told apart
+    by the ids that end a word. A text with a chunk outside ``_PLAIN``, or with ``<|`` (which
     may start a special token), goes to the tokenizer as it is.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.chunks, self.words = Memory(REMEMBERED), Memory(REMEMBERED)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # of ids: whether they end a word
+        self.last[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
 
     def _direct(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _learn(self, chunks: set[str]) -> set[str]:
+        """Make chunks known; those that only their text can be tokenised with are returned."""
+        new = self.chunks.missing(chunks)
+        odd = {c for c in new if "<|" in c or not _PLAIN.fullmatch(c)}
+        new = [c for c in new if c not in odd] if odd else new
+        parts = [_WORDS.findall(c) for c in new]
+        unknown = self.words.missing({w for ws in parts for w in ws})
+        words, known = self.words.young, self.chunks.young
+        if unknown:
+            ids = np.asarray(self.tokenizer.encode(" ".join(unknown), add_special_tokens=False).ids, "<u4")
+            data, at = ids.tobytes(), 0
+            for w, end in zip(unknown, ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist(), strict=True):
+                words[w], at = data[at:end], end
+        for c, ws in zip(new, parts):
+            known[c] = words[ws[0]] if len(ws) == 1 else b"".join(map(words.__getitem__, ws))
+        return odd
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text; the new chunks of all texts are made known together."""
+        for at in range(0, len(texts), 256):
+            part = texts[at : at + 256]
+            split = [t.lower().split() for t in part]
+            odd = self._learn(set().union(*split))
+            known = self.chunks.young
+            for text, chunks in zip(part, split):
+                if any(c in text for c in _SEPARATORS) or odd and not odd.isdisjoint(chunks):
+                    yield self._direct(text)
+                else:
+                    yield b"".join(map(known.__getitem__, chunks))
+
     def __call__(self, text: str) -> bytes:
-        if any(c in text for c in _SEPARATORS):
-            return self._direct(text)
-        known, chunks = self.known, text.lower().split()
-        try:
-            return b"".join([known[c] for c in chunks])
-        except KeyError:
-            pass
-        if len(known) > REMEMBERED:
-            known.clear()
-        for c in set(chunks).difference(known):
-            if "<|" in c or not _PLAIN.fullmatch(c):
-                return self._direct(text)
-            known[c] = self._direct(c)
-        return b"".join([known[c] for c in chunks])
+        return next(self.encode([text]))
 
 
 @lru_cache(maxsize=2)
@@ -89,11 +133,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     """``PIECES`` of every document."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = _encoder(tokenizer_path), np.asarray([end_id], "<u4").tobytes()
+        encode, end = _encoder(tokenizer_path).encode, np.asarray([end_id], "<u4").tobytes()
         for ids, texts in rows_of(batches, "doc_id", "text"):
             out: list[list] = [[], [], [], [], []]
-            for doc, text in zip(ids, texts):
-                data = encode(text or "") + end
+            for doc, data in zip(ids, encode([t or "" for t in texts])):
+                data += end
                 for n, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]
                     for column, value in zip(out, (doc, n, at // 4, len(part) // 4, zlib.crc32(part))):
