@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadrat.llm import ogg, packing, pii, tokencount, warc
+from quadrat.llm import ogg, packing, pii, simhash, tokencount, warc
 from quadrat.llm.common import shared_dir, table
 
 
@@ -41,6 +41,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_columns(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op4_token_counts": op4_token_counts,
+    "op5_simhash": op5_simhash,
     "op7_ogg": op7_ogg,
     "op8_pii": op8_pii,
     "op9_packing": op9_packing,
