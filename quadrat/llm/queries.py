@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadrat.llm import ogg, packing, pii, simhash, tokencount, warc
+from quadrat.llm import ogg, packing, pii, simhash, suffix, tokencount, warc
 from quadrat.llm.common import shared_dir, table
 
 
@@ -57,6 +57,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op4_token_counts": op4_token_counts,
@@ -64,5 +68,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_ogg": op7_ogg,
     "op8_pii": op8_pii,
     "op9_packing": op9_packing,
+    "op10_suffix": op10_suffix,
 }
 ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL}
