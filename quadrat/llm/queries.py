@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadrat.llm import ogg, packing, pii, simhash, suffix, tokencount, warc
+from quadrat.llm import decontaminate, ogg, packing, pii, simhash, suffix, tokencount, warc
 from quadrat.llm.common import shared_dir, table
 
 
@@ -30,6 +30,10 @@ SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha1(body) AS pay
 FROM r
 """
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def vocabulary(name: str) -> str:
     """The place of a public vocabulary file on this machine."""
     import public_tokenizers
@@ -63,6 +67,7 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op3_decontamination": op3_decontamination,
     "op4_token_counts": op4_token_counts,
     "op5_simhash": op5_simhash,
     "op7_ogg": op7_ogg,
