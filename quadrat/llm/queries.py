@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadrat.llm import decontaminate, ogg, packing, pii, simhash, suffix, tokencount, warc
+from quadrat.llm import decontaminate, langid, ogg, packing, pii, simhash, suffix, tokencount, warc
 from quadrat.llm.common import shared_dir, table
 
 
@@ -49,6 +49,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_columns(table(spark, sf_dir, "documents"))
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op4_token_counts": op4_token_counts,
     "op5_simhash": op5_simhash,
+    "op6_language": op6_language,
     "op7_ogg": op7_ogg,
     "op8_pii": op8_pii,
     "op9_packing": op9_packing,
