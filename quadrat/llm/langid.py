@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quadrat.llm.common import tune
 
@@ -291,7 +292,7 @@ def predict(docs: DataFrame, model: Model | None, column: str = "text") -> DataF
             ]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "lang_pred", "score"])
 
-    schema = docs.schema.add("lang_pred", "string").add("score", "double")
+    schema = StructType([*docs.schema.fields]).add("lang_pred", "string").add("score", "double")
     return docs.mapInArrow(tag, schema)
 
 
