@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadrat.llm import decontaminate, langid, ogg, packing, pii, simhash, suffix, tokencount, warc
+from quadrat.llm import decontaminate, extract, langid, ogg, packing, pii, simhash, suffix, tokencount, warc
 from quadrat.llm.common import shared_dir, table
 
 
@@ -30,6 +30,10 @@ SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha1(body) AS pay
 FROM r
 """
 
+def op2_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -71,6 +75,7 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_extract": op2_extract,
     "op3_decontamination": op3_decontamination,
     "op4_token_counts": op4_token_counts,
     "op5_simhash": op5_simhash,
