@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quadrat.llm.common import rows_of, spread, stored, tune
 from quadrat.llm.components import components
@@ -201,13 +202,41 @@ def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
     return found.unionByName(deep.mapInArrow(_search(True), "u long, v long"))
 
 
-def near_duplicates(docs: DataFrame, width: int = SHINGLE, hot: int = HOT) -> DataFrame:
-    """``doc_id, fingerprint, component_id`` of every document."""
+def classes(docs: DataFrame, width: int = SHINGLE, hot: int = HOT) -> DataFrame:
+    """``doc_id, fp, root, component_id`` of every document; ``root`` names the component by a fingerprint."""
     tune(docs.sparkSession)
     own = stored(fingerprints(docs, width))
     nodes = stored(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(nodes.select("fp"), hot))
     named = nodes.join(roots.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = named.join(ids, "root").select("fp", "component_id")
-    return own.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return own.join(named.join(ids, "root").select("fp", "root", "component_id"), "fp")
+
+
+def near_duplicates(docs: DataFrame, width: int = SHINGLE, hot: int = HOT) -> DataFrame:
+    """``doc_id, fingerprint, component_id`` of every document."""
+    return classes(docs, width, hot).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+def deduplicate(docs: DataFrame, width: int = SHINGLE, hot: int = HOT) -> DataFrame:
+    """``docs`` with one document of each component: the one with the least id, and the least fingerprint among rows
+    of that id; of equal rows, one. All columns are kept."""
+    least = (
+        classes(docs, width, hot)
+        .groupBy("root")
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("one"))
+        .select(F.coalesce("one.doc_id", F.lit(-(1 << 62))).alias("_sh_id"), F.col("one.fp").alias("_sh_fp"))
+    )
+    columns = docs.columns
+    schema = StructType([*docs.schema.fields]).add("_sh_fp", "long")
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            found = pa.array([signed(fingerprint(t, width)) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, "_sh_fp"])
+
+    keyed = docs.mapInArrow(add, schema).withColumn("_sh_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))))
+    return keyed.join(least, ["_sh_id", "_sh_fp"]).dropDuplicates(["_sh_id", "_sh_fp"]).select(*columns)
