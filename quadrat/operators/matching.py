@@ -114,10 +114,11 @@ def average_precision(preds: DataFrame, positives: DataFrame) -> DataFrame:
 
 def merge_boxes(boxes: DataFrame, by: str = "image_id") -> DataFrame:
     """Overlapping boxes of an image joined pair by pair until none overlap: the box around both, the class of the more
-    confident one, the mean confidence. Images are independent; an image holds few boxes."""
+    confident one, the mean confidence. Partitions are sorted by image and streamed, one image in memory at a time."""
+    names = boxes.columns
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        items = rows.sort_values(["x1", "y1", "x2", "y2", "class_id", "conf"]).to_dict("records")
+    def join(items: list[dict]) -> list[dict]:
+        items.sort(key=lambda r: (r["x1"], r["y1"], r["x2"], r["y2"], r["class_id"], r["conf"]))
         at = 0
         while at < len(items):
             a = items[at]
@@ -132,9 +133,21 @@ def merge_boxes(boxes: DataFrame, by: str = "image_id") -> DataFrame:
                 "y1": min(a["y1"], b["y1"]), "x2": max(a["x2"], b["x2"]), "y2": max(a["y2"], b["y2"]),
             }
             at = 0
-        return pd.DataFrame(items, columns=rows.columns)
+        return items
 
-    return boxes.groupBy(by).applyInPandas(one, boxes.schema)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[dict] = []
+        for batch in batches:
+            out = []
+            for row in batch.to_dict("records"):
+                if held and held[-1][by] != row[by]:
+                    out += join(held)
+                    held = []
+                held.append(row)
+            yield pd.DataFrame(out, columns=names)
+        yield pd.DataFrame(join(held), columns=names)
+
+    return boxes.repartition(by).sortWithinPartitions(by).mapInPandas(run, boxes.schema)
 
 
 def _meet(a: dict, b: dict) -> bool:
