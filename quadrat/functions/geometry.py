@@ -7,8 +7,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it: without this, nested builders would repeat
+    their argument's expression tree at every use."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def points(coords: Column) -> Column:
     """``array<struct<x, y>>`` of flat coordinates; a last odd value is left out."""
+    return bound(coords, _points)
+
+
+def _points(coords: Column) -> Column:
     n = F.floor(F.size(coords) / 2).cast("int")
     return F.when(n < 1, F.array().cast("array<struct<x:double,y:double>>")).otherwise(
         F.transform(
@@ -20,6 +30,10 @@ def points(coords: Column) -> Column:
 
 def polygon_area(coords: Column) -> Column:
     """Shoelace area. Fewer than three points have area 0."""
+    return bound(coords, _polygon_area)
+
+
+def _polygon_area(coords: Column) -> Column:
     n = F.floor(F.size(coords) / 2).cast("int")
 
     def term(i: Column) -> Column:
@@ -50,6 +64,10 @@ def pixel_area(coords: Column, width: Column, height: Column) -> Column:
 
 def bbox(coords: Column) -> Column:
     """Smallest box around a polygon."""
+    return bound(coords, _bbox)
+
+
+def _bbox(coords: Column) -> Column:
     xs = F.filter(coords, lambda c, i: i % 2 == 0)
     ys = F.filter(coords, lambda c, i: i % 2 == 1)
     return F.struct(
@@ -117,21 +135,20 @@ def clip(coords: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Colu
     """``array<struct<x, y>>``: the polygon cut to a rectangle, one half-plane after the other. Parts of a concave
     polygon stay joined by edges of no area, so the area is exact."""
 
-    def half(ring: Column, axis: str, bound: Column, keep_less: bool) -> Column:
+    none = F.array().cast("array<struct<x:double,y:double>>")
+
+    def half(ring: Column, axis: str, limit: Column, keep_less: bool) -> Column:
         def inside(p: Column) -> Column:
-            return p[axis] <= bound if keep_less else p[axis] >= bound
+            return p[axis] <= limit if keep_less else p[axis] >= limit
 
         def crossing(p: Column, q: Column) -> Column:
-            t = (bound - p[axis]) / (q[axis] - p[axis])
-            x = bound if axis == "x" else p["x"] + t * (q["x"] - p["x"])
-            y = bound if axis == "y" else p["y"] + t * (q["y"] - p["y"])
+            t = (limit - p[axis]) / (q[axis] - p[axis])
+            x = limit if axis == "x" else p["x"] + t * (q["x"] - p["x"])
+            y = limit if axis == "y" else p["y"] + t * (q["y"] - p["y"])
             return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
-        n = F.size(ring)
-
-        def step(q: Column, i: Column) -> Column:
-            p = F.get(ring, (i + n - 1) % n)
-            none = F.array().cast("array<struct<x:double,y:double>>")
+        def edge(e: Column) -> Column:
+            p, q = e["p"], e["q"]
             return (
                 F.when(inside(q) & inside(p), F.array(q))
                 .when(inside(q), F.array(crossing(p, q), q))
@@ -139,11 +156,16 @@ def clip(coords: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Colu
                 .otherwise(none)
             )
 
-        return F.flatten(F.transform(ring, step))
+        def cut(r: Column) -> Column:
+            n = F.size(r)
+            edges = F.transform(r, lambda q, i: F.struct(F.get(r, (i + n - 1) % n).alias("p"), q.alias("q")))
+            return F.flatten(F.transform(edges, edge))
+
+        return bound(ring, cut)
 
     ring = points(coords)
-    for axis, bound, less in (("x", x0, False), ("x", x1, True), ("y", y0, False), ("y", y1, True)):
-        ring = half(ring, axis, bound, less)
+    for axis, limit, less in (("x", x0, False), ("x", x1, True), ("y", y0, False), ("y", y1, True)):
+        ring = half(ring, axis, limit, less)
     return ring
 
 
@@ -158,6 +180,10 @@ def clipped_area(coords: Column, x0: Column, y0: Column, x1: Column, y1: Column)
 
 def centroid(coords: Column) -> Column:
     """Centre of area; the middle of the box where the area is 0."""
+    return bound(coords, _centroid)
+
+
+def _centroid(coords: Column) -> Column:
     n = F.floor(F.size(coords) / 2).cast("int")
     zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
 
@@ -170,12 +196,16 @@ def centroid(coords: Column) -> Column:
         )
 
     total = F.aggregate(F.sequence(F.lit(0), n - 1), zero, add)
-    box = bbox(coords)
-    usable = (n >= 3) & (total["a"] != 0)
-    return F.struct(
-        F.when(usable, total["x"] / (3 * total["a"])).otherwise((box["x1"] + box["x2"]) / 2).alias("x"),
-        F.when(usable, total["y"] / (3 * total["a"])).otherwise((box["y1"] + box["y2"]) / 2).alias("y"),
-    )
+
+    def centre(v: Column) -> Column:
+        sums, box = v["sums"], v["box"]
+        usable = (n >= 3) & (sums["a"] != 0)
+        return F.struct(
+            F.when(usable, sums["x"] / (3 * sums["a"])).otherwise((box["x1"] + box["x2"]) / 2).alias("x"),
+            F.when(usable, sums["y"] / (3 * sums["a"])).otherwise((box["y1"] + box["y2"]) / 2).alias("y"),
+        )
+
+    return bound(F.struct(total.alias("sums"), bbox(coords).alias("box")), centre)
 
 
 def affine(coords: Column, matrix: list[list[float]]) -> Column:
@@ -191,7 +221,10 @@ def affine(coords: Column, matrix: list[list[float]]) -> Column:
 
 def is_simple(coords: Column) -> Column:
     """Whether no two edges that aren't neighbours cross or touch."""
-    p = points(coords)
+    return bound(points(coords), _is_simple)
+
+
+def _is_simple(p: Column) -> Column:
     n = F.size(p)
 
     def turn(a: Column, b: Column, c: Column) -> Column:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quadrat.functions import names as N
 
@@ -37,7 +36,7 @@ def label_lines(spark: SparkSession, path: str | list[str], min_tokens: int = 9,
     rows = raw.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"), _tokens(F.col("value")).alias("t"))
     rows = rows.withColumns(
         {
-            "class_id": F.expr("try_cast(t[0] AS int)") if min_tokens == 0 else F.expr("try_cast(get(t, 0) AS int)"),
+            "class_id": F.expr("try_cast(get(t, 0) AS int)"),
             "coords": F.expr("transform(slice(t, 2, greatest(size(t) - 1, 0)), x -> try_cast(x AS double))"),
         }
     )
@@ -58,9 +57,13 @@ def ground_truth(spark: SparkSession, path: str) -> DataFrame:
 
 
 def label_states(spark: SparkSession, image_path: str, label_path: str) -> DataFrame:
-    """``stem, state`` of images; empty label files are found by their size, as they have no lines."""
+    """``stem, state`` of images. Readers give no row for a file of no bytes, so empty label files are those that the
+    index lists (it is on the driver anyway) and no reader returns."""
     found = listing(spark, image_path).select(N.stem(F.col("path")).alias("stem")).distinct()
-    sizes = listing(spark, label_path, ("txt",)).select(N.stem(F.col("path")).alias("stem"), "length")
+    rows = listing(spark, label_path, ("txt",))
+    sized = rows.select(N.stem(F.col("path")).alias("stem"), F.col("length").alias("_size"))
+    listed = spark.createDataFrame([(f,) for f in rows.inputFiles()], "path string").select(N.stem(F.col("path")).alias("stem"))
+    sizes = listed.distinct().join(sized, "stem", "left").select("stem", F.coalesce("_size", F.lit(0)).alias("length"))
     state = F.when(F.col("length") > 0, "non_empty").when(F.col("length") == 0, "empty").otherwise("missing")
     return found.join(sizes, "stem", "left").select("stem", state.alias("state"))
 
@@ -77,7 +80,7 @@ def pairs(spark: SparkSession, image_path: str, label_path: str, positional: boo
     return order(a, "image_path").join(order(b, "label_path"), "_rn").drop("_rn")
 
 
-COCO = T.StructType.fromDDL(
+COCO = (
     "info struct<description:string,date_created:string>, images array<struct<id:bigint,file_name:string,width:int,height:int>>, "
     "annotations array<struct<id:bigint,image_id:bigint,category_id:bigint,bbox:array<double>,area:double,"
     "segmentation:array<array<double>>,iscrowd:int>>, categories array<struct<id:bigint,name:string>>"
@@ -90,7 +93,7 @@ def coco(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {k: doc.select(F.inline(k)) for k in ("images", "annotations", "categories")}
 
 
-CVAT = T.StructType.fromDDL(
+CVAT = (
     "_id bigint, _name string, _width int, _height int, polygon array<struct<_label:string,_points:string>>, "
     "mask array<struct<_label:string,_rle:string,_left:int,_top:int,_width:int,_height:int>>, "
     "box array<struct<_label:string,_xtl:double,_ytl:double,_xbr:double,_ybr:double>>"
