@@ -19,6 +19,14 @@ def listing(spark: SparkSession, path: str | list[str], extensions: tuple[str, .
     return rows.where(N.extension(F.col("path")).isin([e.lower().lstrip(".") for e in extensions])) if any_case else rows
 
 
+def with_empty(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """``path, length`` of a listing and of its files without a byte. Readers give no row for those; the index, which is
+    on the driver anyway, has them."""
+    plain = F.regexp_replace("path", "^file:/+", "file:/")
+    listed = spark.createDataFrame([(f,) for f in rows.inputFiles()], "path string").select(plain.alias("path"))
+    return listed.join(rows.select(plain.alias("path"), "length"), "path", "left").fillna(0, ["length"])
+
+
 def images(spark: SparkSession, path: str) -> DataFrame:
     """``path, height, width`` of images that can be decoded."""
     rows = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", "true").load(path)
@@ -57,13 +65,9 @@ def ground_truth(spark: SparkSession, path: str) -> DataFrame:
 
 
 def label_states(spark: SparkSession, image_path: str, label_path: str) -> DataFrame:
-    """``stem, state`` of images. Readers give no row for a file of no bytes, so empty label files are those that the
-    index lists (it is on the driver anyway) and no reader returns."""
+    """``stem, state`` of images."""
     found = listing(spark, image_path).select(N.stem(F.col("path")).alias("stem")).distinct()
-    rows = listing(spark, label_path, ("txt",))
-    sized = rows.select(N.stem(F.col("path")).alias("stem"), F.col("length").alias("_size"))
-    listed = spark.createDataFrame([(f,) for f in rows.inputFiles()], "path string").select(N.stem(F.col("path")).alias("stem"))
-    sizes = listed.distinct().join(sized, "stem", "left").select("stem", F.coalesce("_size", F.lit(0)).alias("length"))
+    sizes = with_empty(spark, listing(spark, label_path, ("txt",))).select(N.stem(F.col("path")).alias("stem"), "length")
     state = F.when(F.col("length") > 0, "non_empty").when(F.col("length") == 0, "empty").otherwise("missing")
     return found.join(sizes, "stem", "left").select("stem", state.alias("state"))
 
@@ -71,7 +75,7 @@ def label_states(spark: SparkSession, image_path: str, label_path: str) -> DataF
 def pairs(spark: SparkSession, image_path: str, label_path: str, positional: bool = False) -> DataFrame:
     """``image_path, label_path`` by stem; ``positional`` pairs the i-th of both in order of name instead."""
     a = listing(spark, image_path).select(F.col("path").alias("image_path"), N.stem(F.col("path")).alias("stem"))
-    b = listing(spark, label_path, ("txt",)).select(F.col("path").alias("label_path"), N.stem(F.col("path")).alias("stem"))
+    b = with_empty(spark, listing(spark, label_path, ("txt",))).select(F.col("path").alias("label_path"), N.stem(F.col("path")).alias("stem"))
     if not positional:
         return a.join(b, "stem").select("image_path", "label_path")
     from quadrat.session import ranked
