@@ -39,6 +39,8 @@ BUCKETS = 1 << BUCKET_BITS
 ROUNDS = 40
 UND = "und"
 REMEMBERED = 200_000
+#: Language labels up to which their counts are broadcast.
+MANY_LANGUAGES = 100_000
 #: Words times languages that forward-backward holds at once.
 AREA = 1 << 19
 _WORD = re.compile(r"[^\W\d_]+")
@@ -242,6 +244,8 @@ def sample(rows: DataFrame, per_language: int = PER_LANGUAGE, window: int = WIND
     """About ``per_language`` windows of each language of (doc_id, text, lang), by a hash of the id."""
     rows = rows.where("lang is not null and text is not null and doc_id is not null")
     counts = rows.groupBy("lang").count()
+    if counts.count() <= MANY_LANGUAGES:  # else a plain join; texts must not be dealt by language, most may have one
+        counts = F.broadcast(counts)
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     few = rows.join(counts, "lang").where(chance * F.col("count") < per_language).select("doc_id", "text", "lang")
 
