@@ -279,10 +279,12 @@ def _tagger(key: int, model: Model) -> Tagger:
     return _TAGGERS[key]
 
 
-def predict(docs: DataFrame, model: Model | None, column: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``; only ``column`` is looked at."""
+def predict(
+    docs: DataFrame, model: Model | None, column: str = "text", into: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
+    """``docs`` with the language and its score in the columns ``into``; only ``column`` is looked at."""
     if model is None:
-        return docs.withColumns({"lang_pred": F.lit(UND), "score": F.lit(0.0)})
+        return docs.withColumns({into[0]: F.lit(UND), into[1]: F.lit(0.0)})
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,9 +296,9 @@ def predict(docs: DataFrame, model: Model | None, column: str = "text") -> DataF
                 pa.array([x[0] for x in found], pa.string()),
                 pa.array([x[1] for x in found], pa.float64()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *into])
 
-    schema = StructType([*docs.schema.fields]).add("lang_pred", "string").add("score", "double")
+    schema = StructType([*docs.schema.fields]).add(into[0], "string").add(into[1], "double")
     return docs.mapInArrow(tag, schema)
 
 
@@ -316,7 +318,6 @@ def identify(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame, min_score: float = 0.3) -> DataFrame:
     """``docs`` without those whose language can't be told."""
     model = train(docs.where(~held_out()).select(F.col("doc_id").cast("long"), "text", "lang"))
-    columns = docs.columns
-    text = docs.select(*columns, F.col("text").alias("_lid_text"))
-    tagged = predict(text, model, "_lid_text")
-    return tagged.where((F.col("lang_pred") != UND) & (F.col("score") >= min_score)).select(*columns)
+    tagged = predict(docs, model, "text", ("_lid_language", "_lid_score"))
+    kept = tagged.where((F.col("_lid_language") != UND) & (F.col("_lid_score") >= min_score))
+    return kept.select(*docs.columns)
