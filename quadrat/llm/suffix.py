@@ -241,7 +241,8 @@ def verdicts(marks: DataFrame, docs: DataFrame, length: int, kgram: int, bucket:
     seen = stored(
         marks.groupBy("kh", "ch").agg(F.count("*").alias("n"), F.min(F.struct("r1", "r2", "a", "lo", "hi")).alias("one"))
     )
-    mixed = seen.groupBy("kh").agg(F.count("*").alias("contexts")).where("contexts > 1")
+    # stored, so that both sides of the join below are plain exchanges, which adaptive execution splits at a hot k-gram
+    mixed = stored(seen.groupBy("kh").agg(F.count("*").alias("contexts")).where("contexts > 1"))
     wanted = (
         seen.join(mixed, "kh")
         .groupBy("one.r1", "one.r2")
