@@ -63,3 +63,68 @@ def class_lookup(rois: DataFrame, master: DataFrame, name: str, order: str, valu
     """Regions with the class of the first master row of their name, else ``Not Found``."""
     first = master.groupBy(name).agg(F.min_by(value, order).alias(value))
     return rois.join(first, name, "left").withColumn(value, F.coalesce(F.col(value).cast("string"), F.lit("Not Found")))
+
+
+def windows(images: DataFrame, size: int = 3000) -> DataFrame:
+    """Batch windows without overlap, clipped at the image's edge."""
+    starts = lambda c: F.sequence(F.lit(0), F.col(c).cast("int") - 1, F.lit(size))
+    rows = images.select("image_id", "width", "height", F.explode(starts("width")).alias("x0"))
+    rows = rows.select("*", F.explode(starts("height")).alias("y0"))
+    return rows.select(
+        "image_id", "x0", "y0", F.least(F.col("x0") + size, F.col("width")).alias("x1"), F.least(F.col("y0") + size, F.col("height")).alias("y1")
+    )
+
+
+def thumbnails(df: DataFrame, rank: str, per_row: int) -> DataFrame:
+    """Row and column of each item of a ranked list (from 1)."""
+    at = F.col(rank) - 1
+    return df.withColumns({"row": F.floor(at / per_row).cast("long"), "col": (at % per_row).cast("long")})
+
+
+def transform_boxes(df: DataFrame, matrix: list[list[float]], width: float, height: float, area_thr: float = 0.1) -> DataFrame:
+    """Boxes around their corners under a 3 x 3 matrix, clipped to the canvas; those that aren't usable go."""
+    from quadrat.operators.filters import box_candidates
+
+    moved = G.affine(G.box_polygon(*(F.col(c) for c in ("x1", "y1", "x2", "y2"))), matrix)
+    rows = df.withColumn("_b", G.bbox(moved))
+    clip = lambda c, top: F.least(F.greatest(F.col(f"_b.{c}"), F.lit(0.0)), F.lit(float(top)))
+    rows = rows.withColumns({"nx1": clip("x1", width), "ny1": clip("y1", height), "nx2": clip("x2", width), "ny2": clip("y2", height)})
+    w1, h1 = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    return rows.where(box_candidates(w1, h1, F.col("nx2") - F.col("nx1"), F.col("ny2") - F.col("ny1"), area_thr=area_thr)).drop("_b")
+
+
+def partners(df: DataFrame, key: str, seed: int) -> DataFrame:
+    """Each sample with another one to be mixed with: the next in random order."""
+    from quadrat.session import ranked_randomly
+
+    ranks = ranked_randomly(df.select(key), seed, key, "_rn")
+    total = ranks.agg(F.max("_rn").alias("_n"))
+    after = ranks.select(F.col(key).alias("partner"), F.col("_rn").alias("_at"))
+    joined = ranks.crossJoin(F.broadcast(total)).join(after, (F.col("_rn") % F.col("_n")) + 1 == F.col("_at"))  # one row
+    return joined.select(key, "partner")
+
+
+def formatted(df: DataFrame, width: float, height: float) -> DataFrame:
+    """Centre, width and height as fractions of the image."""
+    return df.withColumns(
+        {
+            "xc": (F.col("x1") + F.col("x2")) / 2 / width, "yc": (F.col("y1") + F.col("y2")) / 2 / height,
+            "bw": (F.col("x2") - F.col("x1")) / width, "bh": (F.col("y2") - F.col("y1")) / height,
+        }
+    )
+
+
+def class_texts(df: DataFrame, by: str, classes: list[str], most: int, seed: int) -> DataFrame:
+    """``texts`` of each sample: its own classes and, up to ``most``, others in a random order of its own; ``labels``
+    are places in it."""
+    rows = df.groupBy(by).agg(F.sort_array(F.collect_set("class_id")).alias("own"))
+    others = F.filter(F.sequence(F.lit(0), F.lit(len(classes) - 1)), lambda c: ~F.array_contains("own", c))
+    order = F.transform(
+        F.array_sort(F.transform(others, lambda c: F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(by).cast("string"), c.cast("string")).cast("binary")).alias("o"), c.alias("c")))),
+        lambda s: s["c"],
+    )
+    kept = F.slice(F.concat("own", order), 1, most)
+    names = F.array(*map(F.lit, classes))
+    return rows.select(by, "own", kept.alias("kept")).select(
+        by, F.transform("kept", lambda c: F.get(names, c)).alias("texts"), F.transform("own", lambda c: (F.array_position("kept", c) - 1).cast("int")).alias("labels")
+    )

@@ -164,3 +164,52 @@ def predict(images: DataFrame, load, schema: str) -> DataFrame:
             yield model(batch)
 
     return images.mapInPandas(run, schema)
+
+
+def suppress(preds: DataFrame, key: str, threshold: float = 0.2, same_class: bool = False) -> DataFrame:
+    """Predictions left after greedy suppression inside each image: by falling confidence (then the key), one goes if a
+    kept one covers at least ``threshold`` of the smaller box. ``preds``: image_id, class_id, conf, x1, y1, x2, y2, key."""
+    item = F.struct((-F.col("conf")).alias("o"), F.col(key).alias("k"), "class_id", "x1", "y1", "x2", "y2")
+    grouped = preds.groupBy("image_id").agg(F.sort_array(F.collect_list(item)).alias("_c"))
+    zero = F.filter("_c", lambda c: F.lit(False))
+
+    def take(kept, c):
+        def hides(k):
+            cover = G.intersection_area(k, c) / F.least(G.box_area(k), G.box_area(c))
+            return (cover >= threshold) & (k["class_id"] == c["class_id"]) if same_class else cover >= threshold
+
+        return F.when(F.exists(kept, hides), kept).otherwise(F.concat(kept, F.array(c)))
+
+    out = grouped.select("image_id", F.explode(F.aggregate("_c", zero, take)).alias("m"))
+    return out.select("image_id", F.col("m.k").alias(key), (-F.col("m.o")).alias("conf"))
+
+
+def raster_iou(a: str, b: str, size: int = 640):
+    """Overlap of two polygons (flat coordinates in 0 to ``size``) counted on pixel centres: for shapes whose exact
+    overlap isn't a composition of built-in expressions."""
+    import numpy as np
+
+    @F.pandas_udf("double")
+    def overlap(p: pd.Series, q: pd.Series) -> pd.Series:
+        y, x = np.mgrid[0:size, 0:size] + 0.5
+
+        def fill(flat) -> np.ndarray:
+            points = np.asarray(flat, float)[: len(flat) // 2 * 2].reshape(-1, 2)
+            inside = np.zeros((size, size), bool)
+            for (x0, y0), (x1, y1) in zip(points, np.roll(points, -1, axis=0)):
+                if y0 != y1:
+                    crosses = (y0 > y) != (y1 > y)
+                    inside ^= crosses & (x < (x1 - x0) * (y - y0) / (y1 - y0) + x0)
+            return inside
+
+        out = []
+        for one, two in zip(p, q):
+            if one is None or two is None:
+                out.append(None)
+                continue
+            m, n = fill(one), fill(two)
+            union = np.count_nonzero(m | n)
+            out.append(np.count_nonzero(m & n) / union if union else 0.0)
+        return pd.Series(out, dtype="float64")
+
+    return overlap(a, b)

@@ -813,6 +813,107 @@ def hourly_events(spark, d):
     )
 
 
+# ---- selection, validation, augmentation of labels -----------------------------------------------------------------
+
+
+@query("""SELECT o_orderkey, dataset FROM (SELECT o_orderkey, o_orderpriority AS dataset, month(o_orderdate) AS m, o_custkey % 20 AS t, o_clerk_s AS s
+    FROM (SELECT *, concat('S', CAST(o_custkey % 5 AS STRING)) AS o_clerk_s FROM orders)) WHERE m IN (1, 2, 3) AND t IN (4, 5) AND contains(s, 'S4')""")
+def image_selection(spark, d):
+    """C8."""
+    rows = table(spark, d, "orders").select(
+        "o_orderkey", F.col("o_orderpriority").alias("dataset"), F.month("o_orderdate").alias("month"), (F.col("o_custkey") % 20).alias("tile"),
+        F.concat(F.lit("S"), (F.col("o_custkey") % 5).cast("string")).alias("species"),
+    )
+    return filters.select_images(rows, months=[1, 2, 3], species="S4", tiles=[4, 5]).select("o_orderkey", "dataset")
+
+
+@query("""SELECT image_id, l_partkey, l_suppkey, l_linenumber, price, least(x1, 500) AS x1, least(y1, 400) AS y1, least(x2, 500) AS x2, least(y2, 400) AS y2
+    FROM v_labels WHERE least(x1, 500) < least(x2, 500) AND least(y1, 400) < least(y2, 400)""")
+def crop_boxes(spark, d):
+    """C15."""
+    rows = view(spark, d, "v_labels").withColumns({"width": F.lit(500), "height": F.lit(400)})
+    return filters.crop_boxes(rows).select("image_id", *KEY, "x1", "y1", "x2", "y2")
+
+
+@query("""SELECT dataset, CASE WHEN n_images = 0 THEN 'no image exists' WHEN n_labels = 0 THEN 'no label file exists' ELSE '' END AS message,
+    n_images > 0 AND n_labels > 0 AS ok FROM (SELECT dataset, count(*) AS n_images, count(*) FILTER (state <> 'missing') AS n_labels FROM v_state GROUP BY dataset)""")
+def manifest_validation(spark, d):
+    """C18, C19."""
+    found = view(spark, d, "v_state").groupBy("dataset").agg(F.count("*").alias("n_images"), F.count_if(F.col("state") != "missing").alias("n_labels"))
+    flags = {c: F.lit(True) for c in ("has_manifest", "has_names", "has_path", "has_list")}
+    return filters.invalid_manifest(found.withColumns({**flags, "n_listed": F.col("n_images"), "n_bad_paths": F.lit(0)})).select("dataset", "message", "ok")
+
+
+@query("""SELECT image_id, CAST(i * 900 AS INT) AS x0, CAST(j * 900 AS INT) AS y0, least(i * 900 + 900, width) AS x1, least(j * 900 + 900, height) AS y1
+    FROM v_images, LATERAL (SELECT unnest(range((width + 899) // 900)) AS i) a, LATERAL (SELECT unnest(range((height + 899) // 900)) AS j) b""")
+def batch_windows(spark, d):
+    """J4, J11."""
+    return boxes.windows(view(spark, d, "v_images"), 900)
+
+
+@query("""SELECT doc_id, (rn - 1) // 7 AS row, (rn - 1) % 7 AS col FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn FROM documents)""")
+def thumbnail_grid(spark, d):
+    """J8."""
+    ranks = S.ranked_by_number(table(spark, d, "documents").select("doc_id"), "doc_id", "rn")
+    return boxes.thumbnails(ranks, "rn", 7).select("doc_id", "row", "col")
+
+
+@query("""WITH b AS (SELECT *, least(greatest(0.5 * x1 + 10, 0), 300) AS nx1, least(greatest(0.5 * y1 - 20, 0), 300) AS ny1,
+      least(greatest(0.5 * x2 + 10, 0), 300) AS nx2, least(greatest(0.5 * y2 - 20, 0), 300) AS ny2 FROM v_labels)
+    SELECT image_id, l_partkey, l_suppkey, l_linenumber, price, nx1, ny1, nx2, ny2 FROM b WHERE nx2 - nx1 > 2 AND ny2 - ny1 > 2
+      AND (nx2 - nx1) * (ny2 - ny1) / ((x2 - x1) * (y2 - y1) + 1e-16) > 0.1
+      AND greatest((nx2 - nx1) / (ny2 - ny1 + 1e-16), (ny2 - ny1) / (nx2 - nx1 + 1e-16)) < 100""")
+def perspective_boxes(spark, d):
+    """M5, I46."""
+    out = boxes.transform_boxes(view(spark, d, "v_labels"), [[0.5, 0.0, 10.0], [0.0, 0.5, -20.0], [0.0, 0.0, 1.0]], 300, 300)
+    return out.select("image_id", *KEY, "nx1", "ny1", "nx2", "ny2")
+
+
+@query("""WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY md5(concat('5:', CAST(doc_id AS VARCHAR))), doc_id) AS rn, count(*) OVER () AS n FROM documents)
+    SELECT a.doc_id, b.doc_id AS partner FROM r a JOIN r b ON a.rn % a.n + 1 = b.rn""")
+def mix_partners(spark, d):
+    """M2, M4."""
+    return boxes.partners(table(spark, d, "documents"), "doc_id", 5)
+
+
+@query("""SELECT image_id, l_partkey, l_suppkey, l_linenumber, price, (x1 + x2) / 2 / 1280 AS xc, (y1 + y2) / 2 / 960 AS yc,
+    (x2 - x1) / 1280 AS bw, (y2 - y1) / 960 AS bh FROM v_labels""")
+def label_format(spark, d):
+    """M11, I36."""
+    out = boxes.formatted(view(spark, d, "v_labels"), 1280, 960)
+    return out.select("image_id", *KEY, "xc", "yc", "bw", "bh")
+
+
+@query()
+def class_texts(spark, d):
+    """Own classes first, then others in a seeded order."""
+    out = boxes.class_texts(view(spark, d, "v_labels"), "image_id", ["a", "n", "r", "x", "y"], 4, 3)
+    return out.select("image_id", F.array_join("texts", ",").alias("texts"), F.array_join(F.col("labels").cast("array<string>"), ",").alias("labels"))
+
+
+@query()
+def suppressed_predictions(spark, d):
+    """Greedy suppression by intersection over the smaller box; tested against a plain loop."""
+    return matching.suppress(predictions(spark, d), "pred_id")
+
+
+@query("""SELECT s AS seed, n AS train_size, r AS run, c AS conf FROM (SELECT unnest([1, 2, 3]) AS s) a, (SELECT unnest(range(10, 101, 10)) AS n) b,
+    (SELECT unnest(range(3)) AS r) e, (SELECT unnest([0.001, 0.3, 0.5, 0.7]) :: DOUBLE AS c) f""")
+def experiment_grid(spark, d):
+    """A small table of parameters."""
+    grid = spark.range(1).select(F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("seed"))
+    grid = grid.select("*", F.explode(F.sequence(F.lit(10), F.lit(100), F.lit(10)).cast("array<bigint>")).alias("train_size"))
+    grid = grid.select("*", F.explode(F.sequence(F.lit(0), F.lit(2)).cast("array<bigint>")).alias("run"))
+    return grid.select("*", F.explode(F.array(*map(F.lit, (0.001, 0.3, 0.5, 0.7)))).alias("conf"))
+
+
+@query("""SELECT week, month, count(*) AS n FROM (SELECT week(o_orderdate) AS week, month(o_orderdate) AS month FROM orders) GROUP BY week, month""")
+def weeks_and_months(spark, d):
+    """Distinct attributes with their sizes."""
+    rows = table(spark, d, "orders").select(F.weekofyear("o_orderdate").alias("week"), F.month("o_orderdate").alias("month"))
+    return rows.groupBy("week", "month").agg(F.count("*").alias("n"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_filter_stats(spark, sf_dir)
 

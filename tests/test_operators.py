@@ -157,3 +157,25 @@ def test_annotations_of_predictions(spark):
     out = coco.from_predictions(df, {"x": 2}).collect()
     assert [(r.id, r.category_id) for r in out] == [(1, 2)]
     assert boxes.flip(df.select("box.*"), F.lit(10), F.lit(10)).first().x1 == 8
+
+
+def test_suppress_and_raster(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(40):
+        x, y = rng.random() * 20, rng.random() * 20
+        rows.append((i % 3, 0, round(rng.random(), 1), x, y, x + 1 + rng.random() * 6, y + 1 + rng.random() * 6, f"k{i:02d}"))
+    df = spark.createDataFrame(rows, "image_id long, class_id int, conf double, x1 double, y1 double, x2 double, y2 double, k string")
+    want = set()
+    for image in range(3):
+        kept = []
+        for r in sorted((r for r in rows if r[0] == image), key=lambda r: (-r[2], r[7])):
+            def cover(q):
+                w, h = min(r[5], q[5]) - max(r[3], q[3]), min(r[6], q[6]) - max(r[4], q[4])
+                return max(w, 0) * max(h, 0) / min((a[5] - a[3]) * (a[6] - a[4]) for a in (r, q)) if w > 0 and h > 0 else 0
+            if all(cover(q) < 0.2 for q in kept):
+                kept.append(r)
+        want |= {(image, r[7]) for r in kept}
+    assert {(r.image_id, r.k) for r in matching.suppress(df, "k").collect()} == want
+    two = spark.createDataFrame([([0.0, 0.0, 10.0, 0.0, 10.0, 10.0, 0.0, 10.0], [5.0, 0.0, 15.0, 0.0, 15.0, 10.0, 5.0, 10.0])], "a array<double>, b array<double>")
+    assert two.select(matching.raster_iou("a", "b", 32).alias("x")).first().x == pytest.approx(1 / 3)
