@@ -84,6 +84,14 @@ def test_extract(spark):
     assert extract.extract(pages.limit(0)).count() == 0
 
 
+def test_furniture():
+    page = (
+        "<body><main><p title='a hidden class=ad'>keep</p><p hidden>no</p><div class=\"cookie-banner\">no</div><section id=comments>no</section>"
+        "<form><p>no</p></form><aside>no</aside><div role='complementary'>no</div><ul><li>one<li>two</ul><p class='lead'>last<b>x</b></main><p>out"
+    )
+    assert extract.main_text(extract.blocks(page), None) == "keep\none\ntwo\nlastx"
+
+
 @pytest.mark.parametrize("text", ["<" * 50000, "<a " * 20000, "<p>" * 20000, "<!--" * 20000, "<li>" * 10000, '<a "' * 20000])
 def test_extract_odd(text):
     extract.blocks(text)
