@@ -85,7 +85,7 @@ def alive_or_dead(df: DataFrame, alive: list[int], dead: list[int] = (6, 7), col
     return df.where(F.col(column).isin([*alive, *dead])).withColumn(column, F.when(F.col(column).isin(list(dead)), 1).otherwise(0))
 
 
-def coral_type(kind: Column) -> Column:
+def specimen_type(kind: Column) -> Column:
     """Two types by name: ``Platy`` with or without blanks, else ``Acro``."""
     return F.when(F.trim(kind) == "Platy", "Platy").otherwise("Acro")
 
