@@ -907,7 +907,7 @@ def experiment_grid(spark, d):
     return grid.select("*", F.explode(F.array(*map(F.lit, (0.001, 0.3, 0.5, 0.7)))).alias("conf"))
 
 
-@query("""SELECT week, month, count(*) AS n FROM (SELECT week(o_orderdate) AS week, month(o_orderdate) AS month FROM orders) GROUP BY week, month""")
+@query("""SELECT week, month, count(*) AS n FROM (SELECT CAST(week(o_orderdate) AS INT) AS week, CAST(month(o_orderdate) AS INT) AS month FROM orders) GROUP BY week, month""")
 def weeks_and_months(spark, d):
     """Distinct attributes with their sizes."""
     rows = table(spark, d, "orders").select(F.weekofyear("o_orderdate").alias("week"), F.month("o_orderdate").alias("month"))
