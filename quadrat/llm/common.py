@@ -39,21 +39,19 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
 
 
-def stored(df: DataFrame, *, by: str | None = None) -> DataFrame:
-    """``df`` written to the shared folder and read back: cuts lineage and survives lost executors.
-
-    The folder is deleted when the session ends (deleteOnExit of its file system).
-    """
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder; deleted when the session ends (deleteOnExit of its file system)."""
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    if by:
-        writer = writer.partitionBy(by)
-    writer.parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back: cuts lineage and survives lost executors."""
+    path = scratch(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, *columns: str) -> DataFrame:

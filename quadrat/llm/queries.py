@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quadrat.llm import decontaminate, extract, langid, ogg, packing, pii, simhash, suffix, tokencount, warc
-from quadrat.llm.common import shared_dir, table
+from quadrat.llm.common import scratch, table
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = scratch(spark)
     warc.write_archive(table(spark, sf_dir, "pages"), path)
     return warc.read_archive(spark, path)
 
