@@ -37,6 +37,8 @@ LENGTH = 400
 KGRAM = 64
 #: Contexts of one k-gram that one bucket takes.
 BUCKET = 2000
+#: With more than so many times ``BUCKET``, each window goes to a bucket by itself, by distance and hash.
+WIDE = 50
 #: Window starts that are worked on at once; arrays of 8 bytes each.
 CHUNK = 1 << 19
 _PLACE = np.uint64((1 << 21) - 1)
@@ -144,7 +146,7 @@ _CONTEXT = "lead binary, salt long, kh long, ch long, n long, t int, body binary
 
 def _contexts(length: int, kgram: int, bucket: int):
     """Contexts of the wanted anchors of each document, dealt to salts where their k-gram has many."""
-    spans = length - kgram + 1
+    spans, wide = length - kgram + 1, WIDE * bucket
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, size = [], 0
@@ -153,8 +155,8 @@ def _contexts(length: int, kgram: int, bucket: int):
                 for m in marks:
                     a, lo, hi, many = m["a"], m["lo"], m["hi"], m["contexts"]
                     lead = text[a : a + kgram]
-                    salts = min(spans, -(-many // bucket))
-                    fine = -(-many // (bucket * spans))
+                    salts = spans if many > wide else min(spans, -(-many // bucket))
+                    fine = -(-many // wide)
                     step = -(-spans // salts)
                     for s in range((lo - a + spans - 1) // step, (hi - a + spans - 1) // step + 1):
                         first, last = max(lo, a - spans + 1 + s * step), min(hi, a - spans + s * step + step)
@@ -178,17 +180,28 @@ def repeated_windows(groups: np.ndarray, shifts: np.ndarray, bodies: list[bytes]
     width = 128
     while width > length:
         width //= 2
-    data = np.frombuffer(b"".join(bodies), np.uint8)
-    hashes = _rolling(data, width)
     counts = np.array([len(b) - length + 1 for b in bodies])
-    starts = np.concatenate(([0], np.cumsum([len(b) for b in bodies])[:-1]))
     total = int(counts.sum())
     inside = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
-    at = np.repeat(starts, counts) + inside
+    offsets = [*range(0, length - width, width), length - width]
+    chars = [np.empty(total, np.uint64) for _ in offsets]  # of each window; a lot of bodies is hashed at a time
+    done = lot = 0
+    while lot < len(bodies):
+        upto, size = lot, 0
+        while upto < len(bodies) and (upto == lot or size < CHUNK):
+            size += len(bodies[upto])
+            upto += 1
+        hashes = _rolling(np.frombuffer(b"".join(bodies[lot:upto]), np.uint8), width)
+        n = counts[lot:upto]
+        sizes = np.array([len(b) for b in bodies[lot:upto]])
+        at = np.repeat(np.cumsum(sizes) - sizes, n) + inside[done : done + int(n.sum())]
+        for char, offset in zip(chars, offsets):
+            char[done : done + len(at)] = hashes[at + offset]
+        done, lot = done + len(at), upto
     tie = np.repeat(groups, counts) * 4096 + np.repeat(shifts, counts) + inside + 2048
     rows = np.arange(total)
-    for offset in [*range(0, length - width, width), length - width]:
-        char = hashes[at[rows] + offset]
+    for column in chars:
+        char = column[rows]
         order = np.lexsort((char, tie))
         rows, tie, char = rows[order], tie[order], char[order]
         new = np.concatenate(([True], (tie[1:] != tie[:-1]) | (char[1:] != char[:-1])))

@@ -481,5 +481,16 @@ def test_repeats(spark, n, k, bucket):
     assert Counter(map(tuple, got)) == slow_repeats(rows, n)
 
 
+def test_repeats_of_one_kgram(spark, monkeypatch):
+    """Many contexts around one k-gram, each window in a bucket by itself."""
+    monkeypatch.setattr(suffix, "WIDE", 2)
+    rng = random.Random(11)
+    text = lambda m: "".join(rng.choice("abcdefgh") for _ in range(m))
+    sides = [text(30) for _ in range(6)]
+    rows = [(i, text(9) + rng.choice(sides)[rng.randrange(9) :] + "A" * 8 + rng.choice(sides)[: 30 - rng.randrange(9)]) for i in range(80)]
+    got = suffix.remove_repeats(docs_of(spark, rows), 40, 8, 2).collect()
+    assert Counter(map(tuple, got)) == slow_repeats(rows, 40)
+
+
 def test_no_documents(spark):
     assert suffix.remove_repeats(docs_of(spark, ODD).limit(0)).count() == 0
