@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrat.llm import decontaminate, langid, packing, pii, simhash
+from quadrat.llm import decontaminate, langid, nearcopies, packing, pii
 from quadrat.llm.common import stored, table
 from quadrat.llm.queries import vocabulary
 
@@ -18,8 +18,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return simhash.deduplicate(docs)
+    """One document of each group of near copies: five-word shingles, Jaccard 0.8 or more."""
+    return nearcopies.deduplicate(docs)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
