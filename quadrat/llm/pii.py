@@ -105,20 +105,23 @@ _DOTS, _PLUS = ("dot", "punkt", "point", "punto"), ("+", "plus")
 _TOKEN = re.compile(
     rf"(?<![^\W_])(?:{_DIGIT_WORD}|plus|{'|'.join(_DOTS)})(?![^\W_])|[0-9]++|\+|(?<=[^\W_])\.(?=[^\W_])", re.I
 )
-_BLANKS = str.maketrans({c: " " for c in ",-+.()"})
 
 
 def _spells(low: str) -> bool:
-    """Whether three digits follow each other as words, the first of them spelled (dot words left out)."""
-    words = low.translate(_BLANKS).split() if not low.isascii() else low.encode().translate(_ASCII_BLANKS).decode().split()
+    """Whether a spelled digit has a digit, dot or plus word next to it, on either side. Every run that ``spelled``
+    rewrites has one, whatever stands between; words are what it takes for words."""
+    words = low.encode().translate(_ASCII_WORDS).decode().split() if low.isascii() else _WORDS.findall(low)
     for i in [i for i, w in enumerate(words) if w in _SPELLED]:
-        near = [w for w in words[i + 1 : i + 6] if w not in _DOTS][:2]
-        if len(near) == 2 and all(w in _SPELLED or w.isdigit() for w in near):
-            return True
+        for w in words[max(0, i - 1) : i] + words[i + 1 : i + 2]:
+            if w in _BESIDE or w[0] in _ASCII_DIGITS or w[-1] in _ASCII_DIGITS:
+                return True
     return False
 
 
-_ASCII_BLANKS = bytes(32 if chr(b) in ",-+.()" else b for b in range(256))
+_BESIDE = frozenset((*_SPELLED, *_DOTS, "plus"))
+_ASCII_DIGITS = frozenset("0123456789")
+_ASCII_WORDS = bytes(b if chr(b).isalnum() and b < 128 else 32 for b in range(256))
+_WORDS = re.compile(r"[^\W_]+")
 _SIGN = r" *+(at|dot|ät|arroba|punkt|punto|point|@|\.) *+"
 _BRACKETED = re.compile(rf"(?<! ) *+(?:\[{_SIGN}\]|\({_SIGN}\)|\{{{_SIGN}\}}|<{_SIGN}>) *+", re.I)
 _ENTITY = re.compile(r"&#0*64;|&#x0*40;|&commat;|%40|(&#0*46;|&#x0*2e;|&period;)", re.I)
