@@ -3,16 +3,16 @@
 1. The words of the benchmark are counted in the whole corpus. A seed begins at each word of an item and is the shortest
    n-gram from there whose expected rate under independent words is at most ``RARE``. Being rare is thus a matter of its
    words, not of how often it was copied: a leak in every document still has its seeds.
-2. Documents are scanned for seeds. Hits of an item near one diagonal make a candidate passage.
+2. Documents are scanned for seeds. Hits of an item near one diagonal, or a single one, make a candidate passage.
 3. A candidate is aligned with the whole item by words (match 2, mismatch -1, gap -1). The score is the best local
    alignment's over that of the item with itself; a pair counts from ``MIN_SCORE`` on.
 
 The benchmark goes to the workers in blocks of at most ``BLOCK_WORDS`` words, found by its measured size; every block is
 held against all documents. There is no shuffle of documents and nothing grows with pairs.
 
-Defined cases: a null or blank text or item matches nothing; items under ``SHORT`` words need every word; a null id is
-kept; repeated rows give repeated rows; empty tables give no pairs. Extra columns are not read by ``leaks``;
-``decontaminate`` keeps them.
+Defined cases: a null or blank text or item matches nothing; items under ``SHORT`` words need every word; an item of
+one word is no passage and is skipped, as it would take every document with that word; a null id is kept; repeated rows
+give repeated rows; empty tables give no pairs. Extra columns are not read by ``leaks``; ``decontaminate`` keeps them.
 """
 
 from __future__ import annotations
@@ -108,19 +108,15 @@ class Index:
         for k, own in sorted(hits.items()):
             item_id, item = self.items[k]
             m = len(item)
-            if m >= SHORT and len({at for _, at in own}) < 2:
-                continue
             slack = m // 2 + 1
             passages: list[list[int]] = []
             for lo in sorted(i - at - slack for i, at in own):
                 if passages and lo <= passages[-1][1]:
-                    passages[-1][1], passages[-1][2] = lo + m + 2 * slack, passages[-1][2] + 1
+                    passages[-1][1] = lo + m + 2 * slack
                 else:
-                    passages.append([lo, lo + m + 2 * slack, 1])
+                    passages.append([lo, lo + m + 2 * slack])
             best = (0, 0, 0)
-            for lo, hi, n in passages:
-                if n < 2 and m >= SHORT:
-                    continue
+            for lo, hi in passages:
                 lo = max(0, lo)
                 for a in range(lo, min(hi, len(ids)), 8 * m + 4096):  # pieces overlap by more than an alignment is long
                     score, begin, end = align(item, ids[a : min(hi, a + 12 * m + 4096)])
