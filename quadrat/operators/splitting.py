@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -100,48 +101,94 @@ def split_counts(df: DataFrame, ratios: Sequence[float] = RATIOS) -> DataFrame:
     )
 
 
-def exact_groups(counts: Sequence[tuple], ratios: Sequence[float] = RATIOS, grid: int = 400) -> tuple[dict, float]:
+#: Groups whose assignments are met in the middle, in two halves of at most 3^11 sums each.
+MIDDLE = 22
+
+
+def _sums(sizes: Sequence[int], total: int) -> np.ndarray:
+    """What train and val can hold, which splits are used (bits), and one assignment (base 3) for each such case."""
+    out = np.zeros((4, 1), np.int64)
+    for i, n in enumerate(sizes):
+        steps = ((n, 0, 1, 0), (0, n, 2, 3**i), (0, 0, 4, 2 * 3**i))
+        parts = [np.stack((out[0] + da, out[1] + db, out[2] | bit, out[3] + code)) for da, db, bit, code in steps]
+        out = np.concatenate(parts, axis=1)
+        _, first = np.unique((out[0] * (total + 1) + out[1]) * 8 + out[2], return_index=True)
+        out = out[:, first]
+    return out
+
+
+def exact_groups(counts: Sequence[tuple], ratios: Sequence[float] = RATIOS) -> tuple[dict, float]:
     """The assignment of group values (value, n) with the least weighted deviation, none of the splits empty.
 
-    Dynamic programming over what train and val hold; exact while totals fit the grid, else counts are rounded to it.
-    The groups are the few values of one field, gathered on the driver.
+    Branch and bound over the largest groups; the last ``MIDDLE`` are met in the middle: sums of one half in cells, and
+    for each sum of the other those within the best deviation so far. It ends when that is the least that any sums
+    could have, or when all is searched. The groups are the few values of one field, gathered on the driver.
     """
     check_ratios(ratios)
     order = sorted(counts, key=lambda c: (-c[1], str(c[0])))
     if len(order) <= 3:
         out = dict(zip((v for v, _ in order), SPLITS))
         return out, _objective(order, out, ratios)
-    total = sum(n for _, n in order)
-    unit = max(1, -(-total // grid))
-    sizes = [max(1, round(n / unit)) for _, n in order]
-    room = sum(sizes) + 1
-    best = np.full((8, room, room), np.inf)  # bits: which splits hold something; then what train and val hold
-    best[0, 0, 0] = 0
-    steps = []
-    for n in sizes:
-        new = np.full_like(best, np.inf)
-        came = np.full(best.shape, -1, np.int8)
-        for used in range(8):
-            for s, (da, db) in enumerate(((n, 0), (0, n), (0, 0))):
-                to = used | 1 << s
-                old = best[used, : room - da, : room - db]
-                part = new[to, da:, db:]
-                better = old < part
-                part[better] = old[better]
-                came[to, da:, db:][better] = s + 3 * used
-        steps.append((came, best))
-        best = new
-    a, b = np.meshgrid(np.arange(room), np.arange(room), indexing="ij")
-    whole = sum(sizes)
-    cost = sum(w * abs(x - whole * r) for w, x, r in zip(EXACT_WEIGHTS, (a, b, whole - a - b), ratios))
-    cost = np.where(np.isfinite(best[7]), cost, np.inf)
-    x, y = np.unravel_index(int(cost.argmin()), cost.shape)
-    out, used = {}, 7
-    for (value, _), n, (came, _) in zip(reversed(order), reversed(sizes), reversed(steps)):
-        code = int(came[used, x, y])
-        s, used = code % 3, code // 3
-        out[value] = SPLITS[s]
-        x, y = x - n * (s == 0), y - n * (s == 1)
+    sizes = [int(n) for _, n in order]
+    total, step = sum(sizes), max(1, math.gcd(*sizes))
+    goals = [total * r for r in ratios]
+
+    def cost(a, b):
+        return sum(w * abs(x - g) for w, x, g in zip(EXACT_WEIGHTS, (a, b, total - a - b), goals))
+
+    near = [[(int(g // step) + k) * step for k in range(-2, 4)] for g in goals[:2]]
+    bound = min(cost(a, b) for a in near[0] for b in near[1]) + 1e-6
+    cut = max(0, len(order) - MIDDLE)
+    one, two = _sums(sizes[cut::2], total), _sums(sizes[cut + 1 :: 2], total)
+    one = one[:, np.random.default_rng(42).permutation(one.shape[1])]
+    best, found = np.inf, None
+    stack: list[tuple[tuple[int, ...], int, int, int]] = [((), 0, 0, 0)]  # splits of the largest, train, val, bits
+    while stack and best > bound:
+        prefix, a0, b0, used = stack.pop()
+        over = [max(0, x - g) for x, g in zip((a0, b0, sum(sizes[: len(prefix)]) - a0 - b0), goals)]
+        if sum((w + min(EXACT_WEIGHTS)) * o for w, o in zip(EXACT_WEIGHTS, over)) > best:
+            continue
+        if len(prefix) < cut:
+            n = sizes[len(prefix)]
+            held = (a0, b0, sum(sizes[: len(prefix)]) - a0 - b0)
+            for s in sorted(range(3), key=lambda s: goals[s] - held[s]):  # the emptiest is searched first
+                stack.append(((*prefix, s), a0 + n * (s == 0), b0 + n * (s == 1), used | 1 << s))
+            continue
+        at, take, side = 0, 300, np.inf
+        while at < one.shape[1] and best > bound:
+            room = best / min(EXACT_WEIGHTS[:2]) + 1 if found else total + 1.0
+            if 1.5 * room < side:  # cells no narrower than the deviation leaves room for
+                side = room
+                row, column = (two[:2] // side).astype(np.int64)
+                width = int(total // side) + 3
+                dealt = np.argsort(keys := row * width + column, kind="stable")
+                keys, side_sums = keys[dealt], two[:, dealt]
+            part = one[:, at : at + take]
+            rows = np.floor((goals[0] - a0 - part[0]) / side).astype(np.int64) + np.array([[-1], [0], [1]])
+            columns = np.floor((goals[1] - b0 - part[1]) / side).astype(np.int64)
+            lo = np.searchsorted(keys, rows * width + np.maximum(columns - 1, 0)).ravel()
+            hi = np.searchsorted(keys, rows * width + np.minimum(columns + 1, width - 1), "right").ravel()
+            hi = np.maximum(lo, hi)
+            if (ends := np.cumsum(hi - lo))[-1] > 4_000_000 and part.shape[1] > 1:
+                take = max(1, part.shape[1] // 2)
+                continue
+            at += part.shape[1]
+            take = min(1 << 16, 2 * take)
+            if not ends[-1]:
+                continue
+            i = np.repeat(np.tile(np.arange(part.shape[1]), 3), hi - lo)
+            j = np.arange(ends[-1]) - np.repeat(ends - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)
+            values = cost(a0 + part[0, i] + side_sums[0, j], b0 + part[1, i] + side_sums[1, j])
+            values = np.where(used | part[2, i] | side_sums[2, j] == 7, values, np.inf)
+            k = int(values.argmin())
+            if values[k] < best:
+                best, found = float(values[k]), (prefix, int(part[3, i[k]]), int(side_sums[3, j[k]]))
+    prefix, left, right = found
+    splits = list(prefix) + [0] * (len(order) - cut)
+    for first, code in ((cut, left), (cut + 1, right)):
+        for k in range(first, len(order), 2):
+            code, splits[k] = divmod(code, 3)
+    out = {value: SPLITS[s] for (value, _), s in zip(order, splits)}
     return out, _objective(order, out, ratios)
 
 
