@@ -55,22 +55,22 @@ VIEWS: dict[str, str] = {
         FROM events""",
     "v_groups": "SELECT c_nationkey AS value, c_mktsegment AS stratum, c_custkey AS image_id FROM customer",
     "v_coco_images_base": """
-        SELECT doc_id AS id, concat(source, '/', CAST(doc_id AS STRING), '.jpg') AS file_name FROM documents WHERE doc_id < 500""",
+        SELECT doc_id AS id, concat(source, '/', CAST(doc_id AS STRING), '.jpg') AS file_name FROM documents""",
     "v_coco_images_add": """
-        SELECT doc_id + 100000 AS id, concat('other/', CAST(doc_id AS STRING), '.jpg') AS file_name
-        FROM documents WHERE doc_id % 3 = 0""",
+        SELECT doc_id + 100000 AS id, concat('other/', CASE WHEN lang = 'es' THEN 'only_' ELSE '' END, CAST(doc_id AS STRING), '.jpg') AS file_name
+        FROM documents""",
     "v_coco_cats_base": "SELECT * FROM (VALUES (5, 'A'), (6, 'N'), (7, 'R')) AS t(id, name)",
     "v_coco_cats_add": "SELECT * FROM (VALUES (1, 'R'), (2, 'X')) AS t(id, name)",
     "v_coco_anns_base": """
         SELECT image_id * 1000000000 + l_partkey * 100000 + l_suppkey * 10 + l_linenumber AS id, image_id,
                5 + class_id AS category_id, x1, y1, x2 - x1 AS w, y2 - y1 AS h, price,
                l_partkey % 19 = 0 AS no_box, l_suppkey % 21 = 0 AS no_segments
-        FROM v_labels WHERE image_id < 500""",
+        FROM v_labels""",
     "v_coco_anns_add": """
         SELECT doc_id * 10 AS id, doc_id + 100000 AS image_id, CASE WHEN toxic = 1 THEN 2 ELSE 1 END AS category_id,
                CAST(doc_id % 50 AS DOUBLE) AS x1, CAST(doc_id % 70 AS DOUBLE) AS y1, 10.0 AS w, 20.0 AS h, 0.0 AS price,
                FALSE AS no_box, FALSE AS no_segments
-        FROM labels WHERE doc_id % 3 = 0""",
+        FROM labels""",
 }
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",
