@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,8 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that one hand-over to Python holds at most; texts may be long, so it is kept small.
+#: Rows and bytes that one hand-over to Python holds at most (a longer row goes alone); texts may be long, so both are
+#: kept small.
 BATCH_ROWS = 2000
+BATCH_BYTES = 4 << 20
+#: Characters of the texts that are split into words at once.
+LOT_CHARS = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +32,7 @@ def tune(spark: SparkSession) -> None:
     if root not in (paths := env.get("PYTHONPATH", "").split(os.pathsep)):
         env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
@@ -65,6 +70,51 @@ def utf8(column: str) -> F.Column:
     return F.encode(F.coalesce(F.col(column), F.lit("")), "UTF-8")
 
 
+def lots(texts: list[str], most: int, chars: int = LOT_CHARS) -> Iterator[list[str]]:
+    """``texts`` in order, in lists of at most ``most`` texts and ``chars`` characters (a longer text goes alone)."""
+    lot, size = [], 0
+    for text in texts:
+        if lot and (len(lot) == most or size + len(text) > chars):
+            yield lot
+            lot, size = [], 0
+        lot.append(text)
+        size += len(text)
+    if lot:
+        yield lot
+
+
+class Memory:
+    """A dictionary of bounded size in bytes, entries' own bytes and their slots counted. The older of two generations
+    is dropped when the younger has half of ``room``."""
+
+    #: Bytes of an entry besides its key and value.
+    SLOT = 100
+
+    def __init__(self, room: int):
+        self.room, self.young, self.old, self.used = room, {}, {}, 0
+
+    def keep(self, key: str, value: object) -> None:
+        """``value``: bytes, or a tuple of two numbers."""
+        self.young[key] = value
+        self.used += sys.getsizeof(key) + sys.getsizeof(value) + self.SLOT
+
+    def missing(self, keys: set) -> list:
+        """Those of ``keys`` that aren't known; the others are young afterwards."""
+        if self.used > self.room // 2:
+            self.young, self.old, self.used = {}, self.young, 0
+        out = []
+        for k in keys.difference(self.young):
+            found = self.old.get(k)
+            if found is None:
+                out.append(k)
+            else:
+                self.keep(k, found)
+        return out
+
+    def clear(self) -> None:
+        self.young, self.old, self.used = {}, {}, 0
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[list, ...]]:
     """Each Arrow batch as lists of Python values, one list per name."""
     for batch in batches:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quadrat.llm.common import tune
+from quadrat.llm.common import lots, tune
 
 #: Labelled windows that the model is fitted on, for each language.
 PER_LANGUAGE = 400
@@ -38,7 +38,8 @@ BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
 ROUNDS = 40
 UND = "und"
-REMEMBERED = 200_000
+#: Words whose scores a task remembers.
+REMEMBERED = 100_000
 #: Language labels up to which their counts are broadcast.
 MANY_LANGUAGES = 100_000
 #: Words times languages that forward-backward holds at once.
@@ -230,8 +231,8 @@ class Tagger:
         return out
 
     def languages_of(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
-        for at in range(0, len(texts), 512):
-            for found in self.marginals([words_of(t) for t in texts[at : at + 512]]):
+        for lot in lots([t or "" for t in texts], 512):
+            for found in self.marginals([words_of(t) for t in lot]):
                 if len(found):
                     share = found.sum(axis=0, dtype=np.float64) / len(found)
                     best = int(share.argmax())
@@ -269,16 +270,6 @@ def train(rows: DataFrame) -> Model | None:
     return fit(sample(rows))
 
 
-_TAGGERS: dict[int, Tagger] = {}
-
-
-def _tagger(key: int, model: Model) -> Tagger:
-    if key not in _TAGGERS:
-        _TAGGERS.clear()
-        _TAGGERS[key] = Tagger(model)
-    return _TAGGERS[key]
-
-
 def predict(
     docs: DataFrame, model: Model | None, column: str = "text", into: tuple[str, str] = ("lang_pred", "score")
 ) -> DataFrame:
@@ -288,7 +279,7 @@ def predict(
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger = _tagger(shared.id if hasattr(shared, "id") else id(shared), shared.value)
+        tagger = Tagger(shared.value)  # one for a task: what it remembers goes with it
         for batch in batches:
             found = list(tagger.languages_of(batch.column(batch.schema.get_field_index(column)).to_pylist()))
             columns = [

@@ -8,7 +8,8 @@
    every group are opened, and their pieces meet those of other groups, are dealt anew to fewer groups and packed
    again. Rounds end when one group has packed all that is left; each round leaves a small part of the one before.
 
-Memory: one group's numbers (``GROUP_ITEMS`` pieces) in a task. Nothing is collected to the driver but counts.
+Memory: one group's numbers (``GROUP_ITEMS`` pieces) in a task; where texts are tokenised, the tokenizer for a worker's
+life and the ids of known words, bounded in bytes, for a task's. Nothing is collected to the driver but counts.
 
 Defined cases: a null text is empty and gives the end id alone; repeated rows are packed one by one; a null id is kept;
 an empty table gives no rows. Extra columns are not read.
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrat.llm.common import rows_of, stored, tune
+from quadrat.llm.common import Memory, lots, rows_of, stored, tune
 
 CAPACITY = 4096
 END_ID = 1
@@ -36,8 +37,8 @@ END_ID = 1
 GROUP_ITEMS = 20_000
 #: A sequence filled less than this is opened for the exchange, also in a certified group.
 FULL_ENOUGH = 0.98
-#: Chunks, and words, whose ids a worker remembers in each of two generations.
-REMEMBERED = 500_000
+#: Bytes that a task's memories of chunks and of words take.
+CHUNK_BYTES, WORD_BYTES = 24 << 20, 12 << 20
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -48,26 +49,6 @@ _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-ž]+|\d|[^a-zß-ž0-9]+")
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
-class Memory:
-    """A dictionary of bounded size: the older of two generations is dropped when the younger is full."""
-
-    def __init__(self, size: int):
-        self.size, self.young, self.old = size, {}, {}
-
-    def missing(self, keys: set) -> list:
-        """Those of ``keys`` that aren't known; the others are young afterwards."""
-        if len(self.young) > self.size:
-            self.young, self.old = {}, self.young
-        out = []
-        for k in keys.difference(self.young):
-            found = self.old.get(k)
-            if found is None:
-                out.append(k)
-            else:
-                self.young[k] = found
-        return out
-
-
 class Encoder:
     """Texts to little-endian 32-bit ids, with memories of the chunks between white space and of the words in them.
 
@@ -82,7 +63,7 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.chunks, self.words = Memory(REMEMBERED), Memory(REMEMBERED)
+        self.chunks, self.words = Memory(CHUNK_BYTES), Memory(WORD_BYTES)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # of ids: whether they end a word
         self.last[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
@@ -97,20 +78,20 @@ class Encoder:
         new = [c for c in new if c not in odd] if odd else new
         parts = [_WORDS.findall(c) for c in new]
         unknown = self.words.missing({w for ws in parts for w in ws})
-        words, known = self.words.young, self.chunks.young
+        words = self.words.young
         if unknown:
             ids = np.asarray(self.tokenizer.encode(" ".join(unknown), add_special_tokens=False).ids, "<u4")
             data, at = ids.tobytes(), 0
             for w, end in zip(unknown, ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist(), strict=True):
-                words[w], at = data[at:end], end
+                self.words.keep(w, data[at:end])
+                at = end
         for c, ws in zip(new, parts):
-            known[c] = words[ws[0]] if len(ws) == 1 else b"".join(map(words.__getitem__, ws))
+            self.chunks.keep(c, words[ws[0]] if len(ws) == 1 else b"".join(map(words.__getitem__, ws)))
         return odd
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text; the new chunks of all texts are made known together."""
-        for at in range(0, len(texts), 256):
-            part = texts[at : at + 256]
+        for part in lots(texts, 256):
             split = [t.lower().split() for t in part]
             odd = self._learn(set().union(*split))
             known = self.chunks.young
@@ -120,11 +101,15 @@ class Encoder:
                 else:
                     yield b"".join(map(known.__getitem__, chunks))
 
+    def forget(self) -> None:
+        self.chunks.clear()
+        self.words.clear()
+
     def __call__(self, text: str) -> bytes:
         return next(self.encode([text]))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
@@ -133,19 +118,22 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     """``PIECES`` of every document."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = _encoder(tokenizer_path).encode, np.asarray([end_id], "<u4").tobytes()
-        for ids, texts in rows_of(batches, "doc_id", "text"):
-            out: list[list] = [[], [], [], [], []]
-            for doc, data in zip(ids, encode([t or "" for t in texts])):
-                data += end
-                for n, at in enumerate(range(0, len(data), 4 * capacity)):
-                    part = data[at : at + 4 * capacity]
-                    for column, value in zip(out, (doc, n, at // 4, len(part) // 4, zlib.crc32(part))):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
-                ["doc_id", "piece", "start", "length", "ids_crc32"],
-            )
+        encoder, end = _encoder(tokenizer_path), np.asarray([end_id], "<u4").tobytes()
+        try:
+            for ids, texts in rows_of(batches, "doc_id", "text"):
+                out: list[list] = [[], [], [], [], []]
+                for doc, data in zip(ids, encoder.encode([t or "" for t in texts])):
+                    data += end
+                    for n, at in enumerate(range(0, len(data), 4 * capacity)):
+                        part = data[at : at + 4 * capacity]
+                        for column, value in zip(out, (doc, n, at // 4, len(part) // 4, zlib.crc32(part))):
+                            column.append(value)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
+                    ["doc_id", "piece", "start", "length", "ids_crc32"],
+                )
+        finally:
+            encoder.forget()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
 
