@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import os
-import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -84,32 +83,29 @@ def lots(texts: list[str], most: int, chars: int = LOT_CHARS) -> Iterator[list[s
 
 
 class Memory:
-    """A dictionary of bounded size in bytes, entries' own bytes and their slots counted. The older of two generations
-    is dropped when the younger has half of ``room``."""
+    """A dictionary of strings to bytes whose size in bytes is bounded, keys, values and slots counted. The older of two
+    generations is dropped when the younger has half of ``room``."""
 
-    #: Bytes of an entry besides its key and value.
-    SLOT = 100
+    #: Bytes of an entry besides the characters of its key and the bytes of its value.
+    SLOT = 180
 
     def __init__(self, room: int):
         self.room, self.young, self.old, self.used = room, {}, {}, 0
 
-    def keep(self, key: str, value: object) -> None:
-        """``value``: bytes, or a tuple of two numbers."""
-        self.young[key] = value
-        self.used += sys.getsizeof(key) + sys.getsizeof(value) + self.SLOT
+    def keep(self, keys: Collection[str], values: list[bytes]) -> None:
+        self.young.update(zip(keys, values))
+        self.used += sum(map(len, keys)) + sum(map(len, values)) + self.SLOT * len(values)
 
-    def missing(self, keys: set) -> list:
+    def missing(self, keys: set[str]) -> list[str]:
         """Those of ``keys`` that aren't known; the others are young afterwards."""
         if self.used > self.room // 2:
             self.young, self.old, self.used = {}, self.young, 0
-        out = []
-        for k in keys.difference(self.young):
-            found = self.old.get(k)
-            if found is None:
-                out.append(k)
-            else:
-                self.keep(k, found)
-        return out
+        new = keys.difference(self.young)
+        again = self.old.keys() & new
+        if again:
+            self.keep(again, list(map(self.old.__getitem__, again)))
+            new -= again
+        return list(new)
 
     def clear(self) -> None:
         self.young, self.old, self.used = {}, {}, 0

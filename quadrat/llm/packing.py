@@ -38,7 +38,7 @@ GROUP_ITEMS = 20_000
 #: A sequence filled less than this is opened for the exchange, also in a certified group.
 FULL_ENOUGH = 0.98
 #: Bytes that a task's memories of chunks and of words take.
-CHUNK_BYTES, WORD_BYTES = 24 << 20, 12 << 20
+CHUNK_BYTES, WORD_BYTES = 64 << 20, 32 << 20
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -78,15 +78,13 @@ class Encoder:
         new = [c for c in new if c not in odd] if odd else new
         parts = [_WORDS.findall(c) for c in new]
         unknown = self.words.missing({w for ws in parts for w in ws})
-        words = self.words.young
         if unknown:
             ids = np.asarray(self.tokenizer.encode(" ".join(unknown), add_special_tokens=False).ids, "<u4")
-            data, at = ids.tobytes(), 0
-            for w, end in zip(unknown, ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist(), strict=True):
-                self.words.keep(w, data[at:end])
-                at = end
-        for c, ws in zip(new, parts):
-            self.chunks.keep(c, words[ws[0]] if len(ws) == 1 else b"".join(map(words.__getitem__, ws)))
+            data = ids.tobytes()
+            ends = [0, *((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()]
+            self.words.keep(unknown, [data[a:b] for a, b in zip(ends, ends[1:], strict=False)])
+        get = self.words.young.__getitem__
+        self.chunks.keep(new, [get(ws[0]) if len(ws) == 1 else b"".join(map(get, ws)) for ws in parts])
         return odd
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
@@ -209,7 +207,7 @@ def _round(items: DataFrame, groups: int, turn: int, capacity: int) -> DataFrame
             sequence_id=(np.int64(turn) << 56) | (np.int64(key[0]) << 28) | bins, offset=offset, opened=gap[bins]
         )
 
-    dealt = items.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(turn)), F.lit(groups)))
+    dealt = items.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(turn), F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("grp").applyInPandas(pack, _PLACED)
 
 
