@@ -55,3 +55,39 @@ def test_recall_at_the_threshold():
         met += bool(set(nearcopies.keys_of(sets[0])) & set(nearcopies.keys_of(sets[1])))
         n += 1
     assert met == n
+
+
+def test_links_across_blocks(spark):
+    """Copies that no bucket's least node is near to, in blocks of any size: the same components as brute force."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(60):
+        copy = list(base)
+        for _ in range(rng.randint(0, 5)):
+            copy[rng.randrange(120)] = f"e{rng.randrange(30)}"
+        texts.append(" ".join(copy))
+    sets, root = [grams(t) for t in texts], list(range(60))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(60):
+        for j in range(i):
+            if alike(sets[i], sets[j]):
+                root[find(i)] = find(j)
+    groups = {}
+    for i, t in enumerate(texts):
+        groups.setdefault(find(i), set()).add(nearcopies.node_of(nearcopies.shingles(t)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    own = nearcopies.stored(nearcopies._keys(docs, 5))
+    for block in (150, 2000, 64_000):
+        found = {r.u: r.root for r in nearcopies.components_of(docs, own, block=block).collect()}
+        got = {}
+        for nodes in groups.values():
+            for n in nodes:
+                got.setdefault(found.get(n, n), set()).add(n)
+        assert sorted(map(sorted, got.values())) == sorted(map(sorted, groups.values()))
+    assert len(groups) < 60
