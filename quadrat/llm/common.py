@@ -36,10 +36,13 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is named."""
+    """The folder that driver and executors share, named by ``spark.checkpoint.dir``; a folder of this machine only
+    where everything runs on it, else an error, as executors wouldn't see each other's files."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
 
 

@@ -1,8 +1,9 @@
 """Connected components of a graph given by its edges: alternating large-star and small-star rounds.
 
 Every round is two aggregations with partial sums and two joins on the node, each of narrow rows, stored in the shared
-folder; nothing is collected but two numbers per round. A hub's rows meet in one task only as a partial minimum, and
-adaptive execution splits the join where a hub is frequent.
+folder; nothing is collected but two numbers per round. A hub's rows meet in one task only as a partial minimum. The
+minima are stored before they are joined: both sides of the join are then plain exchanges, which adaptive execution
+splits where a hub is frequent.
 """
 
 from __future__ import annotations
@@ -19,13 +20,13 @@ def _state(edges: DataFrame) -> tuple:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """``edges`` with u > v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = stored(edges.groupBy("u").agg(F.min("v").alias("m")))
     moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 

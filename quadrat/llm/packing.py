@@ -38,7 +38,7 @@ GROUP_ITEMS = 20_000
 #: A sequence filled less than this is opened for the exchange, also in a certified group.
 FULL_ENOUGH = 0.98
 #: Bytes that a task's memories of chunks and of words take.
-CHUNK_BYTES, WORD_BYTES = 64 << 20, 32 << 20
+CHUNK_BYTES, WORD_BYTES = 48 << 20, 24 << 20
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 

@@ -117,7 +117,7 @@ _ANCHOR = "r1 long, r2 long, a int, lo int, hi int, kh long, ch long"
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64()}
     fields = [c.split() for c in schema.split(", ")]
     columns = list(zip(*rows)) if rows else [()] * len(fields)
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], [n for n, _ in fields])
@@ -307,11 +307,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM, bu
     )
 
 
-SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+SCHEMA = (
+    "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, has_repeats boolean, removed_share double"
+)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM, bucket: int = BUCKET) -> DataFrame:
-    """``SCHEMA`` of every document."""
+    """``SCHEMA`` of every document; ``has_repeats`` says whether anything goes, ``removed_share`` how much of it."""
     tune(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("body"))
     spans = stored(repeated_spans(own, length, kgram, bucket))
@@ -331,7 +333,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM, bu
                     digest.update(text[at:a])
                     at = b
                 digest.update(text[at:])
-                out.append((doc, len(text), sum(b - a for a, b in gone), len(gone), digest.hexdigest()))
+                removed = sum(b - a for a, b in gone)
+                out.append((doc, len(text), removed, len(gone), digest.hexdigest(), removed > 0, removed / max(1, len(text))))
             yield _batch(out, SCHEMA)
 
     rows = own.mapInArrow(keyed, "doc_id long, r1 long, r2 long, body binary")
