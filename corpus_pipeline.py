@@ -18,7 +18,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, Jaccard 0.8 or more."""
+    """One document of each group of near copies: five-word shingles, Jaccard 0.8 or more, by operator 5's fingerprints
+    and by least hashes."""
     return nearcopies.deduplicate(docs)
 
 

@@ -1,9 +1,12 @@
 """Near copies by the similarity of word shingles: pairs whose sets of five-word shingles have Jaccard 0.8 or more.
 
-1. Each text's shingles (whole text, ASCII lower case) are hashed by XXH64; texts with one set are one node.
-2. Candidates: ``BANDS`` keys of ``ROWS`` least hashes each. A pair of similarity s shares a key with probability
-   1 - (1 - s^6)^40: at 0.8 all but 5 in a million pairs, at 0.9 all but 1 in 10^13.
-3. Each node is compared with the least of each of its buckets, exactly, by the two sets. What that links becomes
+1. Each text's shingles (whole text, ASCII lower case) are hashed by XXH64; texts with one set are one node. A node has a
+   SimHash fingerprint, and operator 5's covering search finds those within its radius for certain.
+2. SimHash alone doesn't reach down to 0.8: such pairs differ in about 10 of 64 bits, and masks that cover that radius
+   are too many. So there are other candidates besides: ``BANDS`` keys of ``ROWS`` least hashes each. A pair of similarity
+   s shares a key with probability 1 - (1 - s^6)^40: at 0.8 all but 5 in a million pairs, at 0.9 all but 1 in 10^13.
+3. Both kinds are checked exactly, by the two sets: fingerprints' spanning links, and each node with the least of each of
+   its buckets. What that links becomes
    components; buckets inside one component are done. In the others the nodes outside the bucket's commonest component
    are compared with all nodes of other components, in blocks of bounded size: a task holds two blocks and gives links
    only, so neither pairs nor whole groups are ever rows of a table. A large group of near copies thus costs rows in
@@ -11,9 +14,6 @@
 
 Sets are kept for nodes in buckets of two or more only; they are computed anew from the texts of those.
 
-SimHash fingerprints (operator 5) can't find these pairs: at similarity 0.8 they differ in about 10 of 64 bits, and masks
-that cover such a radius are too many.
-
 Defined cases: null, empty and blank texts have no shingle and are one node; texts of fewer words than a shingle are one
 shingle; very long texts are compared like others, one to a block; texts of equal sets are copies, repeated rows among
 them; an empty table gives no rows. All columns are kept.
@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadrat.llm import simhash
 from quadrat.llm.common import rows_of, stored, tune
 from quadrat.llm.components import components
 
@@ -75,7 +76,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
 
-_KEYED = "doc_id long, tx long, node long, n long, keys array<long>"
+_KEYED = "doc_id long, tx long, node long, n long, fp long, keys array<long>"
 _SETS = "node long, hashes binary"
 _NO_ID = -(1 << 62)
 
@@ -88,12 +89,12 @@ def _named(docs: DataFrame) -> DataFrame:
 def _keys(docs: DataFrame, width: int) -> DataFrame:
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, marks, texts in rows_of(batches, "doc_id", "tx", "text"):
-            columns: list[list] = [ids, marks, [], [], []]
+            columns: list[list] = [ids, marks, [], [], [], []]
             for text in texts:
                 hashes = shingles(text, width)
-                for column, value in zip(columns[2:], (node_of(hashes), len(hashes), keys_of(hashes))):
+                for column, value in zip(columns[2:], (node_of(hashes), len(hashes), simhash.signed(simhash.majority(hashes)), keys_of(hashes))):
                     column.append(value)
-            kinds = (*[pa.int64()] * 4, pa.list_(pa.int64()))
+            kinds = (*[pa.int64()] * 5, pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [c.split()[0] for c in _KEYED.split(", ")])
 
     return _named(docs).mapInArrow(compute, _KEYED)
@@ -194,6 +195,16 @@ def _across(placed: DataFrame, sets: DataFrame, least: float, block: int) -> Dat
     return dealt.mapInArrow(compare, "u long, v long")
 
 
+def _close(own: DataFrame) -> DataFrame:
+    """``(u, v)``: nodes whose fingerprints are within operator 5's radius, spanning links only."""
+    nodes = own.where("n > 0").select("node", "fp").distinct()
+    one = stored(nodes.groupBy("fp").agg(F.min("node").alias("v")))
+    same = nodes.join(one, "fp").where("node != v").select(F.col("node").alias("u"), "v")
+    other = one.select(F.col("fp").alias("v"), F.col("v").alias("node_v"))
+    linked = simhash.links(one.select("fp")).join(one.select(F.col("fp").alias("u"), F.col("v").alias("node_u")), "u").join(other, "v")
+    return same.union(linked.select("node_u", "node_v"))
+
+
 def components_of(docs: DataFrame, own: DataFrame, width: int = SHINGLE, least: float = LEAST, block: int = BLOCK) -> DataFrame:
     """``(u, root)`` of every node that isn't the least of its component; ``own``: stored rows of ``_KEYED``."""
     nodes = own.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
@@ -202,9 +213,11 @@ def components_of(docs: DataFrame, own: DataFrame, width: int = SHINGLE, least:
     kept = stored(
         rows.join(buckets.where("size > 1"), "key").select("key", "node", "n", F.col("first.node").alias("v"), F.col("first.n").alias("m"))
     )
-    sets = stored(_sets(docs, own, kept.select("node").distinct(), width))
+    close = stored(_close(own))
+    some = kept.select("node").union(close.select("u")).union(close.select("v")).distinct()
+    sets = stored(_sets(docs, own, some, width))
     near = kept.where(F.col("node") != F.col("v")).where(_fits("n", "m", least))
-    first = near.select(F.col("node").alias("u"), "v").distinct()
+    first = near.select(F.col("node").alias("u"), "v").union(close).distinct()
     links = stored(_alike(first, sets, least))
     roots = stored(components(links))
     placed = kept.join(roots.withColumnRenamed("u", "node"), "node", "left")

@@ -20,7 +20,7 @@ id in the minimum; repeated rows are both returned; an empty table gives no rows
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +46,11 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
         return 0
     if len(words) <= width:
         return xxhash.xxh64_intdigest(b" ".join(words), SEED)
-    hashes = [xxhash.xxh64_intdigest(s, SEED) for s in map(b" ".join, zip(*(words[i:] for i in range(width))))]
+    return majority([xxhash.xxh64_intdigest(s, SEED) for s in map(b" ".join, zip(*(words[i:] for i in range(width))))])
+
+
+def majority(hashes: Sequence[int]) -> int:
+    """The bits that are set in over half of 64-bit hashes."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 50_000):
         part = np.array(hashes[at : at + 50_000], ">u8").view(np.uint8).reshape(-1, 8)
