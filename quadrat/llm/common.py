@@ -5,10 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Collection, Iterator
+from collections.abc import Callable, Collection, Iterator
 from pathlib import Path
+from typing import TypeVar
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +19,8 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 2000
 BATCH_BYTES = 4 << 20
 #: Characters of the texts that are split into words at once.
-LOT_CHARS = 1 << 19
+LOT_CHARS = 1 << 20
+T = TypeVar("T")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,8 +104,6 @@ class Memory:
 
     def missing(self, keys: set[str]) -> list[str]:
         """Those of ``keys`` that aren't known; the others are young afterwards."""
-        if self.used > self.room // 2:
-            self.young, self.old, self.used = {}, self.young, 0
         new = keys.difference(self.young)
         again = self.old.keys() & new
         if again:
@@ -110,11 +111,36 @@ class Memory:
             new -= again
         return list(new)
 
-    def clear(self) -> None:
-        self.young, self.old, self.used = {}, {}, 0
+    def turn(self) -> None:
+        """Begin another generation if the younger is full."""
+        if self.used > self.room // 2:
+            self.young, self.old, self.used = {}, self.young, 0
+
+
+#: What a worker remembers, by stage and name; see ``for_stage``.
+_HELD: dict[tuple, object] = {}
+
+
+def _let_go() -> int | None:
+    """Drop what was remembered for other stages than the running task's, which is returned."""
+    task = TaskContext.get()
+    stage = task.stageId() if task else None
+    for key in [k for k in _HELD if k[0] != stage]:
+        del _HELD[key]
+    return stage
+
+
+def for_stage(make: Callable[..., T], *name) -> T:
+    """``make(*name)``, one for all tasks of a stage in this worker. It goes when a task of another stage begins to
+    read, so that workers, which live long, don't gather what each operator remembers."""
+    key = (_let_go(), make, *name)
+    if key not in _HELD:
+        _HELD[key] = make(*name)
+    return _HELD[key]
 
 
 def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[list, ...]]:
     """Each Arrow batch as lists of Python values, one list per name."""
+    _let_go()
     for batch in batches:
         yield tuple(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names)

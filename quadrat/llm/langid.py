@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quadrat.llm.common import lots, tune
+from quadrat.llm.common import for_stage, lots, tune
 
 #: Labelled windows that the model is fitted on, for each language.
 PER_LANGUAGE = 400
@@ -38,7 +38,7 @@ BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
 ROUNDS = 40
 UND = "und"
-#: Words whose scores a task remembers.
+#: Words whose scores a worker remembers while the stage runs.
 REMEMBERED = 100_000
 #: Language labels up to which their counts are broadcast.
 MANY_LANGUAGES = 100_000
@@ -128,7 +128,7 @@ def forward_backward(
     return np.divide(alpha, total, out=alpha, where=total > 0), moved
 
 
-@dataclass
+@dataclass(eq=False)
 class Model:
     languages: list[str]
     weights: np.ndarray  # (BUCKETS, L)
@@ -279,7 +279,7 @@ def predict(
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger = Tagger(shared.value)  # one for a task: what it remembers goes with it
+        tagger = for_stage(Tagger, shared.value)
         for batch in batches:
             found = list(tagger.languages_of(batch.column(batch.schema.get_field_index(column)).to_pylist()))
             columns = [

@@ -8,8 +8,9 @@
    every group are opened, and their pieces meet those of other groups, are dealt anew to fewer groups and packed
    again. Rounds end when one group has packed all that is left; each round leaves a small part of the one before.
 
-Memory: one group's numbers (``GROUP_ITEMS`` pieces) in a task; where texts are tokenised, the tokenizer for a worker's
-life and the ids of known words, bounded in bytes, for a task's. Nothing is collected to the driver but counts.
+Memory: one group's numbers (``GROUP_ITEMS`` pieces) in a task; where texts are tokenised, the tokenizer and the ids of
+known words, bounded in bytes, in a worker as long as the stage runs. Nothing is collected to the driver but counts.
+Rounds end after ``max_rounds`` at the latest; each leaves a few hundredths of the pieces.
 
 Defined cases: a null text is empty and gives the end id alone; repeated rows are packed one by one; a null id is kept;
 an empty table gives no rows. Extra columns are not read.
@@ -21,7 +22,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from itertools import chain, filterfalse
 
 import numpy as np
 import pandas as pd
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrat.llm.common import Memory, lots, rows_of, stored, tune
+from quadrat.llm.common import Memory, for_stage, lots, rows_of, stored, tune
 
 CAPACITY = 4096
 END_ID = 1
@@ -37,15 +38,17 @@ END_ID = 1
 GROUP_ITEMS = 20_000
 #: A sequence filled less than this is opened for the exchange, also in a certified group.
 FULL_ENOUGH = 0.98
-#: Bytes that a task's memories of chunks and of words take.
-CHUNK_BYTES, WORD_BYTES = 48 << 20, 24 << 20
+#: Bytes that a worker's memories of chunks and of words take while the stage runs.
+CHUNK_BYTES, WORD_BYTES = 80 << 20, 56 << 20
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
-#: Chunks with other characters than these send their text through the tokenizer whole: its normaliser may then work
-#: across chunks, or its white space differ from Python's.
-_PLAIN = re.compile("[!-~ß-öø-đĕ-įĺ-ňŋ-ž]*")
-_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-ž]+|\d|[^a-zß-ž0-9]+")
+#: Chunks with other characters than these, or with ``<|``, send their text through the tokenizer whole: its normaliser
+#: may then work across chunks, its white space differ from Python's, or a special token start.
+_ODD = re.compile(r"(?<![^ ])[^ ]*?(?:[^ !-~ß-öø-đĕ-įĺ-ňŋ-ž]|<\|)[^ ]*")
+_WORDS = re.compile(r" |'s|'t|'re|'ve|'m|'ll|'d|[a-zß-ž]+|\d|[^a-zß-ž0-9 ]+")
+#: Stands between the ids of two chunks; every id has zeros in its upper bytes.
+_BETWEEN = b"\xff" * 4
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
@@ -54,8 +57,7 @@ class Encoder:
 
     The tokenizer lower-cases, drops white space and merges within a word only, so a word's ids don't depend on its
     neighbours and each distinct word is tokenised once: those that a text brings go in one string, and are told apart
-    by the ids that end a word. A text with a chunk outside ``_PLAIN``, or with ``<|`` (which
-    may start a special token), goes to the tokenizer as it is.
+    by the ids that end a word. A text with an ``_ODD`` chunk goes to the tokenizer as it is.
     """
 
     def __init__(self, path: str):
@@ -74,24 +76,29 @@ class Encoder:
     def _learn(self, chunks: set[str]) -> set[str]:
         """Make chunks known; those that only their text can be tokenised with are returned."""
         new = self.chunks.missing(chunks)
-        odd = {c for c in new if "<|" in c or not _PLAIN.fullmatch(c)}
+        odd = set(_ODD.findall(" ".join(new)))
         new = [c for c in new if c not in odd] if odd else new
-        parts = [_WORDS.findall(c) for c in new]
-        unknown = self.words.missing({w for ws in parts for w in ws})
+        if not new:
+            return odd
+        parts = _WORDS.findall(" ".join(new))
+        unknown = self.words.missing(set(parts) - {" "})
         if unknown:
             ids = np.asarray(self.tokenizer.encode(" ".join(unknown), add_special_tokens=False).ids, "<u4")
             data = ids.tobytes()
             ends = [0, *((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()]
             self.words.keep(unknown, [data[a:b] for a, b in zip(ends, ends[1:], strict=False)])
-        get = self.words.young.__getitem__
-        self.chunks.keep(new, [get(ws[0]) if len(ws) == 1 else b"".join(map(get, ws)) for ws in parts])
+        known = self.words.young
+        known[" "] = _BETWEEN
+        self.chunks.keep(new, b"".join(map(known.__getitem__, parts)).split(_BETWEEN))
         return odd
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text; the new chunks of all texts are made known together."""
-        for part in lots(texts, 256):
+        for part in lots(texts, 1024):
             split = [t.lower().split() for t in part]
-            odd = self._learn(set().union(*split))
+            self.chunks.turn()
+            self.words.turn()
+            odd = self._learn(set(filterfalse(self.chunks.young.__contains__, chain.from_iterable(split))))
             known = self.chunks.young
             for text, chunks in zip(part, split):
                 if any(c in text for c in _SEPARATORS) or odd and not odd.isdisjoint(chunks):
@@ -99,39 +106,27 @@ class Encoder:
                 else:
                     yield b"".join(map(known.__getitem__, chunks))
 
-    def forget(self) -> None:
-        self.chunks.clear()
-        self.words.clear()
-
     def __call__(self, text: str) -> bytes:
         return next(self.encode([text]))
 
 
-@lru_cache(maxsize=1)
-def _encoder(path: str) -> Encoder:
-    return Encoder(path)
-
-
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """``PIECES`` of every document."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = _encoder(tokenizer_path), np.asarray([end_id], "<u4").tobytes()
-        try:
-            for ids, texts in rows_of(batches, "doc_id", "text"):
-                out: list[list] = [[], [], [], [], []]
-                for doc, data in zip(ids, encoder.encode([t or "" for t in texts])):
-                    data += end
-                    for n, at in enumerate(range(0, len(data), 4 * capacity)):
-                        part = data[at : at + 4 * capacity]
-                        for column, value in zip(out, (doc, n, at // 4, len(part) // 4, zlib.crc32(part))):
-                            column.append(value)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
-                    ["doc_id", "piece", "start", "length", "ids_crc32"],
-                )
-        finally:
-            encoder.forget()
+        encode, end = for_stage(Encoder, tokenizer_path).encode, np.asarray([end_id], "<u4").tobytes()
+        for ids, texts in rows_of(batches, "doc_id", "text"):
+            out: list[list] = [[], [], [], [], []]
+            for doc, data in zip(ids, encode([t or "" for t in texts])):
+                data += end
+                for n, at in enumerate(range(0, len(data), 4 * capacity)):
+                    part = data[at : at + 4 * capacity]
+                    for column, value in zip(out, (doc, n, at // 4, len(part) // 4, zlib.crc32(part))):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
+                ["doc_id", "piece", "start", "length", "ids_crc32"],
+            )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
 
@@ -207,7 +202,9 @@ def _round(items: DataFrame, groups: int, turn: int, capacity: int) -> DataFrame
             sequence_id=(np.int64(turn) << 56) | (np.int64(key[0]) << 28) | bins, offset=offset, opened=gap[bins]
         )
 
-    dealt = items.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(turn), F.monotonically_increasing_id()), F.lit(groups)))
+    # the row's place in the stored table tells repeated rows apart, so that no group takes them all
+    mark = F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(turn), F.monotonically_increasing_id())
+    dealt = items.withColumn("grp", F.pmod(mark, F.lit(groups)))
     return dealt.groupBy("grp").applyInPandas(pack, _PLACED)
 
 
