@@ -22,7 +22,8 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain, filterfalse
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pandas as pd
@@ -39,7 +40,7 @@ GROUP_ITEMS = 20_000
 #: A sequence filled less than this is opened for the exchange, also in a certified group.
 FULL_ENOUGH = 0.98
 #: Bytes that a worker's memories of chunks and of words take while the stage runs.
-CHUNK_BYTES, WORD_BYTES = 80 << 20, 56 << 20
+CHUNK_BYTES, WORD_BYTES = 64 << 20, 112 << 20
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -98,13 +99,16 @@ class Encoder:
             split = [t.lower().split() for t in part]
             self.chunks.turn()
             self.words.turn()
-            odd = self._learn(set(filterfalse(self.chunks.young.__contains__, chain.from_iterable(split))))
+            found = [list(map(self.chunks.young.get, chunks)) for chunks in split]
+            odd = self._learn({c for chunks, ids in zip(split, found) for c in compress(chunks, map(not_, ids))})
             known = self.chunks.young
-            for text, chunks in zip(part, split):
+            for text, chunks, ids in zip(part, split, found):
                 if any(c in text for c in _SEPARATORS) or odd and not odd.isdisjoint(chunks):
                     yield self._direct(text)
+                elif None in ids:
+                    yield b"".join([known[c] if i is None else i for c, i in zip(chunks, ids)])
                 else:
-                    yield b"".join(map(known.__getitem__, chunks))
+                    yield b"".join(ids)
 
     def __call__(self, text: str) -> bytes:
         return next(self.encode([text]))
