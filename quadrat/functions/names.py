@@ -117,3 +117,21 @@ def tray_folder(tile: Column) -> Column:
 def label_text(class_id: Column, coords: Column) -> Column:
     """A label line."""
     return F.concat_ws(" ", class_id.cast("string"), F.array_join(F.transform(coords, lambda c: c.cast("string")), " "))
+
+
+def segment_window(name: Column) -> Column:
+    """``x0, y0, x1, y1`` from the third to sixth part of a segment's name."""
+    p = F.split(name, "_")
+    return F.struct(*[F.get(p, F.lit(i + 2)).cast("long").alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))])
+
+
+def point_lines(text: Column) -> Column:
+    """``array<struct<x, y>>`` of the lines with two numbers exactly."""
+    pairs = F.filter(F.transform(F.split(text, "\n"), numbers), lambda v: F.size(v) == 2)
+    return F.transform(pairs, lambda v: F.struct(F.get(v, F.lit(0)).alias("x"), F.get(v, F.lit(1)).alias("y")))
+
+
+def conf_list(text: Column) -> Column:
+    """Confidences of a comma-separated list; ``auto``, ``none`` and nothing are null."""
+    word = lambda x: F.lower(F.trim(x))
+    return F.transform(F.split(text, ","), lambda x: F.when(~word(x).isin("auto", "none", ""), word(x).cast("double")))

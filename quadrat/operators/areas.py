@@ -4,22 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from quadrat.session import running
 
 PERCENTILES = (1, 5, 10, 25, 50)
 
 
+def percentiles(df: DataFrame, value: str, shares: list[float], by: list[str] | None = None) -> DataFrame:
+    """``by, q0, q1, ...``: linear percentiles from counts of distinct values and their running sums, so that no task
+    holds all values of a group."""
+    groups = by or []
+    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("_n"))
+    upto = running(counts, "_n", value, "_upto", groups)
+    sizes = counts.groupBy(*groups).agg(F.sum("_n").alias("_all"))
+    joined = upto.join(sizes, [upto[g].eqNullSafe(sizes[g]) for g in groups]).drop(*[sizes[g] for g in groups]) if groups else upto.crossJoin(F.broadcast(sizes))  # one row
+    place = [(F.col("_all") - 1) * F.lit(float(s)) for s in shares]
+    first = lambda at: F.min(F.when(F.col("_upto") > at, F.col(value)))
+    ends = [c for i, p in enumerate(place) for c in (first(F.floor(p)).alias(f"_l{i}"), first(F.ceil(p)).alias(f"_h{i}"), F.max(p - F.floor(p)).alias(f"_w{i}"))]
+    found = joined.groupBy(*groups).agg(*ends)
+    line = lambda i: F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * F.col(f"_w{i}")
+    return found.select(*groups, *[line(i).alias(f"q{i}") for i in range(len(shares))])
+
+
 def area_statistics(df: DataFrame, area: str, by: list[str] | None = None, digits: int = 6) -> DataFrame:
-    """Count, least, largest, mean, median and linear percentiles in one aggregation; for all rows or by group."""
-    exact = F.percentile(area, F.array(*[F.lit(p / 100) for p in PERCENTILES]))
-    out = df.groupBy(*(by or [])).agg(
-        F.count("*").alias("n"), F.min(area).alias("least"), F.max(area).alias("largest"),
-        F.round(F.avg(area), digits).alias("mean"), exact.alias("_p"),
-    )
-    return out.select(
-        *(by or []), "n", "least", "largest", "mean",
-        *[F.round(F.get("_p", F.lit(i)), digits).alias(f"p{p}") for i, p in enumerate(PERCENTILES)],
-    )
+    """Count, least, largest, mean, median and linear percentiles; for all rows or by group."""
+    groups = by or []
+    out = df.groupBy(*groups).agg(
+        F.count("*").alias("n"), F.min(area).alias("least"), F.max(area).alias("largest"), F.round(F.avg(area), digits).alias("mean")
+    )
+    q = percentiles(df, area, [p / 100 for p in PERCENTILES], groups)
+    joined = out.join(q, [out[g].eqNullSafe(q[g]) for g in groups], "left").drop(*[q[g] for g in groups]) if groups else out.crossJoin(F.broadcast(q))  # one row
+    return joined.select(
+        *groups, "n", "least", "largest", "mean", *[F.round(f"q{i}", digits).alias(f"p{p}") for i, p in enumerate(PERCENTILES)]
+    )
 
 
 def select_labels(
@@ -34,7 +51,7 @@ def select_labels(
         df = df.where(F.col(area) <= max_area)
     if percentile is not None:
         p = percentile if 0 < percentile < 1 else 0.05
-        bound = df.agg(F.percentile(area, F.lit(p)).alias("_bound"))
+        bound = percentiles(df, area, [p]).withColumnRenamed("q0", "_bound")
         df = df.crossJoin(F.broadcast(bound)).where(F.col(area) <= F.col("_bound")).drop("_bound")  # one row
     return df.where(F.col(area) > 0) if positive else df
 
@@ -92,5 +109,21 @@ def filter_statistics(judged: DataFrame, by: list[str]) -> DataFrame:
 def running_groups(df: DataFrame, size: str, order: list[str], limit: int, by: list[str]) -> DataFrame:
     """The number of the output folder that each row goes to when a folder takes ``limit`` files: by the running sum
     before it."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("folder", F.floor(F.coalesce(F.sum(size).over(w), F.lit(0)) / limit).cast("long"))
+    upto = running(df, size, order[0], "_upto", by, order[1:])
+    return upto.withColumn("folder", F.floor((F.col("_upto") - F.col(size)) / limit).cast("long")).drop("_upto")
+
+
+def reset_groups(df: DataFrame, size: str, order: list[str], limit: int, by: list[str]) -> DataFrame:
+    """The same with the counter that starts at 0 in each folder: the next begins where the files so far and the new ones
+    reach ``limit``. Each row depends on the one before, so a data set is folded in one expression."""
+    rows = df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*order, F.col(size).cast("long").alias("_s")))).alias("_r"))
+    start = F.struct(F.lit(0).cast("long").alias("held"), F.lit(0).cast("long").alias("folder"), F.array().cast("array<bigint>").alias("out"))
+
+    def add(acc, r):
+        full = acc["held"] + r["_s"] >= limit
+        folder = acc["folder"] + full.cast("long")
+        held = F.when(full, F.lit(0)).otherwise(acc["held"]) + r["_s"]
+        return F.struct(held.alias("held"), folder.alias("folder"), F.concat(acc["out"], F.array(folder)).alias("out"))
+
+    folded = rows.select(*by, F.explode(F.arrays_zip("_r", F.aggregate("_r", start, add)["out"].alias("f"))).alias("x"))
+    return folded.select(*by, *[F.col(f"x._r.{c}").alias(c) for c in order], F.col("x._r._s").alias(size), F.col("x.f").alias("folder"))

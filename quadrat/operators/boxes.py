@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quadrat.functions import geometry as G
 
@@ -116,7 +117,7 @@ def formatted(df: DataFrame, width: float, height: float) -> DataFrame:
 
 def class_texts(df: DataFrame, by: str, classes: list[str], most: int, seed: int) -> DataFrame:
     """``texts`` of each sample: its own classes and, up to ``most``, others in a random order of its own; ``labels``
-    are places in it."""
+    are places in it; own classes beyond ``most`` are in neither."""
     rows = df.groupBy(by).agg(F.sort_array(F.collect_set("class_id")).alias("own"))
     others = F.filter(F.sequence(F.lit(0), F.lit(len(classes) - 1)), lambda c: ~F.array_contains("own", c))
     order = F.transform(
@@ -125,6 +126,20 @@ def class_texts(df: DataFrame, by: str, classes: list[str], most: int, seed: int
     )
     kept = F.slice(F.concat("own", order), 1, most)
     names = F.array(*map(F.lit, classes))
+    shown = F.filter("own", lambda c: F.array_contains("kept", c))
     return rows.select(by, "own", kept.alias("kept")).select(
-        by, F.transform("kept", lambda c: F.get(names, c)).alias("texts"), F.transform("own", lambda c: (F.array_position("kept", c) - 1).cast("int")).alias("labels")
-    )
+        by, F.transform("kept", lambda c: F.get(names, c)).alias("texts"),
+        F.transform(shown, lambda c: (F.array_position("kept", c) - 1).cast("int")).alias("labels"),
+    )
+
+
+def mixed(labels: DataFrame, partners_: DataFrame, key: str) -> DataFrame:
+    """The labels of each sample and of its partner."""
+    own = labels.join(partners_.select(key), key, "left_semi")
+    other = labels.join(partners_.select(F.col("partner").alias(key), F.col(key).alias("_own")), key)
+    return own.unionByName(other.withColumn(key, F.col("_own")).drop("_own").select(*own.columns))
+
+
+def layers(labels: DataFrame, area: str, ties: list[str], by: str = "image_id") -> DataFrame:
+    """``layer`` from 1: larger labels of an image lie below smaller ones. Labels of an image are few."""
+    return labels.withColumn("layer", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(area), *ties)))

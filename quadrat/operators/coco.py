@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrat.functions import names
-from quadrat.session import ranked
+from quadrat.session import ranked, ranked_by_key
 
 
 def valid(bbox: Column, segmentation: Column) -> Column:
@@ -73,7 +73,7 @@ def merge(
             "category_id", F.col("_cat")
         ).drop("_cat")
     both = ours.withColumn("side", F.lit("base")).unionByName(theirs.withColumn("side", F.lit("extra")))
-    return ranked(both, [F.col("image_id"), F.col("id")], F.floor(F.col("image_id") / 1000), "new_id")
+    return ranked_by_key(both, "image_id", "new_id", ["id"])
 
 
 def statistics(images: DataFrame, annotations: DataFrame, categories: DataFrame) -> DataFrame:
@@ -95,4 +95,5 @@ def from_predictions(preds: DataFrame, names_to_ids: dict[str, int]) -> DataFram
         segmentation_or_box(F.col("polygon"), box).alias("segmentation"), F.lit(0).alias("iscrowd"), "conf",
     )
     rows = rows.where(F.col("segmentation").isNotNull())
-    return ranked(rows, [F.col("image_id"), F.col("conf").desc(), F.col("bbox")], F.floor(F.col("image_id") / 1000), "id")
+    rows = rows.withColumn("_o", -F.col("conf"))
+    return ranked_by_key(rows, "image_id", "id", ["_o", "bbox"]).drop("_o")

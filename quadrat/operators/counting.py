@@ -101,3 +101,13 @@ def only_in_one(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Keys of one side only."""
     left = a.select(key).join(b.select(key), key, "left_anti").withColumn("missing_in", F.lit("b"))
     return left.unionByName(b.select(key).join(a.select(key), key, "left_anti").withColumn("missing_in", F.lit("a")))
+
+
+def by_suffix(df: DataFrame, name: str, then: str, into: str = "rn") -> DataFrame:
+    """Rank by the number that a name ends in."""
+    rows = df.withColumn("_suffix", F.regexp_extract(name, r"(\d+)$", 1).cast("long"))
+    return ranked_by_number(rows, "_suffix", into, [then]).drop("_suffix")
+
+
+def head(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    return df.orderBy(*order).limit(n)

@@ -41,25 +41,41 @@ def matrix_from_text(text: Column) -> Column:
     return F.from_json(F.when(found != "", F.regexp_replace(rows, r"\s+|(?<=\d)\.(?=[,\]\s])", "")), "array<array<double>>")
 
 
+# Fixed value: a row of a validation report: name, images, instances, then P R mAP50 mAP50-95 of boxes and of masks.
+REPORT_ROW = r"([a-zA-Z0-9_\- ]+)\s+(\d+)\s+(\d+)" + r"\s+([\d.]+)" * 8
+#: Class rows of a report that are read at most, after the row of all classes.
+CLASS_ROWS = 11
+
+
 def class_rows(text: Column) -> Column:
-    """Rows ``name images instances P R mAP50 mAP50-95 ...`` of a validation report as an array of structs."""
-    row = r"(?m)^\s*(\S+)\s+(\d+)\s+(\d+)\s+([\d.]+)\s+([\d.]+)\s+([\d.]+)\s+([\d.]+)"
-    parts = [F.regexp_extract_all(text, F.lit(row), F.lit(i)) for i in range(1, 8)]
-    zipped = F.arrays_zip(*parts)
+    """Rows of a validation report as an array of structs: the mask's measures."""
+    parts = [F.regexp_extract_all(text, F.lit(REPORT_ROW), F.lit(i)) for i in (1, 8, 9, 10, 11)]
     return F.transform(
-        zipped,
+        F.arrays_zip(*parts),
         lambda r: F.struct(
-            r["0"].alias("name"), r["3"].cast("double").alias("precision"), r["4"].cast("double").alias("recall"),
-            r["5"].cast("double").alias("map50"), r["6"].cast("double").alias("map50_95"),
+            F.trim(r["0"]).alias("name"), r["1"].cast("double").alias("precision"), r["2"].cast("double").alias("recall"),
+            r["3"].cast("double").alias("map50"), r["4"].cast("double").alias("map50_95"),
         ),
     )
 
 
-def mean_average_precision(text: Column, ignore: list[int] | None = None) -> Column:
-    """mAP50 of the first row; with a list of classes to ignore, the mean over the class rows that follow it."""
+def report_precision(text: Column, ignore: list[int] | None = None) -> Column:
+    """``map50, map50_95`` of the first row; with a list of classes to ignore, the means over the class rows after it, 0
+    if there is none."""
     rows = class_rows(text)
-    first = F.get(rows, F.lit(0))["map50"]
     if ignore is None:
-        return first
-    kept = F.filter(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(1))), lambda r, i: ~i.isin(ignore) if ignore else F.lit(True))
-    return F.aggregate(kept, F.lit(0.0), lambda a, r: a + r["map50"]) / F.greatest(F.size(kept), F.lit(1))
+        return F.get(F.transform(rows, lambda r: F.struct(r["map50"], r["map50_95"])), F.lit(0))
+    kept = F.filter(F.slice(rows, 2, CLASS_ROWS), lambda r, i: ~i.isin(ignore) if ignore else F.lit(True))
+    mean = lambda c: F.aggregate(kept, F.lit(0.0), lambda a, r: a + r[c]) / F.greatest(F.size(kept), F.lit(1))
+    return F.struct(mean("map50").alias("map50"), mean("map50_95").alias("map50_95"))
+
+
+def mean_average_precision(text: Column, ignore: list[int] | None = None) -> Column:
+    """mAP50 of ``report_precision``."""
+    return report_precision(text, ignore)["map50"]
+
+
+def position_means(df: DataFrame, values: str, digits: int = 6) -> DataFrame:
+    """``at, n, mean`` over arrays that hold a value for each class."""
+    rows = df.select(F.posexplode(values).alias("at", "v"))
+    return rows.groupBy("at").agg(F.count("*").alias("n"), F.round(F.avg(F.col("v").cast("double")), digits).alias("mean"))

@@ -7,9 +7,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quadrat.functions import geometry as G
+from quadrat.session import running
 
 BACKGROUND = 3
 
@@ -17,13 +17,23 @@ BACKGROUND = 3
 def iou_candidates(truth: DataFrame, preds: DataFrame, same_class: bool = True, least: float = 0.0, inclusive: bool = False) -> DataFrame:
     """Pairs inside an image whose boxes overlap: ``gt, pred`` (structs) and ``iou``. ``truth`` and ``preds`` have
     image_id, class_id, x1, y1, x2, y2. The join is on image (and class), the overlap its condition."""
-    g = truth.select("image_id", F.col("class_id").alias("g_class"), F.struct(*truth.columns).alias("gt"))
-    p = preds.select("image_id", F.col("class_id").alias("p_class"), F.struct(*preds.columns).alias("pred"))
-    on = (g["image_id"] == p["image_id"]) & G.overlaps(g["gt"], p["pred"])
-    found = g.join(p, on & (g["g_class"] == p["p_class"]) if same_class else on)
-    iou = G.box_iou(F.col("gt"), F.col("pred"))
-    found = found.select(g["image_id"], "gt", "pred", iou.alias("iou"))
-    return found.where(F.col("iou") >= least if inclusive else F.col("iou") > least)
+    g = truth.select("image_id", *[F.col(c).alias(f"g_{c}") for c in truth.columns if c != "image_id"])
+    p = preds.select(F.col("image_id").alias("p_image_id"), *[F.col(c).alias(f"p_{c}") for c in preds.columns if c != "image_id"])
+    on = (
+        (F.col("image_id") == F.col("p_image_id")) & (F.col("g_x1") < F.col("p_x2")) & (F.col("p_x1") < F.col("g_x2"))
+        & (F.col("g_y1") < F.col("p_y2")) & (F.col("p_y1") < F.col("g_y2"))
+    )
+    found = g.join(p, on & (F.col("g_class_id") == F.col("p_class_id")) if same_class else on)
+    width = F.least("g_x2", "p_x2") - F.greatest("g_x1", "p_x1")
+    height = F.least("g_y2", "p_y2") - F.greatest("g_y1", "p_y1")
+    area = lambda s: (F.col(f"{s}_x2") - F.col(f"{s}_x1")) * (F.col(f"{s}_y2") - F.col(f"{s}_y1"))
+    # boxes that meet have an intersection; the ratio is taken once, above the join
+    rows = found.withColumn("_i", width * height).withColumn("iou", F.col("_i") / (area("g") + area("p") - F.col("_i")))
+    side = lambda s, columns: F.struct("image_id", *[F.col(f"{s}_{c}").alias(c) for c in columns if c != "image_id"])
+    rows = rows.select("image_id", side("g", truth.columns).alias("gt"), side("p", preds.columns).alias("pred"), "iou")
+    if inclusive:
+        return rows.where(F.col("iou") >= least)
+    return rows.where(F.col("iou") > least) if least > 0 else rows
 
 
 def greedy_match(candidates: DataFrame, gt_key: str, pred_key: str) -> DataFrame:
@@ -81,6 +91,17 @@ def best_by_iou(candidates: DataFrame, pred_key: str, gt_key: str) -> DataFrame:
     ).select("image_id", pred_key, F.col(f"b.{gt_key}").alias(gt_key), F.col("b.iou").alias("iou"))
 
 
+def best_or_background(
+    truth: DataFrame, preds: DataFrame, candidates: DataFrame, gt_key: str, pred_key: str, background: int = BACKGROUND
+) -> DataFrame:
+    """``image_id, true_label, pred_label`` of each prediction: the truth that it overlaps most, or the background."""
+    best = best_by_iou(candidates, pred_key, gt_key)
+    named = best.join(truth.select("image_id", gt_key, F.col("class_id").alias("true_label")), ["image_id", gt_key])
+    rows = preds.select("image_id", pred_key, F.col("class_id").alias("pred_label")).distinct()
+    joined = rows.join(named.select("image_id", pred_key, "true_label"), ["image_id", pred_key], "left")
+    return joined.select("image_id", F.coalesce("true_label", F.lit(background)).alias("true_label"), "pred_label")
+
+
 def image_flags(truth: DataFrame, preds: DataFrame, candidates: DataFrame, gt_key: str, pred_key: str, least: float = 0.5) -> DataFrame:
     """``image_id, has_fp, has_fn``: by the counts where they differ, else by what no other side overlaps enough."""
     n = truth.groupBy("image_id").agg(F.count("*").alias("n_gt")).join(
@@ -102,11 +123,9 @@ def average_precision(preds: DataFrame, positives: DataFrame) -> DataFrame:
     Predictions of equal confidence count together, so a class is summed over its distinct confidences.
     """
     steps = preds.groupBy("class_id", "conf").agg(F.sum(F.col("tp").cast("long")).alias("tp"), F.count("*").alias("n_pred"))
-    w = Window.partitionBy("class_id").orderBy(F.desc("conf"))
-    upto, onwards = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    curve = steps.withColumns({"ctp": F.sum("tp").over(upto), "cn": F.sum("n_pred").over(upto)})
-    curve = curve.withColumn("precision", F.col("ctp") / F.col("cn"))
-    curve = curve.withColumn("envelope", F.max("precision").over(onwards))
+    upto = lambda df, c: running(df, c, "conf", f"c_{c}", ["class_id"], backwards=True)
+    curve = upto(upto(steps, "tp"), "n_pred").withColumn("precision", F.col("c_tp") / F.col("c_n_pred"))
+    curve = running(curve, "precision", "conf", "envelope", ["class_id"], largest=True)
     return positives.join(
         curve.groupBy("class_id").agg(F.sum(F.col("tp") * F.col("envelope")).alias("_area")), "class_id", "left"
     ).select("class_id", F.round(F.coalesce(F.col("_area") / F.col("n"), F.lit(0.0)), 6).alias("ap"))

@@ -99,18 +99,16 @@ def keeps(area: Column, inside: Column, t: Tiling = Tiling()) -> Column:
 def tile_boxes(labels: DataFrame, images: DataFrame, t: Tiling = Tiling()) -> DataFrame:
     """Box labels by tile, cut to it, with pixel coordinates and fractions of the tile."""
     c = candidate_tiles(labels, images, t)
-    box = F.struct("x1", "y1", "x2", "y2")
-    tile = F.struct(
-        F.col("tx").cast("double").alias("x1"), F.col("ty").cast("double").alias("y1"),
-        (F.col("tx") + t.width).cast("double").alias("x2"), (F.col("ty") + t.height).cast("double").alias("y2"),
-    )
-    inside = G.intersection_area(box, tile)
-    kept = c.where((inside > 0) & keeps(G.box_area(box), inside, t))
+    box = {k: F.col(k) for k in ("x1", "y1", "x2", "y2")}
+    x, y = F.col("tx").cast("double"), F.col("ty").cast("double")
+    tile = {"x1": x, "y1": y, "x2": x + t.width, "y2": y + t.height}
     cut = {
-        "cx1": F.greatest("x1", F.col("tx").cast("double")), "cy1": F.greatest("y1", F.col("ty").cast("double")),
-        "cx2": F.least("x2", (F.col("tx") + t.width).cast("double")), "cy2": F.least("y2", (F.col("ty") + t.height).cast("double")),
+        "cx1": F.greatest(box["x1"], tile["x1"]), "cy1": F.greatest(box["y1"], tile["y1"]),
+        "cx2": F.least(box["x2"], tile["x2"]), "cy2": F.least(box["y2"], tile["y2"]),
     }
-    out = kept.withColumns(cut)
+    out = c.withColumns(cut).where("cx1 < cx2 AND cy1 < cy2")
+    out = out.withColumn("inside", (F.col("cx2") - F.col("cx1")) * (F.col("cy2") - F.col("cy1")))
+    out = out.where(keeps(G.box_area(box), F.col("inside"), t)).drop("inside")
     return out.withColumns(
         {
             "nx1": (F.col("cx1") - F.col("tx")) / t.width, "ny1": (F.col("cy1") - F.col("ty")) / t.height,

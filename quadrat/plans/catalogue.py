@@ -35,10 +35,9 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def labels_with_area(spark: SparkSession, d: str) -> DataFrame:
-    """Labels with the area of their polygon."""
+    """Labels with the area of their box, in closed form: a polygon of four right angles needs no fold."""
     v = view(spark, d, "v_labels")
-    coords = G.box_polygon(*(F.col(c) for c in ("x1", "y1", "x2", "y2")))
-    return v.withColumn("area", G.polygon_area(coords))
+    return v.withColumn("area", G.box_area({c: F.col(c) for c in ("x1", "y1", "x2", "y2")}))
 
 
 # ---- areas -------------------------------------------------------------------------------------------------------
@@ -177,8 +176,7 @@ def label_centroids(spark, d):
 
 # ---- names and counts --------------------------------------------------------------------------------------------
 
-_P1 = r"_([^_]+)_([^_]+)_(\d{8})_w(\d+)_T(\d{2})_(\d{2})\.([^.]+)$"
-_P2 = r"(\d+)-(\d+)-(\d+)-(\d+)-(\d+)-(\d{6})-(\d{4})\.([^.]+)$"
+_P1, _P2 = N.SPECIMEN, N.DASHED
 
 
 def _pick(a: int, b: str, kind: str = "VARCHAR") -> str:

@@ -42,14 +42,64 @@ def ranked(df: DataFrame, order: list[Column], bucket: Column, into: str = "rn",
 
 
 def ranked_randomly(df: DataFrame, seed: int | str, key: str, into: str = "rn", within: list[str] | None = None) -> DataFrame:
-    """Rank in ``md5_order``; buckets are the first hex digits, hence even."""
-    order = md5_order(seed, key)
-    return ranked(df, [order, F.col(key)], F.substring(order, 1, 2), into, within)
+    """Rank in ``md5_order``; buckets are the first hex digits, hence even, and as many as the rows need."""
+    order, digits = md5_order(seed, key), 1
+    rows = df.count()
+    while 16**digits * BUCKET_ROWS < rows:
+        digits += 1
+    return ranked(df, [order, F.col(key)], F.substring(order, 1, digits), into, within)
 
 
-def ranked_by_number(df: DataFrame, key: str, into: str = "rn", buckets: int = 256) -> DataFrame:
-    """Rank by a numeric column; buckets are ranges of equal width."""
-    span = df.agg(F.min(key).alias("_low"), F.max(key).alias("_high"))
-    rows = df.crossJoin(F.broadcast(span))  # one row
-    width = F.greatest(F.lit(1), (F.col("_high") - F.col("_low")) / buckets)
-    return ranked(rows, [F.col(key)], F.floor((F.col(key) - F.col("_low")) / width), into).drop("_low", "_high")
+#: Rows of a bucket, on average, and keys that are sampled for each bucket's border.
+BUCKET_ROWS = 250_000
+SAMPLED = 20
+#: Buckets at most: borders are literals of one expression.
+MOST_BUCKETS = 1024
+
+
+def range_bucket(df: DataFrame, key: str) -> Column:
+    """The number of the range that ``key`` lies in, along its order, nulls first. As many ranges as the rows need, their
+    borders from a bounded sample of keys, so that an outlying key makes no bucket large."""
+    buckets = min(MOST_BUCKETS, -(-df.count() // BUCKET_ROWS))
+    if buckets < 2:
+        return F.when(F.col(key).isNull(), -1).otherwise(0)
+    few = df.select(key).where(F.col(key).isNotNull()).orderBy(F.rand(42)).limit(SAMPLED * buckets)
+    keys = sorted(r[0] for r in few.collect())
+    borders = sorted({keys[i * len(keys) // buckets] for i in range(1, buckets)} if keys else ())
+
+    def search(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(F.col(key) < F.lit(borders[mid]), search(low, mid)).otherwise(search(mid + 1, high))
+
+    return F.when(F.col(key).isNull(), -1).otherwise(search(0, len(borders)))
+
+
+def ranked_by_key(df: DataFrame, key: str, into: str = "rn", then: list[str] = (), within: list[str] | None = None) -> DataFrame:
+    """Rank by a column, then by others."""
+    return ranked(df, [F.col(key), *map(F.col, then)], range_bucket(df, key), into, within)
+
+
+ranked_by_number = ranked_by_key
+
+
+def running(
+    df: DataFrame, value: str, key: str, into: str, within: list[str] | None = None, then: list[str] = (), largest: bool = False,
+    backwards: bool = False,
+) -> DataFrame:
+    """``df`` with the sum (or the largest) of ``value`` from the first row to this one in the order of ``key``, in each
+    group of ``within``; ``backwards`` from the last row. Inside ranges of the key by windows; a table with a row for
+    each range adds what the others bring."""
+    groups = within or []
+    total = F.max if largest else F.sum
+    rows = df.withColumn("_bucket", range_bucket(df, key))
+    parts = rows.groupBy(*groups, "_bucket").agg(total(value).alias("_part"))
+    turn = (lambda c: F.col(c).desc()) if backwards else F.col
+    others = Window.partitionBy(*groups).orderBy(turn("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_before", total("_part").over(others)).drop("_part")
+    inside = Window.partitionBy(*groups, "_bucket").orderBy(*map(turn, [key, *then])).rowsBetween(Window.unboundedPreceding, 0)
+    joined = rows.withColumn("_inside", total(value).over(inside))
+    out = joined.join(parts, [joined[k].eqNullSafe(parts[k]) for k in [*groups, "_bucket"]])
+    both = F.greatest("_inside", "_before") if largest else F.col("_inside") + F.coalesce("_before", F.lit(0))
+    return out.select(*[joined[c] for c in df.columns], both.alias(into))

@@ -60,7 +60,7 @@ def test_predict(spark):
 
 
 def test_texts(spark):
-    text = "x\n[[1 2.\n 3]\n [4 5 6]]\nall 10 20 0.5 0.6 0.7 0.4\na 1 2 0.1 0.2 0.3 0.4\nb 1 2 0.1 0.2 0.5 0.4\n"
+    text = "x\n[[1 2.\n 3]\n [4 5 6]]\nall 10 20 0.5 0.6 0.9 0.8 0.5 0.6 0.7 0.4\na 1 2 0 0 0 0 0.1 0.2 0.3 0.4\nb 1 2 0 0 0 0 0.1 0.2 0.5 0.2\n"
     df = spark.createDataFrame([(text,), ("none",)], "t string")
     got = df.select(experiments.matrix_from_text(F.col("t")), experiments.mean_average_precision(F.col("t")), experiments.mean_average_precision(F.col("t"), [0])).collect()
     assert got[0][0] == [[1, 2, 3], [4, 5, 6]] and got[0][1] == 0.7 and got[0][2] == pytest.approx(0.5)
