@@ -27,8 +27,8 @@ def iou_candidates(truth: DataFrame, preds: DataFrame, same_class: bool = True,
     width = F.least("g_x2", "p_x2") - F.greatest("g_x1", "p_x1")
     height = F.least("g_y2", "p_y2") - F.greatest("g_y1", "p_y1")
     area = lambda s: (F.col(f"{s}_x2") - F.col(f"{s}_x1")) * (F.col(f"{s}_y2") - F.col(f"{s}_y1"))
-    # boxes that meet have an intersection; the ratio is taken once, above the join
-    rows = found.withColumn("_i", width * height).withColumn("iou", F.col("_i") / (area("g") + area("p") - F.col("_i")))
+    # boxes that meet have an intersection; the ratio is taken once, above the join, unless a bound is pushed below it
+    rows = found.withColumn("_i", width * height).withColumn("iou", F.try_divide("_i", area("g") + area("p") - F.col("_i")))
     side = lambda s, columns: F.struct("image_id", *[F.col(f"{s}_{c}").alias(c) for c in columns if c != "image_id"])
     rows = rows.select("image_id", side("g", truth.columns).alias("gt"), side("p", preds.columns).alias("pred"), "iou")
     if inclusive:

@@ -113,3 +113,12 @@ def class_distribution(pairs: DataFrame, classes: list[int], background: int = B
         F.sum(F.when(F.col("true_label") == F.col("label"), F.col("n")).otherwise(0)).alias("n_true"),
         F.sum(F.when(F.col("pred_label") == F.col("label"), F.col("n")).otherwise(0)).alias("n_pred"),
     )
+
+
+def run_summary(images: DataFrame, counts: DataFrame) -> DataFrame:
+    """Images with labels, without any, and all labels. ``counts``: image_id, n."""
+    rows = images.select("image_id").join(counts, "image_id", "left").fillna(0, ["n"])
+    return rows.agg(
+        F.count("*").alias("n_images"), F.count_if(F.col("n") > 0).alias("processed"), F.count_if(F.col("n") == 0).alias("skipped"),
+        F.sum("n").alias("n_labels"),
+    )

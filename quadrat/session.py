@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,6 +20,20 @@ def session(app: str = "quadrat", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder that driver and executors share, deleted when the session ends. ``spark.checkpoint.dir``
+    names that folder; without it, a folder of this machine serves a local session only."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
+    path = f"{named.rstrip('/')}/{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
 def md5_order(seed: int | str, *keys: Column | str) -> Column:
     """A reproducible random order: the md5 of seed and key. The same in any SQL engine."""
     texts = [(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys]

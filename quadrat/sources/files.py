@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrat.functions import names as N
+from quadrat.operators import folders
 
 IMAGES = ("jpg", "jpeg", "png", "bmp")
 
@@ -19,6 +25,21 @@ def listing(spark: SparkSession, path: str | list[str], extensions: tuple[str, .
     return rows.where(N.extension(F.col("path")).isin([e.lower().lstrip(".") for e in extensions])) if any_case else rows
 
 
+def zip_members(spark: SparkSession, path: str) -> DataFrame:
+    """``archive, name, content`` of the files in archives, one archive at a time in a task."""
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for archive, data in zip(batch["path"], batch["content"]):
+                with zipfile.ZipFile(io.BytesIO(data)) as found:
+                    for info in found.infolist():
+                        if not info.is_dir():
+                            yield pd.DataFrame({"archive": [archive], "name": [info.filename], "content": [found.read(info)]})
+
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
+    return rows.mapInPandas(unpack, "archive string, name string, content binary")
+
+
 def with_empty(spark: SparkSession, rows: DataFrame) -> DataFrame:
     """``path, length`` of a listing and of its files without a byte. Readers give no row for those; the index, which is
     on the driver anyway, has them."""
@@ -74,14 +95,9 @@ def label_states(spark: SparkSession, image_path: str, label_path: str) -> DataF
 
 def pairs(spark: SparkSession, image_path: str, label_path: str, positional: bool = False) -> DataFrame:
     """``image_path, label_path`` by stem; ``positional`` pairs the i-th of both in order of name instead."""
-    a = listing(spark, image_path).select(F.col("path").alias("image_path"), N.stem(F.col("path")).alias("stem"))
-    b = with_empty(spark, listing(spark, label_path, ("txt",))).select(F.col("path").alias("label_path"), N.stem(F.col("path")).alias("stem"))
-    if not positional:
-        return a.join(b, "stem").select("image_path", "label_path")
-    from quadrat.session import ranked
-
-    order = lambda df, c: ranked(df.drop("stem"), [F.col(c)], F.substring(F.col(c), 1, 1), "_rn")
-    return order(a, "image_path").join(order(b, "label_path"), "_rn").drop("_rn")
+    a = listing(spark, image_path).select(F.col("path").alias("image_path"))
+    b = with_empty(spark, listing(spark, label_path, ("txt",))).select(F.col("path").alias("label_path"))
+    return folders.pairs(a, b, positional)
 
 
 COCO = (
@@ -116,7 +132,7 @@ def cvat(spark: SparkSession, path: str) -> DataFrame:
 def cvat_polygons(images_: DataFrame) -> DataFrame:
     """``id, name, label, coords`` of polygons."""
     rows = images_.select("id", "name", F.explode("polygon").alias("p"))
-    coords = F.transform(F.split(F.col("p._points"), "[;,]"), lambda c: c.cast("double"))
+    coords = F.transform(F.filter(F.split(F.col("p._points"), "[;,]"), lambda c: c != ""), lambda c: c.cast("double"))
     return rows.select("id", "name", F.col("p._label").alias("label"), coords.alias("coords"))
 
 

@@ -15,7 +15,7 @@ CLASSES = "class_id int, name string"
 
 def read_text(spark: SparkSession, path: str) -> str:
     """A small file by any path that Spark reads."""
-    rows = spark.read.text(path, wholetext=True).collect()
+    rows = spark.read.text(path, wholetext=True).where("value <> ''").collect()
     return rows[0][0] if rows else ""
 
 
@@ -46,10 +46,13 @@ def _listed(value, strings: bool) -> Iterable[tuple[str | None, str]]:
         raise ValueError(f"not a list of paths: {value!r}")
 
 
-def paths(found: dict, keys: Iterable[str] = KEYS, strings: bool = True) -> list[tuple[str, str, str]]:
-    """(data set, split, path) of a manifest; an error if there is none."""
+def paths(found: dict, keys: Iterable[str] = KEYS, strings: bool = True, strict: bool = False) -> list[tuple[str, str, str]]:
+    """(data set, split, path) of a manifest; an error if there is none. Without ``strings`` a string is ignored; if
+    ``strict``, it is an error."""
     out = []
     for key in keys:
+        if strict and isinstance(found.get(key), str):
+            raise ValueError(f"{key} must be a list or a map")
         for name, path in _listed(found.get(key), strings):
             parts = [p for p in PurePosixPath(path).parts if p not in ("images", "/")]
             out.append((name or (parts[-1] if parts else path), key, path))
@@ -71,6 +74,16 @@ def dump(names: dict[int, str], splits: dict[str, list[str]], root: str) -> str:
     return yaml.safe_dump({"path": root, **splits, "names": dict(names)}, sort_keys=False, allow_unicode=True)
 
 
+def write(spark: SparkSession, text: str, path: str) -> None:
+    """A small file by any path that Spark writes."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def renamed(names: dict[int, str], changes: dict[int, str]) -> dict[int, str]:
+    """A class map with some names changed or added, in order of number."""
+    return dict(sorted((names | changes).items()))
+
+
 def cumulative(upto: int, step: int = 10) -> list[str]:
     """Folders of nested training sets up to a size."""
     return [f"train_{n}/images" for n in range(step, upto + 1, step)]

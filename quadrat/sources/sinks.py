@@ -30,7 +30,9 @@ def predictions_text(preds: DataFrame, path: str, boxes: bool = False) -> None:
     preds.select(line.alias("value")).write.mode("overwrite").text(path)
 
 
-def write_coco(images: DataFrame, annotations: DataFrame, categories: DataFrame, path: str, tables: bool = True, description: str = "") -> None:
+def write_coco(
+    images: DataFrame, annotations: DataFrame, categories: DataFrame, path: str, tables: bool = True, description: str = "", licence: str = ""
+) -> None:
     """Three tables, the form that scales; or one document, for a set that fits a task."""
     if tables:
         for name, df in (("images", images), ("annotations", annotations), ("categories", categories)):
@@ -42,7 +44,8 @@ def write_coco(images: DataFrame, annotations: DataFrame, categories: DataFrame,
 
     doc = listed(images, "images").crossJoin(listed(annotations, "annotations")).crossJoin(listed(categories, "categories"))  # one row each
     info = F.struct(F.lit(description).alias("description"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("date_created"))
-    doc.select(F.to_json(F.struct(info.alias("info"), "images", "annotations", "categories")).alias("value")).coalesce(1).write.mode(
+    licences = F.array(F.struct(F.lit(1).alias("id"), F.lit(licence).alias("name"))).alias("licenses")
+    doc.select(F.to_json(F.struct(info.alias("info"), licences, "images", "annotations", "categories")).alias("value")).coalesce(1).write.mode(
         "overwrite"
     ).text(path)
 
@@ -86,3 +89,8 @@ def copy_plan(images: DataFrame, root: str, to: str) -> DataFrame:
     """``src, dst`` of image and label files, relative paths kept: tables refer to files instead of copying them."""
     both = images.select(F.explode(F.array("image_path", N.label_path(F.col("image_path")))).alias("src"))
     return both.select("src", F.concat(F.lit(to), F.substring(F.col("src"), F.lit(len(root) + 1), F.length("src"))).alias("dst"))
+
+
+def write_table(rows: DataFrame, path: str) -> None:
+    """Metrics, details, summaries or lists of names as delimited text with a header."""
+    rows.write.mode("overwrite").csv(path, header=True)

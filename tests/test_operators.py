@@ -83,6 +83,8 @@ def test_manifest(spark, tmp_path):
         manifest.parse("train: []")
     with pytest.raises(ValueError, match="paths"):
         manifest.paths({"names": []})
+    with pytest.raises(ValueError):
+        manifest.paths({"names": [], "data": "a/images"}, ["data"], strict=True)
     assert manifest.merge_classes([["a", "b"], ["c"], {0: "d", 5: "e"}]) == {0: "a", 1: "b", 2: "c", 5: "e"}
 
 
