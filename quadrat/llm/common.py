@@ -135,6 +135,8 @@ def for_stage(make: Callable[..., T], *name) -> T:
     read, so that workers, which live long, don't gather what each operator remembers."""
     key = (_let_go(), make, *name)
     if key not in _HELD:
+        for other in [k for k in _HELD if k[1] is make]:
+            del _HELD[other]
         _HELD[key] = make(*name)
     return _HELD[key]
 

@@ -92,6 +92,24 @@ def test_furniture():
     assert extract.main_text(extract.blocks(page), None) == "keep\none\ntwo\nlastx"
 
 
+def test_headlines_stay():
+    page = (
+        '<article><header class="entry-header"><h1 class="post-header">Title</h1></header><p class="tag">kept</p><p><math><mi>x</mi></math> one</p>'
+        '<svg><text>drawn</text></svg><div class="related">no</div><p class="ad">no</p><p>a\u200bb</p></article>'
+    )
+    assert extract.main_text(extract.blocks(page), None) == "Title\nkept\nx one\ndrawn\na\u200bb"
+
+
+def test_differencing_decides(spark):
+    """Without a neighbour the same page keeps the line that it shares with it."""
+    page = "<article><h1>{0}</h1><p>{0} has its own text here</p><p>Read our rules</p></article>"
+    rows = [(i, f"http://k/p/{i}", page.format(f"title {i}")) for i in range(2)]
+    both = spark.createDataFrame(rows, "page_id long, url string, html string")
+    alone = extract.extract(both.where("page_id = 0")).collect()[0].text
+    assert alone.endswith("Read our rules")
+    assert all("rules" not in r.text for r in extract.extract(both).collect())
+
+
 @pytest.mark.parametrize("text", ["<" * 50000, "<a " * 20000, "<p>" * 20000, "<!--" * 20000, "<li>" * 10000, '<a "' * 20000])
 def test_extract_odd(text):
     extract.blocks(text)
@@ -141,7 +159,8 @@ def test_leaks(spark):
 
 def test_token_counts(spark):
     path = vocabulary("piece_bpe_32k.model")
-    trie = tokencount.load(path)
+    model = tokencount.fit(["the quick brown fox jumps over the lazy dog"] * 3, tokencount.vocabulary_of(path))
+    trie = tokencount._trie(path, model)
 
     def brute(word):
         w = tokencount.MARK + word
@@ -151,17 +170,34 @@ def test_token_counts(spark):
             if w[end - 1] not in trie.pieces:
                 n = len(w[end - 1].encode())
                 ways.append((forward[-1], best[-1], n * trie.byte_score, n))
-            forward.append(math.log(sum(math.exp(f + p) for f, _, p, _ in ways)))
+            most = max(f + p for f, _, p, _ in ways)
+            forward.append(most + math.log(sum(math.exp(f + p - most) for f, _, p, _ in ways)))
             best.append(max(((b[0] + p, b[1] + n) for _, b, p, n in ways), key=lambda x: x[0]))
         return best[-1][1], forward[-1]
 
-    rows = [*ODD[:7], (20, "the quick brown fox, the quicker foxes 漢字 \U0001f600")]
-    for r in tokencount.token_counts(docs_of(spark, rows), path).collect():
+    rows = [*ODD[:7], (20, "the quick brown fox, the quicker foxes 漢字 \U0001f600"), (21, "quick" * 200), (22, "quicker qui the then")]
+    for r in tokencount.token_counts(docs_of(spark, rows), path, model).collect():
         texts = [t or "" for i, t in rows if i == r.doc_id]
         want = [brute(w) for w in texts[0].split()]
         assert r.n_pretokens == len(want) and r.n_tokens == sum(n for n, _ in want)
         assert r.forward_logprob == pytest.approx(sum(f for _, f in want))
     assert tokencount.token_counts(docs_of(spark, rows).limit(0), path).count() == 0
+    one, again = (tokencount.Trie(trie.pieces, trie.byte_score, room) for room in (1, 1 << 20))
+    texts = [t for _, t in rows if t]
+    assert [list(one.measure([t])) for t in texts] == [list(again.measure([t])) for t in texts] == [list(again.measure([t])) for t in texts]
+    assert again.alone("quicker") == again.terminals["quicker"] and len(again.scores) > len(one.scores)
+
+
+def test_unigram_fit(spark):
+    path = vocabulary("piece_bpe_32k.model")
+    pieces = tokencount.vocabulary_of(path)
+    text = "the cat sat on the mat and the dog sat on the log " * 3
+    model = tokencount.fit([text], pieces)
+    found = dict(zip(pieces, model.scores))
+    assert math.fsum(map(math.exp, model.scores)) == pytest.approx(1.0)
+    assert found["▁the"] > found["▁cat"] > found["▁zebra"] if "▁zebra" in found else found["▁the"] > found["▁cat"]
+    docs = docs_of(spark, [(i, text) for i in range(50)] + [(None, text), (60, None)])
+    assert tokencount.sample(docs.select("doc_id", "text")) == tokencount.sample(docs.repartition(5).select("doc_id", "text"))
 
 
 # ---- 5 ---------------------------------------------------------------------------------------------------------------
