@@ -89,7 +89,7 @@ def lots(texts: list[str], most: int, chars: int = LOT_CHARS) -> Iterator[list[s
 
 
 class Memory:
-    """A dictionary of strings to bytes whose size in bytes is bounded, keys, values and slots counted. The older of two
+    """A dictionary of strings to bytes (or short tuples) whose size in bytes is bounded, keys, values and slots counted. The older of two
     generations is dropped when the younger has half of ``room``."""
 
     #: Bytes of an entry besides the characters of its key and the bytes of its value.
@@ -98,7 +98,7 @@ class Memory:
     def __init__(self, room: int):
         self.room, self.young, self.old, self.used = room, {}, {}, 0
 
-    def keep(self, keys: Collection[str], values: list[bytes]) -> None:
+    def keep(self, keys: Collection[str], values: list) -> None:
         self.young.update(zip(keys, values))
         self.used += sum(map(len, keys)) + sum(map(len, values)) + self.SLOT * len(values)
 
