@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -117,16 +119,24 @@ class Memory:
             self.young, self.old, self.used = {}, self.young, 0
 
 
-#: What a worker remembers, by stage and name; see ``for_stage``.
+#: What a worker remembers, by stage and name; see ``for_stage``. And the stage of the last task that read.
 _HELD: dict[tuple, object] = {}
+_LAST: list[int | None] = [None]
 
 
 def _let_go() -> int | None:
-    """Drop what was remembered for other stages than the running task's, which is returned."""
+    """The running task's stage. If it is another than the last task's, what was remembered is dropped, and freed memory
+    handed back to the system."""
     task = TaskContext.get()
     stage = task.stageId() if task else None
-    for key in [k for k in _HELD if k[0] != stage]:
-        del _HELD[key]
+    if stage != _LAST[0]:
+        _LAST[0] = stage
+        _HELD.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
     return stage
 
 

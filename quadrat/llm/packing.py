@@ -40,7 +40,7 @@ GROUP_ITEMS = 20_000
 #: A sequence filled less than this is opened for the exchange, also in a certified group.
 FULL_ENOUGH = 0.98
 #: Bytes that a worker's memories of chunks and of words take while the stage runs.
-CHUNK_BYTES, WORD_BYTES = 64 << 20, 112 << 20
+CHUNK_BYTES, WORD_BYTES = 56 << 20, 80 << 20
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
