@@ -8,8 +8,8 @@
    every group are opened, and their pieces meet those of other groups, are dealt anew to fewer groups and packed
    again. Rounds end when one group has packed all that is left; each round leaves a small part of the one before.
 
-Memory: one group's numbers (``GROUP_ITEMS`` pieces) in a task; where texts are tokenised, the tokenizer and the ids of
-known words, bounded in bytes, in a worker as long as the stage runs. Nothing is collected to the driver but counts.
+Memory: one group's numbers (``GROUP_ITEMS`` pieces) in a task; where texts are tokenised, the tokenizer, the ids of known
+words, bounded in bytes, in a worker as long as the stage runs, and one lot of texts (a longer text goes alone). Nothing is collected to the driver but counts.
 Rounds end after ``max_rounds`` at the latest; each leaves a few hundredths of the pieces.
 
 Defined cases: a null text is empty and gives the end id alone; repeated rows are packed one by one; a null id is kept;
@@ -22,12 +22,11 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import compress
-from operator import not_
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,26 +38,28 @@ END_ID = 1
 GROUP_ITEMS = 20_000
 #: A sequence filled less than this is opened for the exchange, also in a certified group.
 FULL_ENOUGH = 0.98
-#: Bytes that a worker's memories of chunks and of words take while the stage runs.
-CHUNK_BYTES, WORD_BYTES = 56 << 20, 80 << 20
+#: Bytes that a worker's memory of words takes while the stage runs, and characters of the texts encoded at once.
+WORD_BYTES, LOT_CHARS = 96 << 20, 3 << 20
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 #: Chunks with other characters than these, or with ``<|``, send their text through the tokenizer whole: its normaliser
-#: may then work across chunks, its white space differ from Python's, or a special token start.
-_ODD = re.compile(r"(?<![^ ])[^ ]*?(?:[^ !-~ß-öø-đĕ-įĺ-ňŋ-ž]|<\|)[^ ]*")
+#: may then work across chunks, its white space differ from Arrow's, or a special token start.
+_ODD = r"[^!-~ß-öø-đĕ-įĺ-ňŋ-ž]|<\|"
 _WORDS = re.compile(r" |'s|'t|'re|'ve|'m|'ll|'d|[a-zß-ž]+|\d|[^a-zß-ž0-9 ]+")
-#: Stands between the ids of two chunks; every id has zeros in its upper bytes.
+#: Stands after the ids of a chunk; every id has zeros in its upper bytes.
 _BETWEEN = b"\xff" * 4
+#: White space to Arrow, but not to the tokenizer.
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
 class Encoder:
-    """Texts to little-endian 32-bit ids, with memories of the chunks between white space and of the words in them.
+    """Texts to little-endian 32-bit ids, with a memory of words.
 
     The tokenizer lower-cases, drops white space and merges within a word only, so a word's ids don't depend on its
-    neighbours and each distinct word is tokenised once: those that a text brings go in one string, and are told apart
-    by the ids that end a word. A text with an ``_ODD`` chunk goes to the tokenizer as it is.
+    neighbours. Arrow splits a lot of texts into chunks at white space and tells the distinct ones; these are split into
+    words, of which those unknown go to the tokenizer in one string and are told apart by the ids that end a word. The
+    ids of all chunks are then gathered by numpy. A text with an ``_ODD`` chunk goes to the tokenizer as it is.
     """
 
     def __init__(self, path: str):
@@ -66,49 +67,55 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.chunks, self.words = Memory(CHUNK_BYTES), Memory(WORD_BYTES)
+        self.words = Memory(WORD_BYTES)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # of ids: whether they end a word
         self.last[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
 
+    def _ids(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
     def _direct(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, chunks: set[str]) -> set[str]:
-        """Make chunks known; those that only their text can be tokenised with are returned."""
-        new = self.chunks.missing(chunks)
-        odd = set(_ODD.findall(" ".join(new)))
-        new = [c for c in new if c not in odd] if odd else new
-        if not new:
-            return odd
-        parts = _WORDS.findall(" ".join(new))
+        return self._ids(text).tobytes()
+
+    def _chunk_ids(self, chunks: list[str]) -> np.ndarray:
+        """The ids of chunks, one after the other, ``_BETWEEN`` behind each."""
+        parts = _WORDS.findall(" ".join([*chunks, ""]))
+        self.words.turn()
         unknown = self.words.missing(set(parts) - {" "})
         if unknown:
-            ids = np.asarray(self.tokenizer.encode(" ".join(unknown), add_special_tokens=False).ids, "<u4")
+            ids = self._ids(" ".join(unknown))
             data = ids.tobytes()
             ends = [0, *((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()]
             self.words.keep(unknown, [data[a:b] for a, b in zip(ends, ends[1:], strict=False)])
         known = self.words.young
         known[" "] = _BETWEEN
-        self.chunks.keep(new, b"".join(map(known.__getitem__, parts)).split(_BETWEEN))
-        return odd
+        return np.frombuffer(b"".join(map(known.__getitem__, parts)), "<u4")
+
+    def _lot(self, texts: list[str]) -> Iterator[bytes]:
+        split = pc.utf8_split_whitespace(pa.array([t.lower() for t in texts], pa.large_string()))
+        coded = split.values.dictionary_encode()
+        codes, chunks = coded.indices.to_numpy(), coded.dictionary
+        odd = pc.match_substring_regex(chunks, _ODD)
+        ids = self._chunk_ids(pc.if_else(odd, "", chunks).to_pylist())
+        ends = np.flatnonzero(ids == 0xFFFFFFFF)
+        starts = np.concatenate(([0], ends[:-1] + 1)) if len(ends) else ends
+        lengths = (ends - starts)[codes]
+        to = np.concatenate(([0], np.cumsum(lengths)))  # the first of each chunk's ids among all
+        ids = ids[np.repeat(starts[codes] - to[:-1], lengths) + np.arange(to[-1])]
+        borders = split.offsets.to_numpy()
+        whole = np.concatenate(([0], np.cumsum(odd.to_numpy(zero_copy_only=False)[codes])))[borders]
+        at = to[borders].tolist()
+        for text, a, b, direct in zip(texts, at, at[1:], np.diff(whole).tolist()):
+            if direct or any(c in text for c in _SEPARATORS):
+                yield self._direct(text)
+            else:
+                yield ids[a:b].tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text; the new chunks of all texts are made known together."""
-        for part in lots(texts, 1024):
-            split = [t.lower().split() for t in part]
-            self.chunks.turn()
-            self.words.turn()
-            found = [list(map(self.chunks.young.get, chunks)) for chunks in split]
-            odd = self._learn({c for chunks, ids in zip(split, found) for c in compress(chunks, map(not_, ids))})
-            known = self.chunks.young
-            for text, chunks, ids in zip(part, split, found):
-                if any(c in text for c in _SEPARATORS) or odd and not odd.isdisjoint(chunks):
-                    yield self._direct(text)
-                elif None in ids:
-                    yield b"".join([known[c] if i is None else i for c, i in zip(chunks, ids)])
-                else:
-                    yield b"".join(ids)
+        """The ids of each text."""
+        for part in lots(texts, len(texts), LOT_CHARS):
+            yield from self._lot(part)
 
     def __call__(self, text: str) -> bytes:
         return next(self.encode([text]))

@@ -429,6 +429,9 @@ def test_encoder():
     alphabet = "ab Z's'tl0123½²ⅧÀéßŸſ_-,.\n\t'dxÿ×÷ɐ<|endoftext|>ŉ＀ĳİı\x1c\xa0 "
     texts = ["".join(rng.choice(alphabet) for _ in range(14)) for _ in range(3000)] + ["<|endoftext|> a", "It's 1,234 KELVIN K", ""]
     assert list(e.encode(texts)) == [e._direct(t) for t in texts]
+    plain = e.tokenizer.encode("".join(texts), add_special_tokens=False).ids
+    assert np.frombuffer(e("".join(texts)), "<u4").tolist() == plain
+    assert list(e.encode(["", " ", ""])) == [b"", b"", b""] and list(e.encode([])) == []
 
 
 def test_bounds_and_fit():
