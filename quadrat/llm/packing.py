@@ -8,9 +8,9 @@
    every group are opened, and their pieces meet those of other groups, are dealt anew to fewer groups and packed
    again. Rounds end when one group has packed all that is left; each round leaves a small part of the one before.
 
-Memory: one group's numbers (``GROUP_ITEMS`` pieces) in a task; where texts are tokenised, the tokenizer, the ids of known
-words, bounded in bytes, in a worker as long as the stage runs, and one lot of texts (a longer text goes alone). Nothing is collected to the driver but counts.
-Rounds end after ``max_rounds`` at the latest; each leaves a few hundredths of the pieces.
+Memory: one group's numbers (``GROUP_ITEMS`` pieces) in a task; where texts are tokenised, one lot of texts (a longer text
+goes alone), and in a worker, as long as the stage runs, the tokenizer and the ids of known words, bounded in bytes.
+Nothing is collected to the driver but counts. Rounds end after ``max_rounds`` at the latest; each leaves a few hundredths of the pieces.
 
 Defined cases: a null text is empty and gives the end id alone; repeated rows are packed one by one; a null id is kept;
 an empty table gives no rows. Extra columns are not read.
