@@ -1,4 +1,18 @@
-"""A training corpus from raw documents: five stages, each on all that the one before kept."""
+"""A training corpus from raw documents: five stages, each on all that the one before kept.
+
+Defined cases, by stage:
+
+* language: a null, empty or blank text, or one without a letter, goes, as its language can't be told; repeated rows are
+  judged one by one; a score equal to the bar stays.
+* near_dedup: equal rows and texts of equal shingle sets are copies; the one with the least id stays, of rows with one id
+  one; a null id counts as no id.
+* decontamination: repeated rows go or stay together; null and blank items of the benchmark match nothing.
+* pii: no row goes; a text without personal data stays as it is.
+* packing: repeated rows and null ids are packed one by one; a long text is cut into pieces, an empty one is its end id.
+
+Very long texts are read whole by every stage. All stages but the last return the columns of their input, extra ones
+with their values, whatever their names. An empty table gives no rows.
+"""
 
 from __future__ import annotations
 

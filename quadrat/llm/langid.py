@@ -13,7 +13,8 @@ The model is fitted on a bounded sample: about ``PER_LANGUAGE`` windows of ``WIN
 a hash of the id among the rows that may be learned from. Language, source and id are never inputs of a prediction.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; without labelled rows every text is;
-a null id is in no fold's sample but is predicted; repeated rows are treated one by one; an empty table gives no rows.
+a null id is in no fold's sample but is predicted; repeated rows are treated one by one; very long texts are read whole;
+of languages that tie, the first by name is predicted; an empty table gives no rows.
 """
 
 from __future__ import annotations

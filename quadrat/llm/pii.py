@@ -9,8 +9,8 @@ span of its kind, is left out; all base spans stay.
 One pass, no shuffle. The detectors are linear in the text: those whose pattern could rescan a long run start at
 anchors (an ``@``, the first digit of a run) instead.
 
-Defined cases: a null text is empty; a null id is kept; repeated rows are treated one by one; an empty table gives no
-rows. Extra columns are not read by the query; ``redact`` keeps them.
+Defined cases: a null text is empty; a null id is kept; repeated rows are treated one by one; very long texts are read
+whole, in linear time; an empty table gives no rows. Extra columns are not read by the query; ``redact`` keeps them.
 """
 
 from __future__ import annotations

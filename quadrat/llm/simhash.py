@@ -15,7 +15,8 @@ up all 696 neighbours within three bits. So no bucket is unbounded and none is c
 Equal texts meet as one fingerprint before any of this.
 
 Defined cases: null, empty and blank texts have fingerprint zero and are linked like any other; a null id counts as no
-id in the minimum; repeated rows are both returned; an empty table gives no rows. Extra columns are not read.
+id in the minimum; repeated rows are both returned; a bit set in exactly half the shingles is 0; very long texts are
+read whole; an empty table gives no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
