@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadrat.llm import decontaminate, extract, langid, ogg, packing, pii, simhash, suffix, tokencount, warc
+from quadrat.llm import decontaminate, extract, langid, ogg, packing, pii, prefixes, simhash, suffix, tokencount, warc
 from quadrat.llm.common import scratch, table
 
 
@@ -72,6 +72,54 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+OP11_SQL = """
+WITH t AS (
+  SELECT conv_id AS c, turn, coalesce(text, '') AS text,
+         md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS tok
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT c, tok, strlen(text) AS b, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, tok) AS i FROM t
+), codes AS (
+  SELECT DISTINCT c, c - c % 5 AS base, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda s: CAST(ord(s) AS BIGINT)) AS code FROM t
+), h AS (
+  SELECT c, base, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), code), lambda a, b:
+    list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1))))) % 9 AS h
+  FROM codes
+), m AS (
+  SELECT h.c, h.base, h.h, count(own.i) AS m FROM h LEFT JOIN own ON own.c = h.base AND own.i <= h.h GROUP BY ALL
+), seq AS (
+  SELECT m.c, own.i, tok, b FROM m JOIN own ON own.c = m.base AND own.i <= m.h
+  UNION ALL
+  SELECT m.c, own.i - m.h + m.m, tok, b FROM m JOIN own ON own.c = m.c AND own.i > m.h
+), named AS (
+  SELECT c, i, b, md5(string_agg(tok, '') OVER (PARTITION BY c ORDER BY i ROWS UNBOUNDED PRECEDING)) AS name FROM seq
+), p AS (
+  SELECT *, coalesce(lag(name) OVER (PARTITION BY c ORDER BY i), '') AS parent FROM named
+  UNION ALL SELECT c, 0, 0, '', NULL FROM m
+), nodes AS (
+  SELECT name, i AS depth, any_value(parent) AS parent, min(c) AS c, count(*) AS n, (count(*) - 1) * any_value(b) AS saved FROM p GROUP BY name, i
+), kids AS (
+  SELECT parent AS name, count(*) AS kids FROM nodes WHERE depth > 0 GROUP BY 1
+), below AS (
+  SELECT p.name, sum(CASE WHEN kids.name IS NULL THEN 1 ELSE 0 END) AS leaves, sum(d.saved) AS saved
+  FROM nodes AS d JOIN p ON p.c = d.c AND p.i <= d.depth LEFT JOIN kids ON kids.name = d.name GROUP BY 1
+), lasts AS (
+  SELECT c, arg_max(name, i) AS name FROM p GROUP BY c
+), ends AS (
+  SELECT name, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS digest FROM lasts GROUP BY name
+)
+SELECT x.c AS conv_id, CAST(x.depth AS BIGINT) AS depth, up.c AS parent_conv_id, CAST(x.n AS BIGINT) AS n_convs,
+       CAST(coalesce(kids.kids, 0) AS BIGINT) AS n_children, CAST(below.leaves AS BIGINT) AS n_leaves,
+       CAST(below.saved AS BIGINT) AS saved_tokens, coalesce(ends.digest, sha256('')) AS ends_sha256
+FROM nodes AS x LEFT JOIN nodes AS up ON up.name = x.parent LEFT JOIN kids ON kids.name = x.name
+LEFT JOIN below ON below.name = x.name LEFT JOIN ends ON ends.name = x.name
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_extract": op2_extract,
@@ -83,5 +131,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_packing": op9_packing,
     "op10_suffix": op10_suffix,
+    "op11_prefix_trie": op11_prefix_trie,
 }
-ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op11_prefix_trie": OP11_SQL}
