@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadrat.llm import decontaminate, extract, langid, ogg, packing, pii, prefixes, simhash, suffix, tokencount, warc
+from quadrat.llm import decontaminate, extract, langid, ogg, packing, phrases, pii, prefixes, simhash, suffix, tokencount, warc
 from quadrat.llm.common import scratch, table
 
 
@@ -120,6 +120,45 @@ LEFT JOIN below ON below.name = x.name LEFT JOIN ends ON ends.name = x.name
 """
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH t AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang,
+         string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces
+  FROM documents
+), p AS (
+  SELECT lang, list_filter(string_split_regex(unnest(pieces), '[\x20\x09]+'), lambda w: w <> '') AS w FROM t
+), g AS (
+  SELECT lang, len, unnest(list_transform(range(1, len(w) - len + 2), lambda i: array_to_string(w[i:i + len - 1], ' '))) AS phrase
+  FROM p, range(1, 6) AS r(len) WHERE len(w) >= len
+), f AS (
+  SELECT lang, len, phrase, count(*) AS f FROM g GROUP BY ALL
+), n AS (
+  SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE len = 1 GROUP BY lang
+), c AS (
+  SELECT lang, len, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE len > 1 AND f >= 100
+), inside AS (
+  SELECT c.lang, array_to_string(c.w[i:i + s - 1], ' ') AS phrase, max(a) AS most
+  FROM c, range(2, 5) AS sizes(s), range(1, 5) AS starts(i) WHERE s < len AND i + s - 1 <= len GROUP BY ALL
+), cuts AS (
+  SELECT c.lang, c.phrase, c.a, k, x.f AS l, y.f AS r, n.n,
+         CAST((1000::HUGEINT * c.a * n.n) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM c JOIN n USING (lang), range(1, 5) AS ks(k), f AS x, f AS y
+  WHERE k < c.len AND x.lang = c.lang AND x.phrase = array_to_string(c.w[1:k], ' ')
+    AND y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1:c.len], ' ')
+), best AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, n, score
+FROM best AS b LEFT JOIN inside AS i ON i.lang = b.lang AND i.phrase = b.phrase
+WHERE i.most IS NULL OR i.most < a
+QUALIFY rank <= 2000
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_extract": op2_extract,
@@ -132,5 +171,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_suffix": op10_suffix,
     "op11_prefix_trie": op11_prefix_trie,
+    "op13_phrases": op13_phrases,
 }
-ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op11_prefix_trie": OP11_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op11_prefix_trie": OP11_SQL, "op13_phrases": OP13_SQL}
