@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadrat.llm import decontaminate, extract, langid, ogg, packing, phrases, pii, prefixes, simhash, suffix, tokencount, warc
+from quadrat.llm import decontaminate, extract, langid, ogg, packing, phrases, pii, prefixes, simhash, suffix, tokencount, toxicity, warc
 from quadrat.llm.common import scratch, table
 
 
@@ -120,6 +120,10 @@ LEFT JOIN below ON below.name = x.name LEFT JOIN ends ON ends.name = x.name
 """
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
@@ -171,6 +175,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_suffix": op10_suffix,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_toxicity": op12_toxicity,
     "op13_phrases": op13_phrases,
 }
 ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op11_prefix_trie": OP11_SQL, "op13_phrases": OP13_SQL}
