@@ -1,20 +1,23 @@
 """Operator 2: main text of pages, by page structure and nearest-URL page differencing.
 
-1. Each page is parsed once into blocks of text with their place: inside the article or not, inside furniture (menus,
-   headers, footers, sidebars, notices, adverts, forms, comments, by element or by class and id words) or not.
-2. Pages are put in order of host, URL path and id, over range partitions whose splitters come from that order. Each
-   page is compared with a neighbour on its host: the nearest before or after that it isn't a copy of, whichever has the
-   nearer path (longer common prefix; the one before if equal). Their lines are aligned by longest common subsequence,
-   and shared lines are deleted, inside articles as well. Without such a neighbour nothing is deleted.
-3. A page is a copy of another if they share half the characters of its ``article`` or ``main`` element, or 80 % of the
-   page's where it has none. Where such an element exists, lines outside are dropped.
-
-The pages' lines are shuffled once, by splitter number; the pages at a border are sent to both sides, so results don't
-depend on the partitioning (but for over ``BEYOND`` copies in a row at different URLs around a border). The splitters
-and border rows grow with the partitions only. Splitters take the id in, so a host
-or URL with a third of all pages is spread over many partitions. The longest common subsequence is bit-parallel: exact,
-a machine word of lines at a time; two pages of n common lines take n bits times twice the root of n. Very long pages are
-aligned whole.
+1. Each page is parsed into blocks of text with their place: inside the article or not, inside furniture (menus, headers,
+   footers, sidebars, notices, adverts, forms, comments, by element, role or whole class name) or not.
+2. Pages are put in order of host, URL path, id, URL and text. A page is a copy of another if they share half the
+   characters of its ``article`` or ``main`` element, or 80 % of the page's where it has none. A run is a row of pages of
+   one host of which each is a copy of the one before or the other way round.
+3. The neighbours of a page are the last page before its run and the first one after it, on its host. It is compared with
+   the one of nearer path (longer common prefix; the one before if equal) that it isn't a copy of. Their lines are aligned
+   by longest common subsequence, and shared lines are deleted, inside articles as well. Without such a neighbour nothing
+   is deleted. Where an ``article`` or ``main`` exists, lines outside are dropped.
+
+Runs may be of any length and cross partitions: a first pass over range partitions, with lines as 64-bit hashes, finds
+where they begin and which page follows each. Of every partition four pages at most reach the driver (its first and last,
+and the first and last beyond the runs at its borders), which says what stands before and after the runs at each border. A
+second pass shuffles the text once by the same splitters, and each run begins with what the first pass found. Both hold
+one page at a time; the result depends on neither partitions nor batches. Splitters take the id in, so a host or URL with a
+third of all pages is spread over many partitions; repeated rows are merged before they are shuffled. The longest common
+subsequence is bit-parallel: exact, a machine word of lines at a time; two pages of n common lines take n bits times twice
+the root of n. Very long pages are aligned whole.
 
 Defined cases: null html gives an empty text; a null URL counts as the empty one; a null id is kept and comes first;
 repeated rows are copies and each keeps its text; an empty table gives no rows. Extra columns are not read.
@@ -26,16 +29,18 @@ import html as entities
 import json
 import math
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrat.llm.common import rows_of, tune
+from quadrat.llm.common import rows_of, stored, tune
 
 # Elements by what they do to text.
 RAW = frozenset("script style noscript textarea title noembed noframes".split())
@@ -53,22 +58,24 @@ TEXT = frozenset(
     "a abbr b blockquote br caption cite code dd dt em figcaption h1 h2 h3 h4 h5 h6 i li mark p pre q s small span strong sub "
     "sup td th time u".split()
 )
-# Words of a class, id or role that mark furniture, any element's, and those that mark a container only.
-_ANY = (
-    "ad|ads|advert\\w*|adv|breadcrumbs?|captcha|commentlist|consent|cookies?\\w*|copyright|disqus|gdpr|login|masthead|newsletter|"
-    "pagination|pager|paywall|popup|promo\\w*|sidebars?|signup|sponsor\\w*|subscribe|subscription"
-)
-_CONTAINER = (
-    "banner\\w*|comments?|dialog|footer\\w*|hidden|menus?|modal|nav|navbar|navigation|notices?|recommend\\w*|related|replies|reply|"
-    "respond|share|sharing|skip|social|tags?|toolbar|widgets?|contentinfo|complementary|search|alert"
-)
+# Class names and ids of furniture, of any element and of containers only, and names of the place or shape of
+# a box that stand before or behind them. A name counts as a whole, so that a "share-price" is no sharing bar.
+_ANYWHERE = (
+    "ad ads advert adverts advertisement breadcrumb breadcrumbs commentlist cookie cookies consent gdpr login masthead newsletter "
+    "pagination paywall popup promo sidebar signup sponsor sponsored subscribe"
+).split()
+_BOXES = "banner comments dialog footer hidden menu modal nav navbar navigation notice notices toolbar widget widgets".split()
+_BEFORE = "bottom global left main page primary right secondary site top".split()
+_BEHIND = "area banner bar block bottom box container form inner left links list message notice section slot top unit wrap wrapper".split()
+ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 
 
-def _word(words: str) -> re.Pattern:
-    return re.compile(rf"(?:^|[\s_-])(?:{words})(?=$|[\s_-])", re.I)
+def _names(words: list[str]) -> frozenset[str]:
+    pairs = [(a, b) for a in _BEFORE for b in words] + [(a, b) for a in words for b in _BEHIND]
+    return frozenset([*words, *(a + mark + b for a, b in pairs for mark in ("-", "_", ""))])
 
 
-_IN_TEXT, _IN_ARTICLE, _OUTSIDE = _word(_ANY), _word(f"{_ANY}|{_CONTAINER}"), _word(f"{_ANY}|{_CONTAINER}|header")
+_IN_TEXT, _IN_ARTICLE, _OUTSIDE = _names(_ANYWHERE), _names(_ANYWHERE + _BOXES), _names([*_ANYWHERE, *_BOXES, "header"])
 _NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
 _QUOTE = re.compile("[\"']")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s>]++)))?")
@@ -84,7 +91,7 @@ def _marks(name: str, attributes: str, article: bool) -> bool:
         return not (name == "header" and article)
     if not attributes or name in ("html", "body", "article", "main"):
         return False
-    words = _IN_TEXT if name in TEXT else _IN_ARTICLE if article else _OUTSIDE
+    names = _IN_TEXT if name in TEXT else _IN_ARTICLE if article else _OUTSIDE
     for m in _ATTRIBUTE.finditer(attributes):
         key = m[1].lower()
         if key not in ("class", "id", "role", "hidden", "aria-hidden"):
@@ -92,7 +99,9 @@ def _marks(name: str, attributes: str, article: bool) -> bool:
         value = m[2] or m[3] or m[4] or ""
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
             return True
-        if key != "aria-hidden" and words.search(value):
+        if key == "role" and not ROLES.isdisjoint(value.lower().split()):
+            return True
+        if key in ("class", "id") and not names.isdisjoint(value.lower().split()):
             return True
     return False
 
@@ -246,7 +255,7 @@ _SIBLINGS = {
 }
 
 
-def shared_lines(a: list[str], b: list[str]) -> list[bool]:
+def shared_lines(a: list, b: list) -> list[bool]:
     """For each line of ``a``, whether it is in the longest common subsequence with ``b`` (one fixed choice among
     equals). Bit-parallel: bit j of a row says whether the subsequence grows at line j of b."""
     n, m = len(a), len(b)
@@ -265,7 +274,7 @@ def shared_lines(a: list[str], b: list[str]) -> list[bool]:
         return out
     rows = [i for i, x in enumerate(a_mid) if x in wanted]
     cols = [x for x in b_mid if x in wanted]
-    places: dict[str, int] = {}
+    places: dict = {}
     for j, x in enumerate(cols):
         places[x] = places.get(x, 0) | 1 << j
     full = (1 << len(cols)) - 1
@@ -306,27 +315,51 @@ def shared_lines(a: list[str], b: list[str]) -> list[bool]:
 #: The share of a page's characters (of its article's, where it has one) from which lines shared with another page
 #: make it a copy of that page rather than show a template.
 COPY_PAGE, COPY_ARTICLE = 0.8, 0.5
+#: A page as its blocks' places, the hashes of their texts, and their lengths.
+Outline = tuple[list[int], list[int], list[int]]
+_PACKED = np.dtype([("place", "u1"), ("hash", "<i8"), ("length", "<i4")])
+
+
+def outline(page: list[Block]) -> Outline:
+    hashes = [xxhash.xxh64_intdigest(text) - (1 << 63) for _, text in page]
+    return [place for place, _ in page], hashes, [len(text) for _, text in page]
+
+
+def _packed(page: Outline) -> bytes:
+    out = np.empty(len(page[0]), _PACKED)
+    out["place"], out["hash"], out["length"] = page
+    return out.tobytes()
+
+
+def _unpacked(data: bytes) -> Outline:
+    out = np.frombuffer(data, _PACKED)
+    return out["place"].tolist(), out["hash"].tolist(), out["length"].tolist()
 
 
-def _own(page: list[Block]) -> tuple[bool, list[bool]]:
+def _own(places: list[int]) -> tuple[bool, list[bool]]:
     """Whether the page has an article, and which blocks count: those inside it, else all."""
-    within = any(place == 2 for place, _ in page)
-    return within, [place == 2 or not within for place, _ in page]
+    within = 2 in places
+    return within, [place == 2 or not within for place in places]
 
 
-def copied(own: list[Block], mate: list[Block]) -> bool:
+def copied(own: Outline, mate: Outline) -> bool:
     """Whether a page's text is a copy of another page's."""
-    within, counts = _own(own)
-    shared = shared_lines([t for _, t in own], [t for _, t in mate])
-    whole = sum(len(t) for (_, t), c in zip(own, counts) if c)
-    both = sum(len(t) for (_, t), c, s in zip(own, counts, shared) if c and s)
+    within, counts = _own(own[0])
+    whole = sum(n for n, c in zip(own[2], counts) if c)
+    both = sum(n for n, c, s in zip(own[2], counts, shared_lines(own[1], mate[1])) if c and s)
     return whole > 0 and both >= (COPY_ARTICLE if within else COPY_PAGE) * whole
 
 
-def main_text(own: list[Block], mate: list[Block] | None) -> str:
-    """The text of a page given the blocks of a neighbour that it isn't a copy of."""
-    shared = shared_lines([t for _, t in own], [t for _, t in mate]) if mate else [False] * len(own)
-    return "\n".join(t for (_, t), counts, both in zip(own, _own(own)[1], shared) if counts and not both)
+def alike(a: Outline, b: Outline) -> bool:
+    """Whether two pages that stand next to each other belong to one run."""
+    return a == b or copied(a, b) or copied(b, a)
+
+
+def main_text(own: list[Block], mate: Outline | None) -> str:
+    """The text of a page given a neighbour that it isn't a copy of."""
+    shape = outline(own)
+    shared = shared_lines(shape[1], mate[1]) if mate else [False] * len(own)
+    return "\n".join(t for (_, t), counts, both in zip(own, _own(shape[0])[1], shared) if counts and not both)
 
 
 _URL = re.compile(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#]*)([^?#]*)")
@@ -350,124 +383,178 @@ def _common(a: str, b: str) -> int:
     return n
 
 
-#: Near copies in a row that wait for a page after them; beyond, the first is compared with the page before only.
-WAITING = 64
-#: Different pages beyond a border that a partition sees on either side.
-BEYOND = 3
+#: A neighbour: its path and its outline.
+Mate = tuple[str, Outline]
+
+
+def chosen(path: str, own: Outline, before: Mate | None, after: Mate | None) -> Outline | None:
+    """The neighbour that a page is compared with."""
+    found = [x for x in (before, after) if x and x[1] != own and not copied(own, x[1])]
+    return max(found, key=lambda x: _common(x[0], path))[1] if found else None
+
+
+_NULL_ID = -(1 << 62)
 _KEY = ["host", "path", "page_id", "url"]
-_LINES = "part long, own boolean, host string, path string, page_id long, url string, lines string"
+_ORDER = "part long, host string, path string, page_id long, url string, tie long"
+_OUTLINES = f"{_ORDER}, lines binary"
+#: Rows of the first pass: a run's first page with the page after the run (1; 2 if the part ends with the run), and of each
+#: part its first page, the first of its second run, the last before its last run, and its last page.
+RUN, OPEN, FIRST, SECOND, LAST_BUT_RUN, LAST = range(1, 7)
+_FOUND = f"{_ORDER}, kind int, mate_path string, mate binary"
+_TEXTS = f"{_ORDER}, kind int, id long, link string, times int, lines string"
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
 
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+    fields = [c.split() for c in schema.split(", ")]
+    columns = list(zip(*rows)) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], [n for n, _ in fields])
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[Counter]:
+    """Rows (page_id, url, html) of each batch with how often they are in it."""
+    for columns in rows_of(batches, "page_id", "url", "html"):
+        yield Counter(zip(*columns))
+
+
+def _sorted_key(page_id: int | None, url: str | None) -> tuple[str, str, int, str]:
+    return (*place_of(url), _NULL_ID if page_id is None else page_id, url or "")
+
+
+def _splitters(pages: DataFrame, parts: int) -> list[tuple]:
+    """The least key of each range partition but the first."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, urls in rows_of(batches, "page_id", "url"):
+            yield _batch([_sorted_key(i, u) for i, u in zip(ids, urls)], "host string, path string, page_id long, url string")
+
+    light = pages.select("page_id", "url").mapInArrow(keyed, "host string, path string, page_id long, url string")
+    ranged = light.repartitionByRange(parts, *_KEY).select(F.spark_partition_id().alias("part"), F.struct(*_KEY).alias("key"))
+    return sorted(tuple(r[0]) for r in ranged.groupBy("part").agg(F.min("key").alias("low")).select("low").collect())[1:]
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first pass over sorted outlines: where runs begin, and the pages around the borders."""
+    key = last = first = None  # of the run; the page before; the first page of the part
+    second = before = None
+    many = False
+
+    def closed() -> list[tuple]:
+        own = key[0]
+        rows = [(*key, OPEN, None, None), (*first[:6], FIRST, first[2], first[6]), (*last[:6], LAST, last[2], last[6])]
+        if many:
+            for kind, page in ((SECOND, second), (LAST_BUT_RUN, before)):
+                rows.append((*page[:6], kind, page[2], page[6]) if page else (own, "", "", 0, "", 0, kind, None, None))
+        return rows
+
+    shape: Outline = ([], [], [])
+    for columns in rows_of(batches, *(c.split()[0] for c in _OUTLINES.split(", "))):
+        out = []
+        for page in zip(*columns):
+            own = _unpacked(page[6])
+            if last and page[0] != last[0]:
+                out += closed()
+                last = None
+            if not last:
+                key, first, second, before, many = page[:6], page, None, None, False
+            elif page[1] != last[1] or not alike(own, shape):
+                same = page[1] == last[1]
+                out.append((*key, RUN, page[2] if same else None, page[6] if same else None))
+                if not many:
+                    second = page if same else None
+                before = last if same else None
+                key, many = page[:6], True
+            last, shape = page, own
+        yield _batch(out, _FOUND)
+    yield _batch(closed() if last else [], _FOUND)
+
+
+def _carried(edges: list) -> dict[int, tuple[Mate | None, Mate | None]]:
+    """For each part, the page before the run that it begins with and the page after the one that it ends with."""
+    parts: dict[int, dict[int, tuple | None]] = {}
+    for r in edges:
+        page = (r["host"], r["path"], _unpacked(r["mate"])) if r["mate"] is not None else None
+        parts.setdefault(r["part"], {})[r["kind"]] = page
+
+    def mate(page: tuple | None) -> Mate | None:
+        return page[1:] if page else None
+
+    def scan(order: list[int], far: int, near: int, beyond: int) -> dict[int, Mate | None]:
+        """``near``: this part's page at the border, ``far``: the other part's, ``beyond``: the one behind its run."""
+        found: dict[int, Mate | None] = {}
+        for i, part in enumerate(order):
+            own, other = parts[part], parts[order[i - 1]] if i else None
+            if not other or other[far][0] != own[near][0]:
+                found[part] = None
+            elif not alike(own[near][2], other[far][2]):
+                found[part] = mate(other[far])
+            else:
+                found[part] = mate(other[beyond]) if beyond in other else found[order[i - 1]]
+        return found
+
+    order = sorted(parts)
+    before, after = scan(order, LAST, FIRST, LAST_BUT_RUN), scan(order[::-1], FIRST, LAST, SECOND)
+    return {part: (before[part], after[part]) for part in order}
+
+
 def extract(pages: DataFrame, parts: int | None = None) -> DataFrame:
     """``SCHEMA`` of every page (page_id, url, html)."""
     spark = pages.sparkSession
     tune(spark)
     rows = pages.select(F.col("page_id").cast("long"), "url", "html")
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    splitters = _splitters(rows, 4 * n)
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, urls in rows_of(batches, "page_id", "url"):
-            found = [place_of(u) for u in urls]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([x[0] for x in found], pa.string()),
-                    pa.array([x[1] for x in found], pa.string()),
-                    pa.array([-(1 << 62) if i is None else i for i in ids], pa.int64()),
-                    pa.array([u or "" for u in urls], pa.string()),
-                ],
-                ["host", "path", "page_id", "url"],
-            )
-
-    light = rows.select("page_id", "url").mapInArrow(keyed, "host string, path string, page_id long, url string")
-    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The first and the last few keys of a partition, in order."""
-        first: list[tuple] = []
-        tail: list[tuple] = []
-        for columns in rows_of(batches, *_KEY):
-            for x in zip(*columns):
-                if not tail or x != tail[-1]:
-                    first += [x] * (len(first) < BEYOND)
-                    tail = [*tail[-BEYOND + 1 :], x]
-        kept = sorted({*first, *tail})
-        columns = [*zip(*kept)] or [()] * 4
-        kinds = (pa.string(), pa.string(), pa.int64(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], _KEY)
-
-    ranged = light.repartitionByRange(4 * n, *_KEY).sortWithinPartitions(*_KEY)
-    found = ranged.mapInArrow(ends, light.schema).select(F.spark_partition_id().alias("part"), *_KEY).collect()
-    edges = sorted((tuple(e)[1:], e[0]) for e in found)
-    lows = [x for i, (x, part) in enumerate(edges) if not i or part != edges[i - 1][1]]
-    beyond: dict[tuple, list[int]] = {}  # the parts that a page near a border is sent to besides its own
-    at = [bisect_right(lows, x) - 1 for x, _ in edges]
-    for part in range(len(lows)):
-        low, high = bisect_left(at, part), bisect_right(at, part)
-        for x, _ in edges[max(0, low - BEYOND) : low] + edges[high : high + BEYOND]:
-            beyond.setdefault(x, []).append(part)
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, urls, texts in rows_of(batches, "page_id", "url", "html"):
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+        for batch in _merged(batches):
             out = []
-            for page, url, text in zip(ids, urls, texts):
-                host, path = place_of(url)
-                own = (host, path, -(1 << 62) if page is None else page, url or "")
-                part = bisect_right(lows, own) - 1
-                row = (host, path, page, url, json.dumps(blocks(text), ensure_ascii=False))
-                out.append((part, True, *row))
-                out += [(other, False, *row) for other in beyond.get(own, ())]
-            kinds = (pa.int64(), pa.bool_(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
-            columns = list(zip(*out)) or [()] * 7
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds)], [c.split()[0] for c in _LINES.split(", ")]
-            )
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in _LINES.split(", ")]
+            for (page_id, url, text), times in batch.items():
+                own = blocks(text)
+                key = _sorted_key(page_id, url)
+                lines = _packed(outline(own))
+                tie = xxhash.xxh64_intdigest(lines) - (1 << 63)
+                out.append((bisect_right(splitters, key), *key, tie, lines, page_id, url, times, own))
+            yield out
 
-        def answer(row: tuple, before: tuple | None, after: tuple | None) -> tuple:
-            found = [x for x in (before, after) if x]
-            mate = max(found, key=lambda x: _common(x[3], row[3]))[6] if found else None
-            text = main_text(row[6], mate)
-            return row[4], row[5], text, len(text)
+    def outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in parsed(batches):
+            yield _batch([r[:7] for r in out], _OUTLINES)
 
-        def batch(out: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*out)) or [()] * 4
-            kinds = (pa.int64(), pa.string(), pa.string(), pa.int64())
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds)], [c.split()[0] for c in SCHEMA.split(", ")]
-            )
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in parsed(batches):
+            yield _batch([(*r[:6], LAST + 1, *r[7:10], json.dumps(r[10], ensure_ascii=False)) for r in out], _TEXTS)
 
-        last = before = None  # the page before, and the nearest one before that it isn't a copy of
-        source = ""
-        waiting: dict[str, list[tuple]] = {}  # pages that were copies of all that came after, by their lines
+    def in_order(df: DataFrame, *then: str) -> DataFrame:
+        keys = ["part", *_KEY, "tie", *then]
+        return df.repartition(n, "part").sortWithinPartitions(*keys)
 
-        def done(key: str, after: tuple | None) -> list[tuple]:
-            return [answer(row, old, after) for row, old in waiting.pop(key)]
+    found = stored(in_order(rows.mapInArrow(outlines, _OUTLINES)).mapInArrow(_runs, _FOUND))
+    carried = spark.sparkContext.broadcast(_carried(found.where(F.col("kind") >= FIRST).collect()))
 
-        for columns in rows_of(batches, *names):
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = before = after = last = None
+        names = [c.split()[0] for c in _TEXTS.split(", ")]
+        for columns in rows_of(batches, *names, "mate_path", "mate"):
             out = []
             for row in zip(*columns):
-                lines, row = row[6], (*row[:6], [tuple(x) for x in json.loads(row[6])])
-                if last and (last[0], last[2]) != (row[0], row[2]):
-                    for key in list(waiting):
-                        out += done(key, None)
-                    last = before = None
-                for key in list(waiting):
-                    if key != lines and not copied(waiting[key][0][0][6], row[6]):
-                        out += done(key, row)
-                if last and lines != source:
-                    if not copied(row[6], last[6]):
-                        before = last
-                    elif before and copied(row[6], before[6]):
-                        before = None
-                last, source = row, lines
-                if row[1]:
-                    waiting.setdefault(lines, []).append((row, before))
-                    if len(waiting) > WAITING:
-                        out += done(next(iter(waiting)), None)
-            yield batch(out)
-        yield batch([x for key in list(waiting) for x in done(key, None)])
-
-    dealt = rows.mapInArrow(parse, _LINES).repartition(n, "part")
-    order = [F.col("part"), F.col("host"), F.col("path"), F.col("page_id").asc_nulls_first(), F.coalesce("url", F.lit("")), F.col("own")]
-    return dealt.sortWithinPartitions(*order).mapInArrow(compare, SCHEMA)
+                here, host, path, kind = row[0], row[1], row[2], row[6]
+                if kind <= OPEN:
+                    if here != part:
+                        before, part = carried.value[here][0], here
+                    else:
+                        before = last[1:] if last[0] == host else None
+                    after = carried.value[here][1] if kind == OPEN else (row[11], _unpacked(row[12])) if row[12] is not None else None
+                    continue
+                page_id, url, times, own = row[7], row[8], row[9], [tuple(x) for x in json.loads(row[10])]
+                shape = outline(own)
+                text = main_text(own, chosen(path, shape, before, after))
+                out += [(page_id, url, text, len(text))] * times
+                last = (host, path, shape)
+            yield _batch(out, SCHEMA)
+
+    # a part's first run may have begun in the part before: then its row here has what comes after it
+    nothing = [F.lit(None).cast(k).alias(c) for c, k in (x.split() for x in _TEXTS.split(", ")[7:])]
+    begun = found.where(F.col("kind") <= OPEN).select(*(c.split()[0] for c in _TEXTS.split(", ")[:7]), *nothing, "mate_path", "mate")
+    whole = rows.mapInArrow(texts, _TEXTS).select("*", F.lit(None).cast("string").alias("mate_path"), F.lit(None).cast("binary").alias("mate"))
+    return in_order(whole.unionByName(begun), "kind").mapInArrow(compare, SCHEMA)

@@ -95,9 +95,15 @@ def test_furniture():
 def test_headlines_stay():
     page = (
         '<article><header class="entry-header"><h1 class="post-header">Title</h1></header><p class="tag">kept</p><p><math><mi>x</mi></math> one</p>'
-        '<svg><text>drawn</text></svg><div class="related">no</div><p class="ad">no</p><p>a\u200bb</p></article>'
+        '<svg><text>drawn</text></svg><div class="related">yes</div><p class="ad">no</p><p>a\u200bb</p></article>'
     )
-    assert extract.main_text(extract.blocks(page), None) == "Title\nkept\nx one\ndrawn\na\u200bb"
+    assert extract.main_text(extract.blocks(page), None) == "Title\nkept\nx one\ndrawn\nyes\na\u200bb"
+
+
+@pytest.mark.parametrize("name", ["share-price", "social-history", "search-results-analysis", "related", "header-files", "adds", "menu-planning"])
+def test_names_count_whole(name):
+    page = f'<article><h1>Title</h1><div class="{name}"><p>the text</p></div><div class="x site-footer">no</div><div class="Ad">no</div></article>'
+    assert extract.main_text(extract.blocks(page), None) == "Title\nthe text"
 
 
 def test_differencing_decides(spark):

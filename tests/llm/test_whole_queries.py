@@ -6,6 +6,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 
 from quadrat.llm import decontaminate, extract
 from quadrat.llm.common import table
@@ -14,20 +15,28 @@ SF = "/root/testdata/sf0.001"
 
 
 def slow_texts(rows):
-    """Each page against the nearest page before and after on its host that it isn't a copy of."""
+    """Each page against the nearest page before and after its run of copies, on its host."""
     hosts = defaultdict(list)
     for page_id, url, html in rows:
         host, path = extract.place_of(url)
-        hosts[host].append((path, -(1 << 62) if page_id is None else page_id, url or "", page_id, url, extract.blocks(html)))
+        own = extract.blocks(html)
+        hosts[host].append((path, -(1 << 62) if page_id is None else page_id, url or "", extract.outline(own), page_id, url, own))
     out = []
     for pages in hosts.values():
-        pages.sort(key=lambda p: p[:3])
-        for i, (path, *_, page_id, url, own) in enumerate(pages):
-            sides = (pages[:i][::-1], pages[i + 1 :])
-            found = [next((p for p in side if p[5] != own and not extract.copied(own, p[5])), None) for side in sides]
-            near = [(len([*itertools.takewhile(lambda c: c[0] == c[1], zip(p[0], path))]), -k, p[5]) for k, p in enumerate(found) if p]
-            text = extract.main_text(own, max(near, key=lambda x: x[:2])[2] if near else None)
-            out.append((page_id, url, text, len(text)))
+        pages.sort(key=lambda p: (p[:3], xxhash.xxh64_intdigest(extract._packed(p[3]))))
+        runs = [[pages[0]]]
+        for a, b in zip(pages, pages[1:]):
+            if extract.alike(a[3], b[3]):
+                runs[-1].append(b)
+            else:
+                runs.append([b])
+        for k, run in enumerate(runs):
+            sides = [runs[k - 1][-1] if k else None, runs[k + 1][0] if k + 1 < len(runs) else None]
+            for path, *_, shape, page_id, url, own in run:
+                found = [p for p in sides if p and p[3] != shape and not extract.copied(shape, p[3])]
+                near = [(len([*itertools.takewhile(lambda c: c[0] == c[1], zip(p[0], path))]), -i, p[3]) for i, p in enumerate(found)]
+                text = extract.main_text(own, max(near, key=lambda x: x[:2])[2] if near else None)
+                out.append((page_id, url, text, len(text)))
     return sorted(out, key=str)
 
 
@@ -67,6 +76,32 @@ def test_extract_equals_slow_version(spark, source):
         assert sorted((tuple(r) for r in extract.extract(pages, parts).collect()), key=str) == want
 
 
+@pytest.mark.parametrize("copies", [1, 3, 20, 100])
+def test_runs_of_near_copies(spark, copies):
+    """Pages in a row that are near copies of each other: each loses the line that a page after or before them shares."""
+    rng = random.Random(copies)
+    line = lambda: " ".join(f"word{rng.randint(0, 400)}" for _ in range(12))
+    article, rules = [line() for _ in range(6)], "Read our rules"
+    rows = [(i, f"http://a.example/p/{i:04}", page("a title", [], [*article, f"copy {i}", rules])) for i in range(copies)]
+    rows.append((copies, f"http://a.example/p/{copies:04}", page("other", [], [line(), line(), rules])))
+    rows += [(1000 + i, f"http://b.example/{i}", page("same", [], article)) for i in range(copies)]  # a host of one run only
+    rows += rows[:2] * 3
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    want = slow_texts(rows)
+    assert all(rules not in text for page_id, _, text, _ in want if page_id < 1000)
+    for parts in (1, 4, 8):
+        assert sorted((tuple(r) for r in extract.extract(pages, parts).collect()), key=str) == want
+
+
+def test_very_long_page(spark):
+    rng = random.Random(3)
+    own = [" ".join(f"w{rng.randint(0, 9999)}" for _ in range(8)) for _ in range(20_000)]
+    rows = [(1, "http://a/1", page("long", ["Read our rules"], own)), (2, "http://a/2", page("short", ["Read our rules"], [own[0], *("another line %d" % i for i in range(9)), "end"]))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    texts = {r.page_id: r.text for r in extract.extract(pages, 2).collect()}
+    assert texts[1] == "\n".join(["long", *own[1:]]) and texts[2].endswith("end")
+
+
 def slow_leaks(docs, items):
     """Items and documents that share a rare n-gram, aligned by words over the whole document."""
     vocabulary = {w for _, ws in items for w in ws}
