@@ -10,8 +10,8 @@
 3. A document's windows over each of ``THRESHOLDS`` are counted. The counts and their shares are calibrated to a score by
    logistic regression, on documents whose own half of the sample did not make the dictionaries that judge them.
 
-Bound: dictionaries and calibration are fitted on about ``SAMPLE`` different documents of each class, dealt by a hash of
-id and text; their words are counted on the cluster, and only the dictionaries and the counts of windows reach the driver.
+Bound: dictionaries and calibration are fitted on about ``SAMPLE`` different texts of each class, dealt by a hash of
+the text; their words are counted on the cluster, and only the dictionaries and the counts of windows reach the driver.
 Scoring reads every text whole, in slices; distances of known words are remembered up to ``KNOWN`` words a worker.
 
 Defined cases: labels of rows whose crc32(doc_id as text) mod 5 is 0 are never read; of several labels of an id the
@@ -132,12 +132,10 @@ def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 
 def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic, half) of about ``SAMPLE`` training documents of each class."""
+    """(h, toxic, id) of the different texts (by hash) of each class that may be learned from."""
     usable = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out())
     marks = usable.groupBy(F.col("doc_id").cast("long").alias("id")).agg((F.max("toxic") > 0).alias("toxic"))
-    own = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = own.join(marks, "id").withColumn("deal", F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)))
-    return rows.select("text", "toxic", "deal")
+    return docs.select("id", "h").join(marks, "id").groupBy("h", "toxic").agg(F.min("id").alias("id"))
 
 
 def _dictionary(words: list[str]) -> bytes:
@@ -158,15 +156,19 @@ def _dictionaries(counts: DataFrame, toxic: list[int], ordinary: list[int], halv
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[bytes, bytes, list[float]]:
     """Toxic dictionary, ordinary dictionary, weights; two empty dictionaries and a constant without both classes."""
-    rows = stored(_labelled(docs, labels))
+    text = F.coalesce("text", F.lit(""))
+    own = docs.select(F.col("doc_id").cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
+    rows = stored(_labelled(own, labels))
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     p, n = sizes.get(True, 0), sizes.get(False, 0)
     if not p or not n:
         share = min(max(p / max(1, p + n), 1e-9), 1 - 1e-9)
         return b"", b"", [math.log(share / (1 - share))] + [0.0] * (1 + 2 * len(THRESHOLDS))
     most = F.when(F.col("toxic"), int((1 << 20) * min(1, sample / p))).otherwise(int((1 << 20) * min(1, sample / n)))
-    # equal texts are one document, of one half
-    few = stored(rows.where(F.col("deal") < most).select("text", "toxic", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("half")).distinct())
+    dealt = rows.where(F.pmod(F.xxhash64("h"), F.lit(1 << 20)) < most).withColumn("half", F.pmod("h", F.lit(2)).cast("int"))
+    # about two samples of narrow rows: bounded, so texts stay where they are
+    few = own.join(F.broadcast(dealt), ["id", "h"]).dropDuplicates(["h", "toxic"]).select("text", "toxic", "half")
+    few = stored(few)
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts, marks, halves in rows_of(batches, "text", "toxic", "half"):
