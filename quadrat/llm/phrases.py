@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -40,7 +41,9 @@ JUMP = 8
 #: Bytes from which a word is hashed by itself.
 LONG = 1 << 14
 #: Groups that a task counts before it hands them over.
-HELD = 1 << 20
+HELD = 3 << 18
+#: Which tasks say how a phrase is made: one in so many, by its name; the others are asked for what these haven't met.
+ASKED = 8
 
 _KIND = np.zeros(256, np.uint8)
 _KIND[[0x20, 0x09]] = 1
@@ -217,8 +220,8 @@ class Frequent:
         return (bits >> ((names >> np.uint64(Frequent.BIT)) & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-#: ``first`` of the words of R1 begin in the slice. Phrases of a row: ``seen`` are those that the task hasn't met before,
-#: by name, and how they are made: a word's text, or the phrase before the last word and that word.
+#: ``first`` of the words of R1 begin in the slice. ``seen`` are words or phrases that the task hasn't met before, by name,
+#: and how they are made: a word's text, or the phrase before the last word and that word.
 _RELATION = (
     "lang string, first int, gap1 array<int>, item1 array<long>, gap array<int>, item array<long>, "
     "seen array<struct<name: long, word: binary, prefix: long, last: long>>"
@@ -309,8 +312,9 @@ def _next_relation(k: int, table):
             if not len(kept):
                 continue
             here, there, names = here[kept], there[kept], names[kept]
-            prefix, last = i[here].view(np.int64), i1[there].view(np.int64)
-            new = [{"name": x, "word": None, "prefix": int(prefix[j]), "last": int(last[j])} for j, x in seen.new(names)]
+            mine = _asked(names)
+            prefix, last = i[here[mine]].view(np.int64), i1[there[mine]].view(np.int64)
+            new = [{"name": x, "word": None, "prefix": int(prefix[j]), "last": int(last[j])} for j, x in seen.new(names[mine])]
             # of R1, only what a phrase may still reach
             reach = np.zeros(len(p1), bool)
             for more in range(k + 1, LONGEST):
@@ -320,6 +324,32 @@ def _next_relation(k: int, table):
     return build
 
 
+def _asked(names: np.ndarray) -> np.ndarray:
+    task = TaskContext.get()
+    own = task.partitionId() if task else 0
+    return np.flatnonzero((names >> np.uint64(17)) % np.uint64(ASKED) == np.uint64(own % ASKED))
+
+
+_MADE = "lang string, name long, prefix long, last long"
+
+
+def _rest(k: int, table):
+    """How the phrases in ``table`` are made, from Rk."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _Seen()
+        for lang, p1, i1, p, i in _relations(batches, k):
+            here, there = _merge_join(p, p1, k)
+            names = _extended(i[here], i1[there])
+            kept = np.flatnonzero(Frequent.has(table.value, names))
+            new = seen.new(names[kept])
+            at = kept[np.array([j for j, _ in new], np.int64)]
+            columns = [pa.array([lang] * len(new), pa.string()), *(pa.array(x.view(np.int64)) for x in (names[at], i[here[at]], i1[there[at]]))]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "name", "prefix", "last"])
+
+    return find
+
+
 def _frequent(counts: DataFrame, least: int) -> DataFrame:
     return stored(counts.where("name IS NOT NULL").groupBy("name").agg(F.sum("n").alias("f")).where(F.col("f") >= least))
 
@@ -333,17 +363,19 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, Da
     counts = tally.where("name IS NOT NULL").select("name", F.col("n").alias("f"))
     relation = stored(own.mapInArrow(_first_relation(Frequent(counts).table), _RELATION))
 
-    def met(relation: DataFrame) -> DataFrame:
-        return relation.select("lang", F.inline("seen")).dropDuplicates(["name"])
-
-    single = stored(met(relation).join(counts, "name").select("lang", "name", F.col("word").cast("string").alias("phrase"), "f"))
+    met = relation.select("lang", F.inline("seen")).dropDuplicates(["name"])
+    single = stored(met.join(counts, "name").select("lang", "name", F.col("word").cast("string").alias("phrase"), "f"))
     longest, found = single, [single.withColumn("size", F.lit(1))]
     last = single.select(F.col("name").alias("last"), F.col("phrase").alias("word"))
     for k in range(1, LONGEST):
         counts = _frequent(relation.drop("seen").mapInArrow(_count_longer(k), _COUNTS), least)
-        relation = stored(relation.drop("seen").mapInArrow(_next_relation(k, Frequent(counts).table), _RELATION))
+        former, relation = relation, stored(relation.drop("seen").mapInArrow(_next_relation(k, Frequent(counts).table), _RELATION))
+        met = stored(relation.select("lang", F.inline("seen")).select("lang", "name", "prefix", "last").dropDuplicates(["name"]))
+        missing = counts.join(met, "name", "left_anti").select("name")
+        rest = former.drop("seen").mapInArrow(_rest(k, Frequent(missing).table), _MADE).join(missing, "name", "left_semi")
+        met = met.unionByName(rest.dropDuplicates(["name"]))
         before = longest.select(F.col("name").alias("prefix"), F.col("phrase").alias("before"))
-        made = met(relation).drop("word").join(counts, "name").join(before, "prefix").join(last, "last")
+        made = met.join(counts, "name").join(before, "prefix").join(last, "last")
         longest = stored(made.select("lang", "name", F.concat_ws(" ", "before", "word").alias("phrase"), "f"))
         found.append(longest.withColumn("size", F.lit(k + 1)))
     whole = found[0]
