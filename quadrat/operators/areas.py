@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrat.session import running
+from quadrat.session import ranked_by_key, running, stored
 
 PERCENTILES = (1, 5, 10, 25, 50)
 
@@ -14,8 +14,8 @@ def percentiles(df: DataFrame, value: str, shares: list[float], by: list[str] |
     """``by, q0, q1, ...``: linear percentiles from counts of distinct values and their running sums, so that no task
     holds all values of a group."""
     groups = by or []
-    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("_n"))
-    upto = running(counts, "_n", value, "_upto", groups)
+    counts = stored(df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("_n")))
+    upto = running(counts, {"_upto": "_n"}, value, groups, once=True)
     sizes = counts.groupBy(*groups).agg(F.sum("_n").alias("_all"))
     joined = upto.join(sizes, [upto[g].eqNullSafe(sizes[g]) for g in groups]).drop(*[sizes[g] for g in groups]) if groups else upto.crossJoin(F.broadcast(sizes))  # one row
     place = [(F.col("_all") - 1) * F.lit(float(s)) for s in shares]
@@ -81,7 +81,7 @@ def closest_to_each(df: DataFrame, area: str, targets: DataFrame, ties: list[str
     """The nearest label of each of a small table of targets (``target``): one aggregation, no sort of all labels."""
     key = F.struct(F.abs(F.col(area) - F.col("target")).alias("gap"), *ties)
     rest = [c for c in df.columns]
-    joined = df.crossJoin(F.broadcast(targets))  # a parameter list
+    joined = df.crossJoin(targets)  # a parameter list
     return joined.groupBy("target").agg(F.min_by(F.struct(*rest), key).alias("_one")).select("target", "_one.*")
 
 
@@ -89,7 +89,7 @@ def filter_small(labels: DataFrame, thresholds: DataFrame, area: str, tokens: Co
     """``labels`` with ``counted`` and ``kept``. A line is kept if it is too short to be a polygon (not counted), if its
     class has no threshold, or if its area reaches the threshold."""
     long_enough = F.lit(True) if tokens is None else tokens >= min_tokens
-    joined = labels.join(F.broadcast(thresholds), "class_id", "left")  # one row a class
+    joined = labels.join(thresholds, "class_id", "left")
     known = F.col("min_area").isNotNull()
     return joined.withColumns(
         {"counted": long_enough & known, "kept": ~long_enough | ~known | (F.col(area) >= F.col("min_area"))}
@@ -106,24 +106,34 @@ def filter_statistics(judged: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def running_groups(df: DataFrame, size: str, order: list[str], limit: int, by: list[str]) -> DataFrame:
-    """The number of the output folder that each row goes to when a folder takes ``limit`` files: by the running sum
-    before it."""
-    upto = running(df, size, order[0], "_upto", by, order[1:])
-    return upto.withColumn("folder", F.floor((F.col("_upto") - F.col(size)) / limit).cast("long")).drop("_upto")
-
-
-def reset_groups(df: DataFrame, size: str, order: list[str], limit: int, by: list[str]) -> DataFrame:
-    """The same with the counter that starts at 0 in each folder: the next begins where the files so far and the new ones
-    reach ``limit``. Each row depends on the one before, so a data set is folded in one expression."""
-    rows = df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*order, F.col(size).cast("long").alias("_s")))).alias("_r"))
-    start = F.struct(F.lit(0).cast("long").alias("held"), F.lit(0).cast("long").alias("folder"), F.array().cast("array<bigint>").alias("out"))
-
-    def add(acc, r):
-        full = acc["held"] + r["_s"] >= limit
-        folder = acc["folder"] + full.cast("long")
-        held = F.when(full, F.lit(0)).otherwise(acc["held"]) + r["_s"]
-        return F.struct(held.alias("held"), folder.alias("folder"), F.concat(acc["out"], F.array(folder)).alias("out"))
-
-    folded = rows.select(*by, F.explode(F.arrays_zip("_r", F.aggregate("_r", start, add)["out"].alias("f"))).alias("x"))
-    return folded.select(*by, *[F.col(f"x._r.{c}").alias(c) for c in order], F.col("x._r._s").alias(size), F.col("x.f").alias("folder"))
+def reset_groups(df: DataFrame, size: str, order: str, limit: int, by: list[str]) -> DataFrame:
+    """``df`` with the number of the output ``folder`` that each row goes to, by the counter that starts at 0 in each
+    folder: the next folder begins with the row that would bring the files so far to ``limit`` (a row of ``limit`` files
+    or more always does, the first one too). ``order`` is different in all rows of a data set; sizes aren't negative.
+
+    A row that begins a folder knows by prefix sums which row begins the next one: a search in sorted sums, for all rows
+    at once. From the first row of each data set, jumps of doubled length find all that do begin one.
+    """
+    keys = [*by, order]
+    rows = ranked_by_key(df.select(*keys, F.col(size).cast("long").alias("_s")), order, "_at", within=by)
+    rows = stored(running(rows, {"_sum": "_s"}, order, by))
+    places = rows.select(*by, F.col("_sum").alias("_v"), F.lit(1).alias("_row"), F.col("_at").alias("_next"), F.lit(None).cast("int").alias("_at"))
+    start = F.col("_sum") - F.col("_s") + limit
+    asked = rows.where(F.col("_s") < limit).select(*by, start.alias("_v"), F.lit(0).alias("_row"), F.lit(None).cast("int").alias("_next"), "_at")
+    found = running(places.unionByName(asked), {"_to": "_next"}, "_v", by, ["_row", "_next"], kind="min", backwards=True).where("_row = 0 AND _to IS NOT NULL")
+    alone = rows.where(F.col("_s") >= limit).select(*by, "_at", (F.col("_at") + 1).alias("_to"))
+    jump = stored(found.select(*by, "_at", "_to").unionByName(alone))
+    begun = stored(rows.where("_at = 1").select(*by, "_at"))
+    n = -1
+    while (many := begun.count()) != n:  # after k rounds the first 2^k folders are known
+        n = many
+        onward = begun.join(jump, [*by, "_at"]).select(*by, F.col("_to").alias("_at"))
+        last = rows.select(*by, "_at")
+        begun = stored(begun.unionByName(onward.join(last, [*by, "_at"], "left_semi")).distinct())
+        there = jump.select(*by, F.col("_at").alias("_to"), F.col("_to").alias("_far"))
+        jump = stored(jump.join(there, [*by, "_to"]).select(*by, "_at", F.col("_far").alias("_to")))
+    marks = rows.join(begun.withColumn("_new", F.lit(1)), [*by, "_at"], "left")
+    # the folder in which a data set begins is 0, or 1 if its first row alone fills one
+    marks = marks.withColumn("_new", F.when((F.col("_at") == 1) & (F.col("_s") < limit), 0).otherwise(F.coalesce("_new", F.lit(0))))
+    numbered = running(marks.select(*keys, "_new"), {"folder": "_new"}, order, by).drop("_new")
+    return df.join(numbered, keys)

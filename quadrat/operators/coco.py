@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrat.functions import names
-from quadrat.session import ranked, ranked_by_key
+from quadrat.session import ranked, ranked_by_key, stored
 
 
 def valid(bbox: Column, segmentation: Column) -> Column:
@@ -58,8 +58,8 @@ def merge(
     names_of = lambda d: d.withColumn("_name", names.basename(F.col("file_name")))
     extra_by_name = names_of(extra_images).groupBy("_name").agg(F.max("id").alias("_extra"))
     common = names_of(base_images).select(F.col("id").alias("image_id"), "_name").join(extra_by_name, "_name")
-    cats = F.broadcast(categories)  # a category table
-    theirs = (
+    cats = stored(categories)
+    theirs = stored(
         extra_anns.join(common.select("_extra", F.col("image_id").alias("_own")), extra_anns["image_id"] == F.col("_extra"))
         .withColumn("image_id", F.col("_own")).drop("_own", "_extra")
         .join(cats.select(F.col("extra_id").alias("category_id"), F.col("id").alias("_cat")), "category_id")

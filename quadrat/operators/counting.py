@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrat.session import ranked_by_number, ranked_randomly
+from quadrat.session import ranked_by_key, ranked_randomly
 
 
 def count_by_field(df: DataFrame, field: str) -> DataFrame:
@@ -59,7 +59,7 @@ def balance_sample(df: DataFrame, key: str, seed: int = 42, preserve_all_non_emp
 def every_nth(df: DataFrame, key: str, n: int, start: int = 0) -> DataFrame:
     """Rows start, start + n, ... in the order of a numeric key."""
     at = F.col("_rn") - 1 - start
-    return ranked_by_number(df, key, "_rn").where((at >= 0) & (at % n == 0)).drop("_rn")
+    return ranked_by_key(df, key, "_rn").where((at >= 0) & (at % n == 0)).drop("_rn")
 
 
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
@@ -69,13 +69,13 @@ def seeded_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
 def first_negatives(df: DataFrame, key: str) -> DataFrame:
     """All non-empty images and as many of the first empty ones."""
     quota = df.agg(F.count_if(F.col("state") == "non_empty").alias("_n"))
-    ranks = ranked_by_number(df.where("state = 'empty'"), key, "_rn").crossJoin(F.broadcast(quota))  # one row
+    ranks = ranked_by_key(df.where("state = 'empty'"), key, "_rn").crossJoin(F.broadcast(quota))  # one row
     return df.where("state = 'non_empty'").unionByName(ranks.where("_rn <= _n").drop("_rn", "_n"))
 
 
 def fraction_head(df: DataFrame, key: str, share: float) -> DataFrame:
     total = df.agg(F.floor(F.count("*") * share).alias("_n"))
-    return ranked_by_number(df, key, "_rn").crossJoin(F.broadcast(total)).where("_rn <= _n").drop("_rn", "_n")  # one row
+    return ranked_by_key(df, key, "_rn").crossJoin(F.broadcast(total)).where("_rn <= _n").drop("_rn", "_n")  # one row
 
 
 def nested_buckets(df: DataFrame, key: str, seed: int, n_val: int = 15, n_test: int = 15, size: int = 10, most: int = 100) -> DataFrame:
@@ -106,7 +106,7 @@ def only_in_one(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 def by_suffix(df: DataFrame, name: str, then: str, into: str = "rn") -> DataFrame:
     """Rank by the number that a name ends in."""
     rows = df.withColumn("_suffix", F.regexp_extract(name, r"(\d+)$", 1).cast("long"))
-    return ranked_by_number(rows, "_suffix", into, [then]).drop("_suffix")
+    return ranked_by_key(rows, "_suffix", into, [then]).drop("_suffix")
 
 
 def head(df: DataFrame, order: list[str], n: int) -> DataFrame:

@@ -123,9 +123,8 @@ def average_precision(preds: DataFrame, positives: DataFrame) -> DataFrame:
     Predictions of equal confidence count together, so a class is summed over its distinct confidences.
     """
     steps = preds.groupBy("class_id", "conf").agg(F.sum(F.col("tp").cast("long")).alias("tp"), F.count("*").alias("n_pred"))
-    upto = lambda df, c: running(df, c, "conf", f"c_{c}", ["class_id"], backwards=True)
-    curve = upto(upto(steps, "tp"), "n_pred").withColumn("precision", F.col("c_tp") / F.col("c_n_pred"))
-    curve = running(curve, "precision", "conf", "envelope", ["class_id"], largest=True)
+    curve = running(steps, {"c_tp": "tp", "c_n_pred": "n_pred"}, "conf", ["class_id"], backwards=True)
+    curve = running(curve.withColumn("precision", F.col("c_tp") / F.col("c_n_pred")), {"envelope": "precision"}, "conf", ["class_id"], kind="max")
     return positives.join(
         curve.groupBy("class_id").agg(F.sum(F.col("tp") * F.col("envelope")).alias("_area")), "class_id", "left"
     ).select("class_id", F.round(F.coalesce(F.col("_area") / F.col("n"), F.lit(0.0)), 6).alias("ap"))

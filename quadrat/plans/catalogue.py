@@ -386,14 +386,19 @@ def tile_estimate(spark, d):
 
 
 @query("""
-    SELECT image_id, dataset, ((width + 319) // 320) * ((height + 319) // 320) AS n,
-           CAST(floor(coalesce(sum(((width + 319) // 320) * ((height + 319) // 320)) OVER (PARTITION BY dataset ORDER BY image_id
-                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 16382) AS BIGINT) AS folder FROM v_images""")
+    WITH RECURSIVE r AS (SELECT image_id, dataset, ((width + 319) // 320) * ((height + 319) // 320) AS n,
+      row_number() OVER (PARTITION BY dataset ORDER BY image_id) AS pos FROM v_images),
+    walk AS (SELECT image_id, dataset, n, pos, n AS held, CASE WHEN n >= 1500 THEN 1 ELSE 0 END AS folder FROM r WHERE pos = 1
+      UNION ALL
+      SELECT r.image_id, r.dataset, r.n, r.pos, CASE WHEN held + r.n >= 1500 THEN r.n ELSE held + r.n END,
+        folder + CASE WHEN held + r.n >= 1500 THEN 1 ELSE 0 END
+      FROM walk JOIN r ON r.dataset = walk.dataset AND r.pos = walk.pos + 1)
+    SELECT image_id, dataset, n, CAST(folder AS BIGINT) AS folder FROM walk""")
 def tile_rollover(spark, d):
-    """B17, G10, K6."""
+    """The counter starts anew in each folder. (The limit is below the default of 16382 files, so that small tables fill folders too.)"""
     est = tiling.tile_estimate(view(spark, d, "v_images")).select("image_id", "n")
     rows = view(spark, d, "v_images").select("image_id", "dataset").join(est, "image_id")
-    return areas.running_groups(rows, "n", ["image_id"], 16382, ["dataset"])
+    return areas.reset_groups(rows, "n", "image_id", 1500, ["dataset"])
 
 
 @query("""
@@ -852,7 +857,7 @@ def batch_windows(spark, d):
 @query("""SELECT doc_id, (rn - 1) // 7 AS row, (rn - 1) % 7 AS col FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn FROM documents)""")
 def thumbnail_grid(spark, d):
     """J8."""
-    ranks = S.ranked_by_number(table(spark, d, "documents").select("doc_id"), "doc_id", "rn")
+    ranks = S.ranked_by_key(table(spark, d, "documents").select("doc_id"), "doc_id", "rn")
     return boxes.thumbnails(ranks, "rn", 7).select("doc_id", "row", "col")
 
 

@@ -421,9 +421,9 @@ def centre_crop_boxes(spark, d):
 
 
 def _placed(spark, d, n: int) -> DataFrame:
-    from quadrat.session import ranked_by_number
+    from quadrat.session import ranked_by_key
 
-    ranks = ranked_by_number(view(spark, d, "v_images").select("image_id", "width", "height"), "image_id", "rn")
+    ranks = ranked_by_key(view(spark, d, "v_images").select("image_id", "width", "height"), "image_id", "rn")
     at = F.col("rn") - 1
     return ranks.select("image_id", "width", "height", F.floor(at / n).alias("mosaic"), (at % n).alias("place"))
 

@@ -68,56 +68,56 @@ def ranked_randomly(df: DataFrame, seed: int | str, key: str, into: str = "rn",
     return ranked(df, [order, F.col(key)], F.substring(order, 1, digits), into, within)
 
 
-#: Rows of a bucket, on average, and keys that are sampled for each bucket's border.
+#: Rows that one task ranks or sums; of more, ranges are made.
 BUCKET_ROWS = 250_000
-SAMPLED = 20
-#: Buckets at most: borders are literals of one expression.
-MOST_BUCKETS = 1024
 
 
-def range_bucket(df: DataFrame, key: str) -> Column:
-    """The number of the range that ``key`` lies in, along its order, nulls first. As many ranges as the rows need, their
-    borders from a bounded sample of keys, so that an outlying key makes no bucket large."""
-    buckets = min(MOST_BUCKETS, -(-df.count() // BUCKET_ROWS))
-    if buckets < 2:
-        return F.when(F.col(key).isNull(), -1).otherwise(0)
-    few = df.select(key).where(F.col(key).isNotNull()).orderBy(F.rand(42)).limit(SAMPLED * buckets)
-    keys = sorted(r[0] for r in few.collect())
-    borders = sorted({keys[i * len(keys) // buckets] for i in range(1, buckets)} if keys else ())
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back: it is computed once, however often it is used."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    def search(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(F.col(key) < F.lit(borders[mid]), search(low, mid)).otherwise(search(mid + 1, high))
 
-    return F.when(F.col(key).isNull(), -1).otherwise(search(0, len(borders)))
+def ranges(df: DataFrame, keys: list[str], into: str = "_bucket") -> DataFrame | None:
+    """A stored table with the number of the range that each row lies in, along the order of ``keys`` (nulls first), as
+    many ranges as the rows need. None if one is enough. Equal rows of ``keys`` are in one range."""
+    n = -(-df.count() // BUCKET_ROWS)
+    return stored(df.repartitionByRange(n, *keys).withColumn(into, F.spark_partition_id())) if n > 1 else None
 
 
 def ranked_by_key(df: DataFrame, key: str, into: str = "rn", then: list[str] = (), within: list[str] | None = None) -> DataFrame:
-    """Rank by a column, then by others."""
-    return ranked(df, [F.col(key), *map(F.col, then)], range_bucket(df, key), into, within)
-
-
-ranked_by_number = ranked_by_key
+    """Rank by a column (nulls first), then by others. The input is computed once."""
+    once, order = stored(df), [key, *then]
+    dealt = ranges(once, order)
+    if dealt is None:
+        return once.withColumn(into, F.row_number().over(Window.partitionBy(*within or []).orderBy(*order)))
+    return ranked(dealt, [F.col(c) for c in order], F.col("_bucket"), into, within).drop("_bucket").select(*df.columns, into)
 
 
 def running(
-    df: DataFrame, value: str, key: str, into: str, within: list[str] | None = None, then: list[str] = (), largest: bool = False,
-    backwards: bool = False,
+    df: DataFrame, values: dict[str, str], key: str, within: list[str] | None = None, then: list[str] = (), kind: str = "sum",
+    backwards: bool = False, once: bool = False,
 ) -> DataFrame:
-    """``df`` with the sum (or the largest) of ``value`` from the first row to this one in the order of ``key``, in each
-    group of ``within``; ``backwards`` from the last row. Inside ranges of the key by windows; a table with a row for
-    each range adds what the others bring."""
-    groups = within or []
-    total = F.max if largest else F.sum
-    rows = df.withColumn("_bucket", range_bucket(df, key))
-    parts = rows.groupBy(*groups, "_bucket").agg(total(value).alias("_part"))
+    """``df`` with sums (or the largest or the least, by ``kind``) from the first row to this one in the order of ``key``,
+    in each group of ``within``; ``backwards`` from the last row. ``values``: new column to column; all are taken in one
+    pass. Inside ranges of the key by windows; a table with a row for each range and group adds what the others bring.
+    The input is computed once (``once``: it is a stored table already)."""
+    groups, total = within or [], {"sum": F.sum, "max": F.max, "min": F.min}[kind]
+    rows = df if once else stored(df)
+    dealt = ranges(rows, [key, *then])
     turn = (lambda c: F.col(c).desc()) if backwards else F.col
+    upto = lambda keys: Window.partitionBy(*keys).orderBy(*map(turn, [key, *then])).rowsBetween(Window.unboundedPreceding, 0)
+    if dealt is None:
+        return rows.withColumns({into: total(v).over(upto(groups)) for into, v in values.items()})
+    parts = dealt.groupBy(*groups, "_bucket").agg(*(total(v).alias(f"_p_{into}") for into, v in values.items()))
     others = Window.partitionBy(*groups).orderBy(turn("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("_before", total("_part").over(others)).drop("_part")
-    inside = Window.partitionBy(*groups, "_bucket").orderBy(*map(turn, [key, *then])).rowsBetween(Window.unboundedPreceding, 0)
-    joined = rows.withColumn("_inside", total(value).over(inside))
-    out = joined.join(parts, [joined[k].eqNullSafe(parts[k]) for k in [*groups, "_bucket"]])
-    both = F.greatest("_inside", "_before") if largest else F.col("_inside") + F.coalesce("_before", F.lit(0))
-    return out.select(*[joined[c] for c in df.columns], both.alias(into))
+    parts = parts.select(*groups, "_bucket", *(total(f"_p_{into}").over(others).alias(f"_b_{into}") for into in values))
+    inside = dealt.withColumns({f"_i_{into}": total(v).over(upto([*groups, "_bucket"])) for into, v in values.items()})
+    out = inside.join(parts, [inside[k].eqNullSafe(parts[k]) for k in [*groups, "_bucket"]])
+    both = {
+        "sum": lambda into: F.col(f"_i_{into}") + F.coalesce(f"_b_{into}", F.lit(0)),
+        "max": lambda into: F.greatest(f"_i_{into}", f"_b_{into}"),
+        "min": lambda into: F.least(f"_i_{into}", f"_b_{into}"),
+    }[kind]
+    return out.select(*[inside[c] for c in df.columns], *(both(into).alias(into) for into in values))
