@@ -9,21 +9,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrat.functions import geometry as G
-from quadrat.session import running
+from quadrat.operators import grid
+from quadrat.operators.rounds import greedy_edges, greedy_kept
+from quadrat.session import running, stored
 
 BACKGROUND = 3
 
 
-def iou_candidates(truth: DataFrame, preds: DataFrame, same_class: bool = True, least: float = 0.0, inclusive: bool = False) -> DataFrame:
+#: Pairs (of boxes, of an image) up to which an image's pairs are folded in one row.
+FOLD = 400
+
+
+def _sided(df: DataFrame, side: str) -> DataFrame:
+    return df.select("image_id", *[F.col(c).alias(f"{side}_{c}") for c in df.columns if c != "image_id"])
+
+
+def iou_candidates(
+    truth: DataFrame, preds: DataFrame, same_class: bool = True, least: float = 0.0, inclusive: bool = False, whole: int = grid.WHOLE
+) -> DataFrame:
     """Pairs inside an image whose boxes overlap: ``gt, pred`` (structs) and ``iou``. ``truth`` and ``preds`` have
-    image_id, class_id, x1, y1, x2, y2. The join is on image (and class), the overlap its condition."""
-    g = truth.select("image_id", *[F.col(c).alias(f"g_{c}") for c in truth.columns if c != "image_id"])
-    p = preds.select(F.col("image_id").alias("p_image_id"), *[F.col(c).alias(f"p_{c}") for c in preds.columns if c != "image_id"])
+    image_id, class_id, x1, y1, x2, y2. The join is on image (and class), the overlap its condition; images with more than
+    ``whole`` pairs are joined on cells of a grid."""
+    crowded = stored(grid.crowded(truth, preds, "image_id", whole))
+    hot = not crowded.isEmpty()
+    rest = (lambda d: d.join(crowded, "image_id", "left_anti")) if hot else (lambda d: d)
     on = (
         (F.col("image_id") == F.col("p_image_id")) & (F.col("g_x1") < F.col("p_x2")) & (F.col("p_x1") < F.col("g_x2"))
         & (F.col("g_y1") < F.col("p_y2")) & (F.col("p_y1") < F.col("g_y2"))
     )
-    found = g.join(p, on & (F.col("g_class_id") == F.col("p_class_id")) if same_class else on)
+    p = _sided(rest(preds), "p").withColumnRenamed("image_id", "p_image_id")
+    found = _sided(rest(truth), "g").join(p, on & (F.col("g_class_id") == F.col("p_class_id")) if same_class else on)
+    if hot:
+        near = grid.meeting(truth, preds, "image_id", crowded)
+        both = (("g", "a", truth), ("p", "b", preds))
+        near = near.select("image_id", *[F.col(f"{x}.{c}").alias(f"{s}_{c}") for s, x, d in both for c in d.columns if c != "image_id"])
+        near = near.where("g_x1 < p_x2 AND p_x1 < g_x2 AND g_y1 < p_y2 AND p_y1 < g_y2")
+        near = near.where("g_class_id = p_class_id") if same_class else near
+        found = found.drop("p_image_id").unionByName(near)
     width = F.least("g_x2", "p_x2") - F.greatest("g_x1", "p_x1")
     height = F.least("g_y2", "p_y2") - F.greatest("g_y1", "p_y1")
     area = lambda s: (F.col(f"{s}_x2") - F.col(f"{s}_x1")) * (F.col(f"{s}_y2") - F.col(f"{s}_y1"))
@@ -36,11 +58,30 @@ def iou_candidates(truth: DataFrame, preds: DataFrame, same_class: bool = True,
     return rows.where(F.col("iou") > least) if least > 0 else rows
 
 
-def greedy_match(candidates: DataFrame, gt_key: str, pred_key: str) -> DataFrame:
+def _large(rows: DataFrame, fold: int) -> DataFrame | None:
+    """The images with more than ``fold`` rows, None without any. ``rows``: a stored table."""
+    found = stored(rows.groupBy("image_id").agg(F.count("*").alias("n")).where(F.col("n") > fold).select("image_id"))
+    return None if found.isEmpty() else found
+
+
+def greedy_match(candidates: DataFrame, gt_key: str, pred_key: str, fold: int = FOLD) -> DataFrame:
     """One-to-one matches inside each image: pairs by falling ``iou`` (then the keys), each taken if both sides are free.
 
-    ``candidates``: image_id, iou and the two key columns. An image's pairs are folded in the JVM; an image holds few.
+    ``candidates``: image_id, iou and the two key columns. Pairs of an image with at most ``fold`` are folded in the JVM,
+    those of others are chosen in rounds.
     """
+    once = stored(candidates.select("image_id", "iou", gt_key, pred_key))
+    large = _large(once, fold)
+    if large is None:
+        return _folded(once, gt_key, pred_key)
+    pairs = once.join(large, "image_id", "left_semi").withColumn("_o", -F.col("iou")).drop("iou")
+    taken = greedy_edges(pairs, "image_id", gt_key, pred_key, ["_o", gt_key, pred_key])
+    iou = once.groupBy("image_id", gt_key, pred_key).agg(F.max("iou").alias("iou"))
+    taken = taken.join(iou, ["image_id", gt_key, pred_key])
+    return _folded(once.join(large, "image_id", "left_anti"), gt_key, pred_key).unionByName(taken)
+
+
+def _folded(candidates: DataFrame, gt_key: str, pred_key: str) -> DataFrame:
     order = F.sort_array(
         F.collect_list(F.struct((-F.col("iou")).alias("o"), F.col(gt_key).alias("g"), F.col(pred_key).alias("p")))
     )
@@ -56,23 +97,6 @@ def greedy_match(candidates: DataFrame, gt_key: str, pred_key: str) -> DataFrame
     return out.select("image_id", F.col("m.g").alias(gt_key), F.col("m.p").alias(pred_key), (-F.col("m.o")).alias("iou"))
 
 
-def greedy_match_large(candidates: DataFrame, gt_key: str, pred_key: str) -> DataFrame:
-    """The same for images with thousands of pairs: sets instead of a fold."""
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["iou", gt_key, pred_key], ascending=[False, True, True], kind="stable")
-        gone_g, gone_p, keep = set(), set(), []
-        for g, p in zip(rows[gt_key], rows[pred_key]):
-            ok = g not in gone_g and p not in gone_p
-            keep.append(ok)
-            if ok:
-                gone_g.add(g)
-                gone_p.add(p)
-        return rows[keep]
-
-    return candidates.groupBy("image_id").applyInPandas(one, candidates.schema)
-
-
 def label_pairs(truth: DataFrame, preds: DataFrame, matched: DataFrame, gt_key: str, pred_key: str, background: int = BACKGROUND) -> DataFrame:
     """``image_id, true_label, pred_label``: matches, then missed truth against background, then extra predictions."""
     g, p = truth.select("image_id", gt_key, F.col("class_id").alias("true_label")), preds.select(
@@ -184,9 +208,27 @@ def predict(images: DataFrame, load, schema: str) -> DataFrame:
     return images.mapInPandas(run, schema)
 
 
-def suppress(preds: DataFrame, key: str, threshold: float = 0.2, same_class: bool = False) -> DataFrame:
+def suppress(preds: DataFrame, key: str, threshold: float = 0.2, same_class: bool = False, fold: int = FOLD) -> DataFrame:
     """Predictions left after greedy suppression inside each image: by falling confidence (then the key), one goes if a
-    kept one covers at least ``threshold`` of the smaller box. ``preds``: image_id, class_id, conf, x1, y1, x2, y2, key."""
+    kept one covers at least ``threshold`` of the smaller box. ``preds``: image_id, class_id, conf, x1, y1, x2, y2, key.
+    Images with more than ``fold`` predictions are thinned in rounds over the pairs that overlap enough."""
+    once = stored(preds.select("image_id", "class_id", "conf", "x1", "y1", "x2", "y2", key))
+    large = _large(once, fold)
+    if large is None:
+        return _thinned(once, key, threshold, same_class)
+    many = once.join(large, "image_id", "left_semi")
+    cells = grid.crowded(many, many, "image_id", whole=0)
+    pairs = grid.meeting(many, many, "image_id", cells)
+    cover = G.intersection_area(F.col("a"), F.col("b")) / F.least(G.box_area(F.col("a")), G.box_area(F.col("b")))
+    first = F.struct((-F.col("a.conf")).alias("o"), F.col(f"a.{key}").alias("k")) < F.struct((-F.col("b.conf")).alias("o"), F.col(f"b.{key}").alias("k"))
+    hides = pairs.where(first & (cover >= threshold))
+    hides = hides.where("a.class_id = b.class_id") if same_class else hides
+    kept = greedy_kept(many, hides.select("image_id", F.col(f"a.{key}").alias("over"), F.col(f"b.{key}").alias("under")), "image_id", key)
+    kept = kept.join(many.select("image_id", key, "conf"), ["image_id", key])
+    return _thinned(once.join(large, "image_id", "left_anti"), key, threshold, same_class).unionByName(kept)
+
+
+def _thinned(preds: DataFrame, key: str, threshold: float, same_class: bool) -> DataFrame:
     item = F.struct((-F.col("conf")).alias("o"), F.col(key).alias("k"), "class_id", "x1", "y1", "x2", "y2")
     grouped = preds.groupBy("image_id").agg(F.sort_array(F.collect_list(item)).alias("_c"))
     zero = F.filter("_c", lambda c: F.lit(False))
@@ -202,6 +244,26 @@ def suppress(preds: DataFrame, key: str, threshold: float = 0.2, same_class: boo
     return out.select("image_id", F.col("m.k").alias(key), (-F.col("m.o")).alias("conf"))
 
 
+def first_overlaps(boxes: DataFrame, key: str, by: str = "image_id") -> DataFrame:
+    """Boxes of an image joined in pairs: each free box, in the order of ``key``, with the first free one after it that it
+    meets. ``by, key, other`` (null for a box that stays alone) and the box around both, the class of the more confident
+    one (of the second if equal), the mean confidence."""
+    once = stored(boxes.select(by, key, "class_id", "conf", *grid.BOX))
+    pairs = grid.meeting(once, once, by, grid.crowded(once, once, by, whole=0)).where(F.col(f"a.{key}") < F.col(f"b.{key}"))
+    pairs = stored(pairs.select(by, F.col(f"a.{key}").alias(key), F.col(f"b.{key}").alias("other")))
+    taken = greedy_edges(pairs, by, key, "other", [key, "other"], shared=True)
+    second = once.select(by, F.col(key).alias("other"), *[F.col(c).alias(f"_{c}") for c in ("class_id", "conf", *grid.BOX)])
+    both = taken.join(once, [by, key]).join(second, [by, "other"])
+    least, most = (lambda c: F.least(c, f"_{c}").alias(c)), (lambda c: F.greatest(c, f"_{c}").alias(c))
+    joined = both.select(
+        by, key, "other", F.when(F.col("conf") > F.col("_conf"), F.col("class_id")).otherwise(F.col("_class_id")).alias("class_id"),
+        ((F.col("conf") + F.col("_conf")) / 2).alias("conf"), least("x1"), least("y1"), most("x2"), most("y2"),
+    )
+    used = taken.select(by, key).unionByName(taken.select(by, F.col("other").alias(key)))
+    alone = once.join(used, [by, key], "left_anti").withColumn("other", F.lit(None).cast(once.schema[key].dataType))
+    return joined.unionByName(alone.select(*joined.columns))
+
+
 def raster_iou(a: str, b: str, size: int = 640):
     """Overlap of two polygons (flat coordinates in 0 to ``size``) counted on pixel centres: for shapes whose exact
     overlap isn't a composition of built-in expressions."""

@@ -571,3 +571,26 @@ def prepared_split(spark, d):
     counted = kept.groupBy("image_id").agg(F.count("*").alias("k"))
     rows = done.join(counted, "image_id", "left")
     return rows.groupBy("split").agg(F.count("*").alias("n_images"), F.coalesce(F.sum("k"), F.lit(0)).alias("n_labels"))
+
+
+@query("""WITH RECURSIVE b AS (SELECT image_id, concat_ws('-', l_partkey, l_suppkey, l_linenumber) AS k, class_id, 10 * discount AS conf, x1, y1, x2, y2,
+      row_number() OVER (PARTITION BY image_id ORDER BY concat_ws('-', l_partkey, l_suppkey, l_linenumber)) AS i FROM v_labels),
+    m AS (SELECT p.image_id, p.i, q.i AS j FROM b p JOIN b q ON p.image_id = q.image_id AND p.i < q.i
+      AND p.x1 <= q.x2 AND q.x1 <= p.x2 AND p.y1 <= q.y2 AND q.y1 <= p.y2),
+    n AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY i, j) AS step FROM m),
+    w AS (SELECT image_id, 0 :: BIGINT AS step, [] :: BIGINT[] AS used, [] :: BIGINT[] AS pairs FROM (SELECT DISTINCT image_id FROM b)
+      UNION ALL
+      SELECT w.image_id, n.step, CASE WHEN list_contains(used, n.i) OR list_contains(used, n.j) THEN used ELSE used || [n.i, n.j] END,
+        CASE WHEN list_contains(used, n.i) OR list_contains(used, n.j) THEN pairs ELSE pairs || [n.i * 1000 + n.j] END
+      FROM w JOIN n ON n.image_id = w.image_id AND n.step = w.step + 1),
+    e AS (SELECT image_id, arg_max(used, step) AS used, arg_max(pairs, step) AS pairs FROM w GROUP BY image_id),
+    t AS (SELECT image_id, unnest(pairs) AS ij FROM e)
+    SELECT t.image_id, p.k AS gt_id, q.k AS other, CASE WHEN p.conf > q.conf THEN p.class_id ELSE q.class_id END AS class_id,
+      (p.conf + q.conf) / 2 AS conf, least(p.x1, q.x1) AS x1, least(p.y1, q.y1) AS y1, greatest(p.x2, q.x2) AS x2, greatest(p.y2, q.y2) AS y2
+    FROM t JOIN b p ON p.image_id = t.image_id AND p.i = ij // 1000 JOIN b q ON q.image_id = t.image_id AND q.i = ij % 1000
+    UNION ALL
+    SELECT b.image_id, k, NULL, class_id, conf, x1, y1, x2, y2 FROM b JOIN e ON e.image_id = b.image_id WHERE NOT list_contains(used, i)""")
+def first_overlap_pairs(spark, d):
+    """Each box with the first free one that it meets."""
+    rows = truth(spark, d).join(view(spark, d, "v_labels").select("image_id", F.concat_ws("-", "l_partkey", "l_suppkey", "l_linenumber").alias("gt_id"), (10 * F.col("discount")).alias("conf")), ["image_id", "gt_id"])
+    return matching.first_overlaps(rows, "gt_id")

@@ -66,7 +66,7 @@ def test_greedy_matches(spark):
         for o, a, b in sorted(rows):
             if a not in g and b not in p:
                 g.add(a), p.add(b), want.add((image, a, b))
-    for f in (matching.greedy_match, matching.greedy_match_large):
-        assert {(r.image_id, r.gt_id, r.pred_id) for r in f(found, "gt_id", "pred_id").collect()} == want
+    for fold in (0, matching.FOLD):  # in rounds, in one row an image
+        assert {(r.image_id, r.gt_id, r.pred_id) for r in matching.greedy_match(found, "gt_id", "pred_id", fold).collect()} == want
     pairs = matching.label_pairs(C.truth(spark, SF), C.predictions(spark, SF), matching.greedy_match(found, "gt_id", "pred_id"), "gt_id", "pred_id")
     assert pairs.where("true_label = pred_label").count() >= len(want)
