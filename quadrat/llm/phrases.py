@@ -174,31 +174,46 @@ class Tally:
         self.parts, self.size = [], 0
 
 
-_COUNTS = "lang string, name long, n long"
+_COUNTS = "name long, n long"
 
 
 def _counted(found: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
     names, counts = found
     for at in range(0, len(names), 100_000):
-        part = names[at : at + 100_000].view(np.int64)
-        columns = [pa.nulls(len(part), pa.string()), pa.array(part), pa.array(counts[at : at + 100_000].astype(np.int64))]
-        yield pa.RecordBatch.from_arrays(columns, ["lang", "name", "n"])
+        columns = [pa.array(names[at : at + 100_000].view(np.int64)), pa.array(counts[at : at + 100_000].astype(np.int64))]
+        yield pa.RecordBatch.from_arrays(columns, ["name", "n"])
+
+
+_WORDS = "lang string, name long, word binary, n long"
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words (without their language) and the number of all words of each language (without a name)."""
-    tally, totals = Tally(), {}
+    """Words with their counts, and the number of all words of each language (without a name)."""
+    kinds = pa.schema([("lang", pa.string()), ("name", pa.int64()), ("word", pa.binary()), ("n", pa.int64())])
+    held: list[pa.Table] = []
+    totals: dict[str, int] = {}
+
+    def merged() -> pa.Table:
+        whole = pa.concat_tables(held).group_by("name", use_threads=False).aggregate([("lang", "one"), ("word", "one"), ("n", "sum")])
+        return whole.rename_columns({"lang_one": "lang", "word_one": "word", "n_sum": "n"}).select(kinds.names).cast(kinds)
+
     for langs, texts in rows_of(batches, "lang", "body"):
         for lang, seed, data, border in _lots(langs, texts):
-            _, names, starts, _ = words(data, seed)
+            _, names, starts, ends = words(data, seed)
             names = names[starts < border]
             totals[lang] = totals.get(lang, 0) + len(names)
-            for part in tally.add(names):
-                yield from _counted(part)
-    for part in tally.rest():
-        yield from _counted(part)
-    columns = [pa.array(totals, pa.string()), pa.nulls(len(totals), pa.int64()), pa.array(totals.values(), pa.int64())]
-    yield pa.RecordBatch.from_arrays(columns, ["lang", "name", "n"])
+            some, first, counts = np.unique(names, return_index=True, return_counts=True)
+            text = [data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+            columns = [pa.array([lang] * len(some), pa.string()), some.view(np.int64), pa.array(text, pa.binary()), counts]
+            held.append(pa.table(columns, schema=kinds))
+            if sum(t.num_rows for t in held) > HELD:
+                held = [merged()]
+                if held[0].num_rows > HELD // 2:
+                    yield from held.pop().to_batches(100_000)
+    if held:
+        yield from merged().to_batches(100_000)
+    none = pa.nulls(len(totals), pa.int64())
+    yield pa.RecordBatch.from_arrays([pa.array(totals, pa.string()), none, pa.nulls(len(totals), pa.binary()), pa.array(totals.values(), pa.int64())], schema=kinds)
 
 
 class Frequent:
@@ -220,13 +235,13 @@ class Frequent:
         return (bits >> ((names >> np.uint64(Frequent.BIT)) & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-#: ``first`` of the words of R1 begin in the slice. ``seen`` are words or phrases that the task hasn't met before, by name,
-#: and how they are made: a word's text, or the phrase before the last word and that word.
+#: ``first`` of the words of R1 begin in the slice. ``seen`` are phrases that the task hasn't met before, by name, and how
+#: they are made: the phrase before the last word and that word.
 _RELATION = (
     "lang string, first int, gap1 array<int>, item1 array<long>, gap array<int>, item array<long>, "
-    "seen array<struct<name: long, word: binary, prefix: long, last: long>>"
+    "seen array<struct<name: long, prefix: long, last: long>>"
 )
-_SEEN = pa.list_(pa.struct([("name", pa.int64()), ("word", pa.binary()), ("prefix", pa.int64()), ("last", pa.int64())]))
+_SEEN = pa.list_(pa.struct([("name", pa.int64()), ("prefix", pa.int64()), ("last", pa.int64())]))
 _TYPES = (pa.string(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), _SEEN)
 _NAMES = ["lang", "first", "gap1", "item1", "gap", "item", "seen"]
 
@@ -265,15 +280,14 @@ class _Seen:
 
 def _first_relation(table):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, none = _Seen(), np.zeros(0, np.int64)
+        none = np.zeros(0, np.int64)
         for langs, texts in rows_of(batches, "lang", "body"):
             for lang, seed, data, border in _lots(langs, texts):
-                places, names, starts, ends = words(data, seed)
+                places, names, starts, _ = words(data, seed)
                 kept = np.flatnonzero(Frequent.has(table.value, names))
                 if len(kept):
-                    places, names, starts, ends = (x[kept] for x in (places, names, starts, ends))
-                    new = [{"name": x, "word": data[starts[i] : ends[i]], "prefix": None, "last": None} for i, x in seen.new(names)]
-                    yield _row(lang, int((starts < border).sum()), places, names, none, none.view(np.uint64), new)
+                    places, names, starts = (x[kept] for x in (places, names, starts))
+                    yield _row(lang, int((starts < border).sum()), places, names, none, none.view(np.uint64), [])
 
     return build
 
@@ -314,7 +328,7 @@ def _next_relation(k: int, table):
             here, there, names = here[kept], there[kept], names[kept]
             mine = _asked(names)
             prefix, last = i[here[mine]].view(np.int64), i1[there[mine]].view(np.int64)
-            new = [{"name": x, "word": None, "prefix": int(prefix[j]), "last": int(last[j])} for j, x in seen.new(names[mine])]
+            new = [{"name": x, "prefix": int(prefix[j]), "last": int(last[j])} for j, x in seen.new(names[mine])]
             # of R1, only what a phrase may still reach
             reach = np.zeros(len(p1), bool)
             for more in range(k + 1, LONGEST):
@@ -351,26 +365,25 @@ def _rest(k: int, table):
 
 
 def _frequent(counts: DataFrame, least: int) -> DataFrame:
-    return stored(counts.where("name IS NOT NULL").groupBy("name").agg(F.sum("n").alias("f")).where(F.col("f") >= least))
+    return stored(counts.groupBy("name").agg(F.sum("n").alias("f")).where(F.col("f") >= least))
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """(lang, n) of all languages, and (lang, phrase, size, f) of the phrases of up to five words that are frequent."""
     own = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), utf8("text").alias("body"))
-    tally = own.mapInArrow(_count_words, _COUNTS).groupBy("lang", "name").agg(F.sum("n").alias("n"))
-    tally = stored(tally.where(F.col("lang").isNotNull() | (F.col("n") >= least)))
-    totals = tally.where("lang IS NOT NULL").select("lang", "n")
-    counts = tally.where("name IS NOT NULL").select("name", F.col("n").alias("f"))
+    tally = own.mapInArrow(_count_words, _WORDS).groupBy("lang", "name").agg(F.sum("n").alias("n"), F.first("word").alias("word"))
+    tally = stored(tally.where(F.col("name").isNull() | (F.col("n") >= least)))
+    totals = tally.where("name IS NULL").select("lang", "n")
+    single = tally.where("name IS NOT NULL").select("lang", "name", F.col("word").cast("string").alias("phrase"), F.col("n").alias("f"))
+    counts = single.select("name", "f")
     relation = stored(own.mapInArrow(_first_relation(Frequent(counts).table), _RELATION))
 
-    met = relation.select("lang", F.inline("seen")).dropDuplicates(["name"])
-    single = stored(met.join(counts, "name").select("lang", "name", F.col("word").cast("string").alias("phrase"), "f"))
     longest, found = single, [single.withColumn("size", F.lit(1))]
     last = single.select(F.col("name").alias("last"), F.col("phrase").alias("word"))
     for k in range(1, LONGEST):
         counts = _frequent(relation.drop("seen").mapInArrow(_count_longer(k), _COUNTS), least)
         former, relation = relation, stored(relation.drop("seen").mapInArrow(_next_relation(k, Frequent(counts).table), _RELATION))
-        met = stored(relation.select("lang", F.inline("seen")).select("lang", "name", "prefix", "last").dropDuplicates(["name"]))
+        met = stored(relation.select("lang", F.inline("seen")).dropDuplicates(["name"]))
         missing = counts.join(met, "name", "left_anti").select("name")
         rest = former.drop("seen").mapInArrow(_rest(k, Frequent(missing).table), _MADE).join(missing, "name", "left_semi")
         met = met.unionByName(rest.dropDuplicates(["name"]))
