@@ -162,10 +162,10 @@ def _across(placed: DataFrame, sets: DataFrame, least: float, block: int) -> Dat
         F.count("*").alias("roots"), F.sum("weight").alias("all"), F.max(F.struct("weight", "root")).alias("most")
     )
     blocks = lambda w: F.ceil(w / block).cast("int")
-    groups = groups.where("roots > 1").select(
+    groups = stored(groups.where("roots > 1").select(
         "key", F.col("most.root").alias("most"), blocks(F.col("all")).alias("ny"),
         F.greatest(F.lit(1), blocks(F.col("all") - F.col("most.weight"))).alias("nx"),
-    )
+    ))
     rest = placed.join(groups, "key")
     mine = lambda n: F.pmod(F.xxhash64("node", "key"), F.col(n)).cast("int")
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
@@ -209,12 +209,14 @@ def components_of(docs: DataFrame, own: DataFrame, width: int = SHINGLE, least:
     """``(u, root)`` of every node that isn't the least of its component; ``own``: stored rows of ``_KEYED``."""
     nodes = own.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
     rows = stored(nodes.select(F.explode("keys").alias("key"), "node", "n"))
-    buckets = rows.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("first"))
+    # here and below, aggregates are stored before they are joined: both sides of the join are then plain exchanges, which
+    # adaptive execution splits where a key is frequent
+    buckets = stored(rows.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("first")).where("size > 1"))
     kept = stored(
-        rows.join(buckets.where("size > 1"), "key").select("key", "node", "n", F.col("first.node").alias("v"), F.col("first.n").alias("m"))
+        rows.join(buckets, "key").select("key", "node", "n", F.col("first.node").alias("v"), F.col("first.n").alias("m"))
     )
     close = stored(_close(own))
-    some = kept.select("node").union(close.select("u")).union(close.select("v")).distinct()
+    some = stored(kept.select("node").union(close.select("u")).union(close.select("v")).distinct())
     sets = stored(_sets(docs, own, some, width))
     near = kept.where(F.col("node") != F.col("v")).where(_fits("n", "m", least))
     first = near.select(F.col("node").alias("u"), "v").union(close).distinct()

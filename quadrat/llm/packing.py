@@ -39,7 +39,7 @@ GROUP_ITEMS = 20_000
 #: A sequence filled less than this is opened for the exchange, also in a certified group.
 FULL_ENOUGH = 0.98
 #: Bytes that a worker's memory of words takes while the stage runs, and characters of the texts encoded at once.
-WORD_BYTES, LOT_CHARS = 96 << 20, 3 << 20
+WORD_BYTES, LOT_CHARS = 64 << 20, 3 << 20
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 

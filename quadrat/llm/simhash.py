@@ -214,7 +214,8 @@ def classes(docs: DataFrame, width: int = SHINGLE, hot: int = HOT) -> DataFrame:
     nodes = stored(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(nodes.select("fp"), hot))
     named = nodes.join(roots.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    # stored, so that both sides of the join are plain exchanges, which adaptive execution splits at a large component
+    ids = stored(named.groupBy("root").agg(F.min("least").alias("component_id")))
     return own.join(named.join(ids, "root").select("fp", "root", "component_id"), "fp")
 
 

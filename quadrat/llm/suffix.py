@@ -36,7 +36,7 @@ from quadrat.llm.common import rows_of, stored, tune, utf8
 LENGTH = 400
 KGRAM = 64
 #: Contexts of one k-gram that one bucket takes.
-BUCKET = 2000
+BUCKET = 500
 #: With more than so many times ``BUCKET``, each window goes to a bucket by itself, by distance and hash.
 WIDE = 50
 #: Window starts that are worked on at once; arrays of 8 bytes each.
