@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from quadrat.plans import catalogue_files, catalogue_labels  # noqa: F401  adds to the tables
+from quadrat.plans import catalogue_files, catalogue_labels, catalogue_masks  # noqa: F401  adds to the tables
 from quadrat.plans.catalogue import ORACLE, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
