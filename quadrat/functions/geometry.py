@@ -240,3 +240,59 @@ def _is_simple(p: Column) -> Column:
     indexes = F.sequence(F.lit(0), n - 1)
     apart = lambda i, j: (j > i + 1) & ~((i == 0) & (j == n - 1))
     return (n >= 3) & ~F.exists(indexes, lambda i: F.exists(indexes, lambda j: apart(i, j) & cross(i, j)))
+
+
+def overlap_area(a: Column, b: Column) -> Column:
+    """Area that two simple polygons (flat coordinates) share, exact but for rounding, convex or not.
+
+    A polygon is the signed sum of the strips between its edges and a base line below both; two strips share what lies
+    below the lower of their edges over their common width, which is one or two trapezoids.
+    """
+
+    def edges(coords: Column) -> Column:
+        def one(p: Column) -> Column:
+            n = F.size(p)
+            pairs = F.transform(p, lambda u, i: F.struct(u.alias("u"), F.get(p, (i + 1) % n).alias("v")))
+
+            def turned(e: Column) -> Column:
+                on = e["u"]["x"] <= e["v"]["x"]
+                first, last = F.when(on, e["u"]).otherwise(e["v"]), F.when(on, e["v"]).otherwise(e["u"])
+                steep = (e["v"]["y"] - e["u"]["y"]) / (e["v"]["x"] - e["u"]["x"])
+                return F.struct(
+                    first["x"].alias("x0"), last["x"].alias("x1"), first["y"].alias("y0"), steep.alias("k"), F.when(on, 1.0).otherwise(-1.0).alias("s")
+                )
+
+            return F.transform(F.filter(pairs, lambda e: e["u"]["x"] != e["v"]["x"]), turned)
+
+        return bound(points(coords), one)
+
+    def shared(low: Column, e: Column, f: Column) -> Column:
+        x0, x1 = F.greatest(e["x0"], f["x0"]), F.least(e["x1"], f["x1"])
+        at = lambda g, x: g["y0"] + g["k"] * (x - g["x0"]) - low
+        h = F.array(at(e, x0), at(f, x0), at(e, x1), at(f, x1))
+
+        def strip(v: Column) -> Column:
+            y, w = [F.get(v["h"], i) for i in range(4)], v["w"]
+            d0, d1 = y[0] - y[1], y[2] - y[3]
+            # the edges cross at a share t of the width
+            t = d0 / (d0 - d1)
+            middle = y[0] + t * (y[2] - y[0])
+            m0, m1 = F.least(y[0], y[1]), F.least(y[2], y[3])
+            return w * F.when(d0 * d1 < 0, (t * (m0 + middle) + (1 - t) * (middle + m1)) / 2).otherwise((m0 + m1) / 2)
+
+        return F.when(x0 < x1, e["s"] * f["s"] * bound(F.struct(h.alias("h"), (x1 - x0).alias("w")), strip)).otherwise(0.0)
+
+    def both(v: Column) -> Column:
+        row = lambda acc, e: acc + F.aggregate(v["f"], F.lit(0.0), lambda a2, f: a2 + shared(v["low"], e, f))
+        return F.abs(F.aggregate(v["e"], F.lit(0.0), row))
+
+    low = F.least(bbox(a)["y1"], bbox(b)["y1"])
+    return bound(F.struct(edges(a).alias("e"), edges(b).alias("f"), low.cast("double").alias("low")), both)
+
+
+def polygon_iou(a: Column, b: Column) -> Column:
+    inter = overlap_area(a, b)
+    return bound(
+        F.struct(inter.alias("i"), (polygon_area(a) + polygon_area(b)).alias("u")),
+        lambda v: F.when((v["i"] > 0) & (v["u"] > v["i"]), v["i"] / (v["u"] - v["i"])).otherwise(F.lit(0.0)),
+    )

@@ -111,3 +111,12 @@ def by_suffix(df: DataFrame, name: str, then: str, into: str = "rn") -> DataFram
 
 def head(df: DataFrame, order: list[str], n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
+
+
+def cumulative_folders(df: DataFrame, bucket: str, folders: list[str]) -> DataFrame:
+    """``folder, n``: nested folders that hold all rows whose bucket is below the number in their name; buckets are
+    counted before they are dealt to folders."""
+    counts = df.groupBy(F.col(bucket).alias("_b")).agg(F.count("*").alias("_n"))
+    dealt = counts.select("_n", "_b", F.explode(F.array(*map(F.lit, folders))).alias("folder"))
+    inside = dealt.where(F.col("_b") < F.regexp_extract("folder", r"_(\d+)", 1).cast("int"))
+    return inside.groupBy("folder").agg(F.sum("_n").alias("n"))

@@ -79,3 +79,16 @@ def position_means(df: DataFrame, values: str, digits: int = 6) -> DataFrame:
     """``at, n, mean`` over arrays that hold a value for each class."""
     rows = df.select(F.posexplode(values).alias("at", "v"))
     return rows.groupBy("at").agg(F.count("*").alias("n"), F.round(F.avg(F.col("v").cast("double")), digits).alias("mean"))
+
+
+def grid(results: DataFrame, given: dict[str, list], seen: list[str]) -> DataFrame:
+    """Every combination of ``given`` values and of the values of the columns ``seen``, with the number ``n`` of results of
+    it. Settings are counted first, so that combinations are made of a few values only."""
+    keys = [*given, *seen]
+    counts = results.groupBy(*keys).agg(F.count("*").alias("n"))
+    sets = results.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in seen])
+    for name, values in given.items():
+        sets = sets.withColumn(name, F.array(*map(F.lit, values)))
+    for c in keys:
+        sets = sets.withColumn(c, F.explode(c))
+    return sets.join(counts, keys, "left").select(*keys, F.coalesce("n", F.lit(0)).cast("long").alias("n"))

@@ -900,14 +900,13 @@ def suppressed_predictions(spark, d):
     return matching.suppress(predictions(spark, d), "pred_id")
 
 
-@query("""SELECT s AS seed, n AS train_size, r AS run, c AS conf FROM (SELECT unnest([1, 2, 3]) AS s) a, (SELECT unnest(range(10, 101, 10)) AS n) b,
-    (SELECT unnest(range(3)) AS r) e, (SELECT unnest([0.001, 0.3, 0.5, 0.7]) :: DOUBLE AS c) f""")
+@query("""WITH g AS (SELECT * FROM (SELECT unnest([1, 2, 3]) AS seed) a, (SELECT DISTINCT train_size FROM v_results) b, (SELECT DISTINCT run FROM v_results) e, (SELECT DISTINCT conf FROM v_results) f)
+    SELECT g.seed, g.train_size, g.run, g.conf, count(r.epoch) AS n FROM g LEFT JOIN v_results r ON r.train_size = g.train_size AND r.run = g.run AND r.conf = g.conf AND r.epoch % 3 + 1 = g.seed
+    GROUP BY g.seed, g.train_size, g.run, g.conf""")
 def experiment_grid(spark, d):
-    """A small table of parameters."""
-    grid = spark.range(1).select(F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("seed"))
-    grid = grid.select("*", F.explode(F.sequence(F.lit(10), F.lit(100), F.lit(10)).cast("array<bigint>")).alias("train_size"))
-    grid = grid.select("*", F.explode(F.sequence(F.lit(0), F.lit(2)).cast("array<bigint>")).alias("run"))
-    return grid.select("*", F.explode(F.array(*map(F.lit, (0.001, 0.3, 0.5, 0.7)))).alias("conf"))
+    """All settings of an experiment, with the results that exist for each."""
+    rows = view(spark, d, "v_results").withColumn("seed", (F.col("epoch") % 3 + 1).cast("int"))
+    return experiments.grid(rows, {"seed": [1, 2, 3]}, ["train_size", "run", "conf"])
 
 
 @query("""SELECT week, month, count(*) AS n FROM (SELECT CAST(week(o_orderdate) AS INT) AS week, CAST(month(o_orderdate) AS INT) AS month FROM orders) GROUP BY week, month""")

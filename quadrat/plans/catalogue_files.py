@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quadrat.functions import geometry as G
 from quadrat.functions import names as N
-from quadrat.operators import filters, folders
+from quadrat.operators import counting, filters, folders
 from quadrat.plans.catalogue import AREA, files, query
 from quadrat.plans.views import VIEWS, table, view
 from quadrat.session import scratch
@@ -216,17 +216,23 @@ def tiled_manifest(spark, d):
     return sinks.tiled_manifest(table(spark, d, "orders").select(path.alias("path"))).select("split", F.array_join("folders", ",").alias("folders"))
 
 
-@query("SELECT concat('train_', CAST(n AS VARCHAR), '/images') AS folder FROM (SELECT unnest(range(10, 101, 10)) AS n)")
+@query("""SELECT concat('train_', CAST(n AS VARCHAR), '/images') AS folder, count(*) AS n FROM orders, (SELECT unnest(range(10, 101, 10)) AS n) WHERE o_orderkey % 100 < n GROUP BY 1""")
 def cumulative_folders(spark, d):
-    """A small list of parameters."""
-    return spark.createDataFrame([(f,) for f in manifest.cumulative(100)], "folder string")
+    """Nested training folders with the images in them."""
+    return counting.cumulative_folders(table(spark, d, "orders").select((F.col("o_orderkey") % 100).alias("bucket")), "bucket", manifest.cumulative(100))
 
 
-@query("SELECT * FROM (VALUES (0, 'A'), (1, 'N'), (2, 'Z'), (5, 'R'), (6, 'Y')) AS t(class_id, name)")
+@query("""WITH c AS (SELECT p_brand, min(p_size % 5) AS first, count(*) AS n FROM part GROUP BY p_brand),
+    m AS (SELECT *, row_number() OVER (ORDER BY first, p_brand) - 1 AS class_id FROM c)
+    SELECT CAST(class_id AS INT) AS class_id, CASE WHEN class_id = 2 THEN 'Z' ELSE p_brand END AS name, n FROM m""")
 def merged_classes(spark, d):
-    """Class maps of several manifests; a small table."""
-    merged = manifest.merge_classes([["A", "N"], {5: "R", 0: "X"}, ["Y", "R"]])
-    return spark.createDataFrame(list(manifest.renamed(merged, {2: "Z"}).items()), "class_id int, name string")
+    """The class lists of five manifests as one, a class renamed, with what is in each."""
+    rows = table(spark, d, "part").groupBy((F.col("p_size") % 5).alias("manifest"), "p_brand").agg(F.count("*").alias("n"))
+    lists = rows.groupBy("manifest").agg(F.array_sort(F.collect_list("p_brand")).alias("names")).orderBy("manifest").collect()  # class lists of manifests
+    merged = manifest.merge_classes([r.names for r in lists])
+    names = manifest.renamed(merged, {2: "Z"})
+    classes = spark.createDataFrame([(k, old, names[k]) for k, old in merged.items()], "class_id int, p_brand string, name string")
+    return rows.join(classes, "p_brand").groupBy("class_id", "name").agg(F.sum("n").alias("n"))
 
 
 # ---- round trips through files ---------------------------------------------------------------------------------------

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quadrat.functions import geometry as G
 from quadrat.functions import rle
 from quadrat.operators import masks
 from quadrat.plans.catalogue import query
@@ -72,3 +73,27 @@ def polygon_run_lengths(spark, d):
     rows = table(spark, d, "embeddings").select("vec_id", _ring().alias("coords"))
     found = masks.polygon_runs(rows, "vec_id", "coords")
     return found.select("vec_id", "left", "top", "width", "height", F.array_join(F.col("runs").cast("array<string>"), ",").alias("rle"))
+
+
+@query("""
+    WITH t AS (SELECT vec_id, embedding AS e FROM embeddings),
+    v AS (SELECT vec_id, which, k, CAST(e[6 * which + 2 * k + 1] AS DOUBLE) * 100 AS x, CAST(e[6 * which + 2 * k + 2] AS DOUBLE) * 100 AS y,
+        CAST(e[6 * which + 2 * ((k + 1) % 3) + 1] AS DOUBLE) * 100 AS nx, CAST(e[6 * which + 2 * ((k + 1) % 3) + 2] AS DOUBLE) * 100 AS ny
+      FROM t, (SELECT unnest([0, 1]) AS which), (SELECT unnest([0, 1, 2]) AS k)),
+    b AS (SELECT vec_id, min(x) AS low FROM v GROUP BY vec_id),
+    s AS (SELECT v.vec_id, which, least(y, ny) AS y0, greatest(y, ny) AS y1, CASE WHEN y <= ny THEN x ELSE nx END - low AS x0, (nx - x) / (ny - y) AS slope, CASE WHEN y <= ny THEN 1 ELSE -1 END AS sign
+      FROM v JOIN b ON b.vec_id = v.vec_id WHERE y <> ny),
+    p AS (SELECT e.vec_id, e.sign * f.sign AS sign, greatest(e.y0, f.y0) AS a, least(e.y1, f.y1) AS z, e.x0 AS ex, e.y0 AS ey, e.slope AS es, f.x0 AS fx, f.y0 AS fy, f.slope AS fs
+      FROM s e JOIN s f ON f.vec_id = e.vec_id AND e.which = 0 AND f.which = 1 AND greatest(e.y0, f.y0) < least(e.y1, f.y1)),
+    h AS (SELECT vec_id, sign, z - a AS w, ex + es * (a - ey) AS p0, fx + fs * (a - fy) AS q0, ex + es * (z - ey) AS p1, fx + fs * (z - fy) AS q1 FROM p),
+    i AS (SELECT vec_id, abs(sum(sign * w * CASE WHEN (p0 - q0) * (p1 - q1) < 0
+        THEN ((p0 - q0) / (p0 - q0 - p1 + q1) * (least(p0, q0) - least(p1, q1)) + p0 + (p0 - q0) / (p0 - q0 - p1 + q1) * (p1 - p0) + least(p1, q1)) / 2
+        ELSE (least(p0, q0) + least(p1, q1)) / 2 END)) AS i FROM h GROUP BY vec_id),
+    u AS (SELECT vec_id, sum(a) AS u FROM (SELECT vec_id, which, abs(sum(x * ny - nx * y)) / 2 AS a FROM v GROUP BY vec_id, which) GROUP BY vec_id)
+    SELECT u.vec_id, round(coalesce(i, 0), 4) AS shared, round(CASE WHEN coalesce(i, 0) > 0 THEN i / (u - i) ELSE 0 END, 6) AS iou FROM u LEFT JOIN i ON i.vec_id = u.vec_id""")
+def polygon_overlaps(spark, d):
+    """Exact overlap of polygons that are no rectangles."""
+    part = lambda first: F.transform(F.slice("embedding", first, 6), lambda c: c.cast("double") * 100)
+    rows = table(spark, d, "embeddings").select("vec_id", part(1).alias("a"), part(7).alias("b"))
+    a, b = F.col("a"), F.col("b")
+    return rows.select("vec_id", F.round(G.overlap_area(a, b), 4).alias("shared"), F.round(G.polygon_iou(a, b), 6).alias("iou"))

@@ -74,3 +74,19 @@ def test_names(spark):
     assert one(spark, N.tray_folder(F.lit("T3"))) == "T03 (Done)"
     assert one(spark, N.tray_folder(F.lit("T23"))) == "T23"
     assert one(spark, N.numbers(F.lit("x=1.5, y=-2"))) == [1.5, -2.0]
+
+
+def test_exact_overlap(spark):
+    """Against counted pixels, and shapes whose overlap is plain."""
+    from quadrat.operators import matching
+
+    u = [0, 0, 90, 0, 90, 90, 60, 90, 60, 30, 30, 30, 30, 90, 0, 90]
+    rows = [(u, [0, 50, 100, 50, 100, 70, 0, 70], 1200.0), (u, u, 30 * 90 * 2 + 30 * 30.0), (u, [40, 40, 50, 40, 50, 50], 0.0), ([0, 0, 10, 0, 0, 10], [10, 10, 0, 10, 10, 0], 0.0),
+            ([0, 0, 10, 0, 10, 10, 0, 10], [10, 0, 20, 0, 20, 10], 0.0), ([5, 5], u, 0.0), ([0, 10, 10, 10, 10, 0, 0, 0], [5, 5, 15, 5, 15, 15, 5, 15], 25.0)]
+    df = spark.createDataFrame([([float(x) for x in a], [float(x) for x in b], c) for a, b, c in rows], "a array<double>, b array<double>, area double")
+    assert [r[0] for r in df.select(F.round(G.overlap_area(F.col("a"), F.col("b")), 6)).collect()] == [c for *_, c in rows]
+    rng = random.Random(3)
+    many = [([rng.uniform(0, 600) for _ in range(6)], [rng.uniform(0, 600) for _ in range(6)]) for _ in range(40)]
+    df = spark.createDataFrame(many, "a array<double>, b array<double>")
+    for r in df.select(G.polygon_iou(F.col("a"), F.col("b")).alias("exact"), matching.raster_iou("a", "b").alias("counted")).collect():
+        assert abs(r.exact - r.counted) < 0.01
