@@ -235,7 +235,9 @@ def _is_simple(p: Column) -> Column:
 
     def cross(i: Column, j: Column) -> Column:
         a, b, c, d = at(i), at(i + 1), at(j), at(j + 1)
-        return (turn(a, b, c) * turn(a, b, d) <= 0) & (turn(c, d, a) * turn(c, d, b) <= 0)
+        # edges on one line have no turns; they meet only if their extents do
+        near = [F.greatest(a[x], b[x]) >= F.least(c[x], d[x]) for x in "xy"] + [F.greatest(c[x], d[x]) >= F.least(a[x], b[x]) for x in "xy"]
+        return near[0] & near[1] & near[2] & near[3] & (turn(a, b, c) * turn(a, b, d) <= 0) & (turn(c, d, a) * turn(c, d, b) <= 0)
 
     indexes = F.sequence(F.lit(0), n - 1)
     apart = lambda i, j: (j > i + 1) & ~((i == 0) & (j == n - 1))

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from quadrat.functions import geometry as G
 from quadrat.functions import rle
-from quadrat.operators import masks
-from quadrat.plans.catalogue import query
-from quadrat.plans.views import table
+from quadrat.operators import masks, tiling
+from quadrat.plans.catalogue import _TILES, query
+from quadrat.plans.views import table, view
 
 #: Sides of a pixel, as in the operator: what stands beyond, and the corners where the side begins and ends.
 _SIDES = "(VALUES (0, -1, 0, 0, 0, 0, 1), (1, 0, 1, 0, 1, 1, 1), (2, 1, 0, 1, 1, 1, 0), (3, 0, -1, 1, 0, 0, 0)) AS s(side, dx, dy, u1, u2, v1, v2)"
@@ -97,3 +97,28 @@ def polygon_overlaps(spark, d):
     rows = table(spark, d, "embeddings").select("vec_id", part(1).alias("a"), part(7).alias("b"))
     a, b = F.col("a"), F.col("b")
     return rows.select("vec_id", F.round(G.overlap_area(a, b), 4).alias("shared"), F.round(G.polygon_iou(a, b), 6).alias("iou"))
+
+
+#: What a box shares with a tile. The label is a box with a notch from above: left leg, floor and right leg.
+_CUT = "greatest(least({x2}, tx + 640) - greatest({x1}, tx), 0) * greatest(least({y2}, ty + 640) - greatest({y1}, ty), 0)"
+
+
+@query(f"""
+    WITH tiles AS ({_TILES}), u AS (SELECT l.image_id, class_id, l.x1, l.y1, l.x2, l.y2, t.x0 AS tx, t.y0 AS ty
+      FROM v_labels l JOIN tiles t ON t.image_id = l.image_id AND l.x1 < t.x0 + 640 AND l.x2 > t.x0 AND l.y1 < t.y0 + 640 AND l.y2 > t.y0),
+    a AS (SELECT *, {_CUT.format(x1='x1', y1='y1', x2='x1 + 3', y2='y2')} AS l, {_CUT.format(x1='x1 + 3', y1='y1 + 5', x2='x2 - 3', y2='y2')} AS f,
+        {_CUT.format(x1='x2 - 3', y1='y1', x2='x2', y2='y2')} AS r, (x2 - x1) * (y2 - y1) - (x2 - x1 - 6) * 5 AS whole FROM u),
+    k AS (SELECT *, l + f + r AS inside, CASE WHEN f > 0 THEN 1 ELSE (CASE WHEN l > 0 THEN 1 ELSE 0 END) + (CASE WHEN r > 0 THEN 1 ELSE 0 END) END AS parts FROM a)
+    SELECT image_id, tx, ty, class_id, CAST(sum(parts) AS BIGINT) AS n, round(sum(inside), 3) AS inside FROM k
+    WHERE inside > 0.5 * whole OR (inside >= 20 AND inside >= 0.1 * whole) GROUP BY image_id, tx, ty, class_id""")
+def tile_concave_labels(spark, d):
+    """Concave polygons cut to tiles, each part by itself."""
+    images = view(spark, d, "v_images")
+    x1, y1, x2, y2 = map(F.col, ("x1", "y1", "x2", "y2"))
+    ring = F.array(x1, y1, x1 + 3, y1, x1 + 3, y1 + 5, x2 - 3, y1 + 5, x2 - 3, y1, x2, y1, x2, y2, x1, y2)
+    rows = view(spark, d, "v_labels").join(images.select("image_id", "width", "height"), "image_id")
+    shares = F.transform(ring, lambda c, i: c / F.when(i % 2 == 0, F.col("width")).otherwise(F.col("height")))
+    parts = tiling.tile_polygons(rows.select("image_id", "class_id", shares.alias("coords")), images)
+    return parts.withColumn("inside", G.polygon_area(F.col("part"))).groupBy("image_id", "tx", "ty", "class_id").agg(
+        F.count("*").alias("n"), F.round(F.sum("inside"), 3).alias("inside")
+    )

@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 
 import pytest
@@ -90,3 +91,31 @@ def test_exact_overlap(spark):
     df = spark.createDataFrame(many, "a array<double>, b array<double>")
     for r in df.select(G.polygon_iou(F.col("a"), F.col("b")).alias("exact"), matching.raster_iou("a", "b").alias("counted")).collect():
         assert abs(r.exact - r.counted) < 0.01
+
+
+def test_clip_parts(spark):
+    """Parts of concave polygons: plain ones, teeth that touch the border, and areas of random stars."""
+    from quadrat.functions import parts as P
+
+    u = [0, 0, 3, 0, 3, 5, 7, 5, 7, 0, 10, 0, 10, 9, 0, 9]
+    comb = [0, 0, 1, 4, 2, 2, 3, 4, 4, 0, 5, 8, -1, 8]  # teeth upward with a low gap at y = 2
+    stars = []
+    rng = random.Random(4)
+    for _ in range(60):
+        n = rng.randint(5, 14)
+        at = [(rng.uniform(5, 60), 2 * math.pi * k / n) for k in range(n)]
+        stars.append([c for r, t in at for c in (50 + r * math.cos(t), 50 + r * math.sin(t))])
+    shapes = [(u, 0, 0, 10, 4), (u, -5, -5, 20, 20), (u, 4, 0, 6, 4), (u, 0, 0, 10, 5), (u, 0, 5, 10, 9), (comb, -5, 0, 10, 2), (comb, -5, 0, 10, 4), (u[::1], 0, 4, 3, 9)]
+    rows = [(i, [float(x) for x in p], *map(float, box)) for i, (p, *box) in enumerate(shapes)]
+    rows += [(100 + i, p, 20.0, 30.0, 70.0, 75.0) for i, p in enumerate(stars)]
+    df = spark.createDataFrame(rows, "id int, p array<double>, a double, b double, c double, d double")
+    box = [F.col(x) for x in "abcd"]
+    df = df.select("id", P.clip_parts("p", *box).alias("parts"), G.clipped_area(F.col("p"), *box).alias("area"), P.is_convex(F.col("p")).alias("convex"))
+    found = {r.id: r for r in df.withColumn("sum", F.aggregate("parts", F.lit(0.0), lambda s, x: s + G.polygon_area(x))).collect()}
+    assert spark.createDataFrame([([float(c) for c in u],)], "p array<double>").select(G.is_simple(F.col("p"))).first()[0]  # edges on one line
+    assert [len(found[i].parts) for i in range(8)] == [2, 1, 0, 2, 1, 2, 3, 1] and not found[0].convex
+    for r in found.values():
+        assert r.sum == pytest.approx(r.area, abs=1e-6)
+        for p in r.parts:
+            assert len(p) >= 6
+    assert spark.createDataFrame([([0.0, 0.0, 4.0, 0.0, 4.0, 4.0, 0.0, 4.0],)], "p array<double>").select(P.is_convex(F.col("p"))).first()[0]
