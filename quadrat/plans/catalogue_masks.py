@@ -1,14 +1,17 @@
-"""Registered queries over masks."""
+"""Registered queries over masks, polygons and the prediction chain."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from quadrat.functions import geometry as G
 from quadrat.functions import rle
 from quadrat.operators import masks, tiling
-from quadrat.plans.catalogue import _TILES, query
+from quadrat.plans import predicting
+from quadrat.plans.catalogue import _CATS, _TILES, annotations, categories, query
 from quadrat.plans.views import table, view
+from quadrat.session import stored
 
 #: Sides of a pixel, as in the operator: what stands beyond, and the corners where the side begins and ends.
 _SIDES = "(VALUES (0, -1, 0, 0, 0, 0, 1), (1, 0, 1, 0, 1, 1, 1), (2, 1, 0, 1, 1, 1, 0), (3, 0, -1, 1, 0, 0, 0)) AS s(side, dx, dy, u1, u2, v1, v2)"
@@ -122,3 +125,37 @@ def tile_concave_labels(spark, d):
     return parts.withColumn("inside", G.polygon_area(F.col("part"))).groupBy("image_id", "tx", "ty", "class_id").agg(
         F.count("*").alias("n"), F.round(F.sum("inside"), 3).alias("inside")
     )
+
+
+@query(f"""WITH {_CATS}, d AS (SELECT id, CASE id % 3 WHEN 2 THEN 2 ELSE 1 END AS category_id FROM v_coco_images_add),
+    cm AS (SELECT b.id AS own, a.id AS ext FROM v_coco_images_base b JOIN v_coco_images_add a ON regexp_extract(b.file_name, '[^/]*$') = regexp_extract(a.file_name, '[^/]*$')),
+    th AS (SELECT cm.own AS image_id, cats.id AS category_id FROM d JOIN cm ON d.id = cm.ext JOIN cats ON cats.extra_id = d.category_id WHERE d.id % 7 <> 0),
+    ow AS (SELECT x.image_id, cats.id AS category_id FROM v_coco_anns_base x JOIN v_coco_images_base b ON x.image_id = b.id JOIN cats ON cats.base_id = x.category_id
+      WHERE x.image_id NOT IN (SELECT image_id FROM th)),
+    al AS (SELECT 'extra' AS side, category_id FROM th UNION ALL SELECT 'base', category_id FROM ow)
+    SELECT concat(side, ' ', category_id) AS part, count(*) AS n FROM al GROUP BY side, category_id
+    UNION ALL SELECT 'predict', (SELECT count(*) FROM d) + (SELECT count(*) FROM d WHERE id % 4 = 0)
+    UNION ALL SELECT 'fix', (SELECT count(*) FROM d WHERE id % 7 <> 0) UNION ALL SELECT 'combine', (SELECT count(*) FROM al)""")
+def prediction_chain(spark, d):
+    """O3, with F29 and F30: predict, repair, merge; what passed each step is counted on the way."""
+
+    def load():
+        def model(images: pd.DataFrame) -> pd.DataFrame:
+            one = pd.DataFrame({"image_id": images["id"], "class_name": (images["id"] % 3).map({0: "A", 1: "R", 2: "X"}), "conf": 0.5})
+            one = one.assign(x1=images["id"] % 50 * 1.0, y1=images["id"] % 70 * 1.0, polygon=None)
+            one = one.assign(x2=one["x1"] + 10, y2=one["y1"] + 20)
+            one["polygon"] = [[[]] if i % 7 == 0 else None for i in one["image_id"]]  # a polygon without points
+            flat = one[one["image_id"] % 4 == 0].assign(x2=lambda r: r["x1"])  # a box without extent
+            names = [c.split()[0] for c in predicting.SCHEMA.split(", ")]
+            return pd.concat([one, flat])[names]
+
+        return model
+
+    chain = predicting.Chain(
+        images=view(spark, d, "v_coco_images_add"), load=load, class_ids={"R": 1, "X": 2}, categories=categories(spark, d),
+        base=(view(spark, d, "v_coco_images_base"), annotations(spark, d, "base")),
+    )
+    merged, counters = predicting.run(chain)
+    parts = stored(merged.select(F.concat_ws(" ", "side", "category_id").alias("part")))
+    steps = spark.createDataFrame([(step, seen.get["n"]) for step, seen in counters.items()], "part string, n long")
+    return parts.groupBy("part").agg(F.count("*").alias("n")).unionByName(steps)
