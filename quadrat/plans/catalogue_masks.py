@@ -1,8 +1,9 @@
-"""Registered queries over masks, polygons and the prediction chain."""
+"""Registered queries over masks and polygons, the prediction chain and runs that are resumed."""
 
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from quadrat.functions import geometry as G
@@ -11,7 +12,8 @@ from quadrat.operators import masks, tiling
 from quadrat.plans import predicting
 from quadrat.plans.catalogue import _CATS, _TILES, annotations, categories, query
 from quadrat.plans.views import table, view
-from quadrat.session import stored
+from quadrat.session import scratch, stored
+from quadrat.streaming import ingest
 
 #: Sides of a pixel, as in the operator: what stands beyond, and the corners where the side begins and ends.
 _SIDES = "(VALUES (0, -1, 0, 0, 0, 0, 1), (1, 0, 1, 0, 1, 1, 1), (2, 1, 0, 1, 1, 1, 0), (3, 0, -1, 1, 0, 0, 0)) AS s(side, dx, dy, u1, u2, v1, v2)"
@@ -159,3 +161,27 @@ def prediction_chain(spark, d):
     parts = stored(merged.select(F.concat_ws(" ", "side", "category_id").alias("part")))
     steps = spark.createDataFrame([(step, seen.get["n"]) for step, seen in counters.items()], "part string, n long")
     return parts.groupBy("part").agg(F.count("*").alias("n")).unionByName(steps)
+
+
+@query("""SELECT image_id, dataset, ((width + 319) // 320) * ((height + 319) // 320) AS n, count(*) OVER (PARTITION BY dataset) AS processed FROM v_images""")
+def resumed_tiles(spark, d):
+    """Tiles of images in batches; the run breaks off in its second batch and is resumed. With the counters."""
+    source, out, state = scratch(spark), scratch(spark), scratch(spark)
+    view(spark, d, "v_images").repartition(4, "image_id").write.parquet(source)
+    schema, tries = spark.read.parquet(source).schema, []
+
+    def stream():
+        return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+
+    def tiles(batch):
+        tries.append(1)
+        if len(tries) == 2:
+            raise RuntimeError("stopped half way")
+        return batch.select("image_id", "dataset").join(tiling.tile_estimate(batch).select("image_id", "n"), "image_id")
+
+    try:
+        ingest.run_resumable(stream(), tiles, "dataset", out, state).awaitTermination()
+    except StreamingQueryException:
+        ingest.run_resumable(stream(), tiles, "dataset", out, state).awaitTermination()
+    rows = spark.read.parquet(f"{out}/rows").select("image_id", "dataset", "n")
+    return rows.join(ingest.progress(spark, out, "dataset"), "dataset")
