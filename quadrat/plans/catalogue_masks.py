@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from quadrat.functions import geometry as G
 from quadrat.functions import rle
 from quadrat.operators import masks, tiling
-from quadrat.plans import predicting
-from quadrat.plans.catalogue import _CATS, _TILES, annotations, categories, query
+from quadrat.plans import pipeline, predicting
+from quadrat.plans.catalogue import _CATS, _TILES, AREA, annotations, categories, query
 from quadrat.plans.views import table, view
 from quadrat.session import scratch, stored
 from quadrat.streaming import ingest
@@ -185,3 +185,28 @@ def resumed_tiles(spark, d):
         ingest.run_resumable(stream(), tiles, "dataset", out, state).awaitTermination()
     rows = spark.read.parquet(f"{out}/rows").select("image_id", "dataset", "n")
     return rows.join(ingest.progress(spark, out, "dataset"), "dataset")
+
+
+@query(f"""WITH r AS (SELECT image_id, row_number() OVER (ORDER BY md5(concat('42:', CAST(image_id AS VARCHAR))), image_id) AS rn, count(*) OVER () - 3 AS m FROM v_images),
+    s AS (SELECT image_id, CASE WHEN rn = 1 THEN 'train' WHEN rn = 2 THEN 'val' WHEN rn = 3 THEN 'test' WHEN rn - 3 <= floor(m * 0.7) THEN 'train'
+      WHEN rn - 3 <= floor(m * 0.7) + floor(m * 0.15) THEN 'val' ELSE 'test' END AS split FROM r),
+    f AS (SELECT image_id, x1, y1, x2, y2, (x2 - x1) * (y2 - y1) AS area FROM v_labels WHERE {AREA} >= CASE class_id WHEN 0 THEN 400 WHEN 1 THEN 500 ELSE 600 END),
+    t AS ({_TILES}),
+    c AS (SELECT t.image_id, t.x0, t.y0, f.area, (least(f.x2, t.x1) - greatest(f.x1, t.x0)) * (least(f.y2, t.y1) - greatest(f.y1, t.y0)) AS inside
+      FROM t JOIN f ON f.image_id = t.image_id AND f.x1 < t.x1 AND f.x2 > t.x0 AND f.y1 < t.y1 AND f.y2 > t.y0),
+    k AS (SELECT image_id, x0, y0, count(*) AS n FROM c WHERE inside > 0.5 * area OR (inside >= 20 AND inside >= 0.1 * area) GROUP BY ALL),
+    e AS (SELECT concat(t.image_id, '_', t.x0, '_', t.y0) AS image_id, s.split, coalesce(k.n, 0) AS n FROM t JOIN s ON s.image_id = t.image_id
+      LEFT JOIN k ON k.image_id = t.image_id AND k.x0 = t.x0 AND k.y0 = t.y0),
+    b AS (SELECT *, row_number() OVER (PARTITION BY split, n > 0 ORDER BY md5(concat('42:', image_id)), image_id) AS rn,
+        count(*) FILTER (n > 0) OVER (PARTITION BY split) AS ne, count(*) FILTER (n = 0) OVER (PARTITION BY split) AS em FROM e)
+    SELECT image_id, split, n FROM b WHERE ne > 0 AND rn <= CASE WHEN em = 0 THEN ne ELSE least(ne, em) END""")
+def prepared_tiles(spark, d):
+    """O1: all four steps, filter, split, patch and balance, row by row."""
+    images, v = view(spark, d, "v_images").select("image_id", "width", "height"), view(spark, d, "v_labels")
+    sized = v.join(images, "image_id")
+    ring = G.box_polygon(*map(F.col, ("x1", "y1", "x2", "y2")))
+    shares = F.transform(ring, lambda c, i: c / F.when(i % 2 == 0, F.col("width")).otherwise(F.col("height")))
+    settings = pipeline.Settings.of({"filter": {"min_pixel_area": [399.999, 499.999, 599.999]}, "split": {"split_field": None, "seed": 42}})
+    done, kept = pipeline.prepare(images, sized.select("image_id", "class_id", shares.alias("coords")), settings)
+    counted = kept.groupBy("image_id").agg(F.count("*").alias("n"))
+    return done.join(counted, "image_id", "left").select("image_id", "split", F.coalesce("n", F.lit(0)).alias("n"))

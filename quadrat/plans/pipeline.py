@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quadrat.functions import geometry as G
 from quadrat.operators import areas, counting, splitting, tiling
+from quadrat.session import stored
 
 
 @dataclass(frozen=True)
@@ -87,8 +88,10 @@ def _patch(state: State, s: Settings) -> State:
 
 def _balance(state: State, s: Settings) -> State:
     images, labels = state
+    labels = stored(labels)  # used twice, and costly after patching
     used = labels.select("image_id").distinct().withColumn("_used", F.lit(True))
     stated = images.join(used, "image_id", "left").withColumn("state", F.when(F.col("_used"), "non_empty").otherwise("empty")).drop("_used")
+    stated = stored(stated)
     kept = counting.balance_sample(stated, "image_id", s.seed, s.preserve_all_non_empty).drop("state")
     return kept, labels.join(kept.select("image_id"), "image_id", "left_semi")
 
@@ -97,7 +100,7 @@ STEPS: dict[str, Callable[[State, Settings], State]] = {"filter": _filter, "spli
 
 
 def prepare(images: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> State:
-    """Images and labels after the enabled steps, in order. Nothing is computed before an action."""
+    """Images and labels after the enabled steps, in order. Only the balance, which counts, computes before an action."""
     state = images, labels
     for step in settings.steps:
         if step not in settings.disabled:

@@ -130,7 +130,13 @@ def test_preparation(spark):
     labels = spark.createDataFrame(rows, "image_id long, class_id int, coords array<double>")
     settings = pipeline.Settings.of({"patch": {"overlap": 0.25}, "split": {"seed": 3}})
     out, kept = pipeline.prepare(images, labels, settings)
-    assert out.count() > 0 and kept.count() > 0 and settings.suffix() == "_filtered_split_tiled_balanced"
+    tiles, found = out.collect(), {r.image_id for r in kept.collect()}
+    # every image has 3 x 3 tiles; of each split, as many empty tiles stay as there are tiles with labels (or fewer)
+    assert {r.split for r in tiles} == {"train", "val", "test"} and settings.suffix() == "_filtered_split_tiled_balanced"
+    for split in ("train", "val", "test"):
+        own = [r.image_id for r in tiles if r.split == split]
+        assert len(own) == len(set(own)) and sum(i in found for i in own) == sum(i not in found for i in own) > 0
+    assert found <= {r.image_id for r in tiles} and all((r.width, r.height) == (640, 640) for r in tiles)
     with pytest.raises(ValueError):
         pipeline.Settings.of({"pipeline": ["nothing"]})
 
