@@ -93,3 +93,17 @@ def copy_paste(boxes: DataFrame, others: DataFrame, key: str, share: float, most
     at = F.row_number().over(Window.partitionBy(by).orderBy("overlap", key))
     n = F.count("*").over(Window.partitionBy(by))
     return rows.withColumns({"_at": at, "_n": n}).where(F.col("_at") <= F.rint(F.col("_n") * share)).drop("_at", "_n")
+
+
+def mosaic3(images: DataFrame, size: int, by: str = "mosaic") -> DataFrame:
+    """Places of three images in a row (place 0 to 2: the centre, right, left) on a canvas of 3 x ``size``: ``dx, dy`` that
+    labels move by and the canvas part ``ax1 ... ay2``."""
+    p, w, h, s = F.col("place"), F.col("width"), F.col("height"), F.lit(size)
+    whole = Window.partitionBy(by)
+    first = lambda c: F.max(F.when(p == 0, F.col(c))).over(whole)
+    rows = images.withColumns({"_w0": first("width"), "_h0": first("height")})
+    w0, h0 = F.col("_w0"), F.col("_h0")
+    placed = rows.withColumns({"dx": _case(p, [s, s + w0, s - w]), "dy": _case(p, [s, s, s + h0 - h])})
+    ends = {"ax2": _case(p, [s + w, s + w0 + w, s]), "ay2": _case(p, [s + h, s + h, s + h0])}
+    starts = {f"a{c}1": F.greatest(F.col(f"d{c}"), F.lit(0)) for c in "xy"}
+    return placed.withColumns({**starts, **{k: F.greatest(v, F.lit(0)) for k, v in ends.items()}}).drop("_w0", "_h0")

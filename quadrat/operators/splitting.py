@@ -196,3 +196,22 @@ def _objective(counts: Sequence[tuple], chosen: dict, ratios: Sequence[float]) -
     total = sum(n for _, n in counts)
     held = {s: sum(n for v, n in counts if chosen.get(v) == s) for s in SPLITS}
     return sum(w * abs(held[s] - total * r) for s, w, r in zip(SPLITS, EXACT_WEIGHTS, ratios))
+
+
+def preview(df: DataFrame, key: str, ratios: Sequence[float] = RATIOS, seed: int = 42) -> DataFrame:
+    """``key, split`` of a random split that is only looked at: floors of the shares, test takes what is left, and no split
+    is given a row first."""
+    check_ratios(ratios)
+    total = df.agg(F.count("*").alias("_n"))
+    train, val = F.floor(F.col("_n") * ratios[0]), F.floor(F.col("_n") * ratios[1])
+    split = F.when(F.col("_rn") <= train, "train").when(F.col("_rn") <= train + val, "val").otherwise("test")
+    return ranked_randomly(df, seed, key, "_rn").crossJoin(total).select(key, split.alias("split"))
+
+
+def preview_summary(assigned: DataFrame, ratios: Sequence[float] = RATIOS) -> DataFrame:
+    """``split, n, deviation``: sizes, and how far each share is from its target; a split without a row is there with 0."""
+    target = F.create_map(*[F.lit(x) for s, r in zip(SPLITS, ratios) for x in (s, float(r))])
+    counts = assigned.agg(*[F.count_if(F.col("split") == s).alias(s) for s in SPLITS], F.count("*").alias("_all"))
+    rows = counts.select("_all", F.explode(F.create_map(*[x for s in SPLITS for x in (F.lit(s), F.col(s))])).alias("split", "n"))
+    share = F.coalesce(F.try_divide(F.col("n").cast("double"), F.col("_all")), F.lit(0.0))
+    return rows.select("split", "n", F.round(F.abs(share - F.element_at(target, F.col("split"))), 9).alias("deviation"))

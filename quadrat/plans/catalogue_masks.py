@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 from quadrat.functions import geometry as G
 from quadrat.functions import rle
-from quadrat.operators import masks, tiling
+from quadrat.operators import masks, mosaics, splitting, tiling
 from quadrat.plans import pipeline, predicting
 from quadrat.plans.catalogue import _CATS, _TILES, AREA, annotations, categories, query
 from quadrat.plans.views import table, view
 from quadrat.session import scratch, stored
+from quadrat.sources import files as read
+from quadrat.sources import sinks
 from quadrat.streaming import ingest
 
 #: Sides of a pixel, as in the operator: what stands beyond, and the corners where the side begins and ends.
@@ -210,3 +212,35 @@ def prepared_tiles(spark, d):
     done, kept = pipeline.prepare(images, sized.select("image_id", "class_id", shares.alias("coords")), settings)
     counted = kept.groupBy("image_id").agg(F.count("*").alias("n"))
     return done.join(counted, "image_id", "left").select("image_id", "split", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query(f"WITH {_RUNS} SELECT b.vec_id AS image_id, concat('set/', b.vec_id, '.jpg') AS name, CASE WHEN b.vec_id % 2 = 0 THEN 'a' ELSE 'b' END AS label, l AS \"left\", t AS top, w AS width, h AS height, rle FROM b JOIN z ON z.vec_id = b.vec_id")
+def cvat_mask_document(spark, d):
+    """Polygons as masks of a CVAT document, written and read."""
+    rows = table(spark, d, "embeddings").select("vec_id", _ring().alias("coords"))
+    name = F.concat(F.lit("set/"), F.col("vec_id").cast("string"), F.lit(".jpg")).alias("name")
+    found = masks.polygon_runs(rows, "vec_id", "coords").select("*", name, F.when(F.col("vec_id") % 2 == 0, "a").otherwise("b").alias("label"))
+    path = scratch(spark)
+    sinks.write_cvat_masks(found.withColumnRenamed("vec_id", "image_id"), path)
+    back = read.cvat_masks(spark, path)
+    return back.select("image_id", "name", "label", "left", "top", "width", "height", F.array_join(F.col("runs").cast("array<string>"), ",").alias("rle"))
+
+
+@query("""WITH r AS (SELECT image_id, row_number() OVER (ORDER BY md5(concat('42:', CAST(image_id AS VARCHAR))), image_id) AS rn, count(*) OVER () AS m FROM v_images),
+    s AS (SELECT CASE WHEN rn <= floor(m * 0.7) THEN 'train' WHEN rn <= floor(m * 0.7) + floor(m * 0.15) THEN 'val' ELSE 'test' END AS split, m FROM r)
+    SELECT split, count(*) AS n, round(abs(count(*) / min(m) - CASE split WHEN 'train' THEN 0.7 ELSE 0.15 END), 9) AS deviation FROM s GROUP BY split""")
+def preview_split(spark, d):
+    """The random split that is only looked at: sizes and distances from the targets."""
+    return splitting.preview_summary(splitting.preview(view(spark, d, "v_images").select("image_id"), "image_id"))
+
+
+@query("""WITH i AS (SELECT image_id // 3 AS mosaic, CAST(image_id % 3 AS INT) AS place, width // 4 AS w, height // 4 AS h FROM v_images),
+    f AS (SELECT mosaic, w AS w0, h AS h0 FROM i WHERE place = 0),
+    c AS (SELECT i.mosaic, place, w, h, w0, h0, CASE place WHEN 0 THEN 640 WHEN 1 THEN 640 + w0 ELSE 640 - w END AS dx, CASE place WHEN 2 THEN 640 + h0 - h ELSE 640 END AS dy,
+      CASE place WHEN 0 THEN 640 + w WHEN 1 THEN 640 + w0 + w ELSE 640 END AS r, CASE place WHEN 2 THEN 640 + h0 ELSE 640 + h END AS b FROM i JOIN f ON f.mosaic = i.mosaic)
+    SELECT mosaic, place, dx, dy, greatest(dx, 0) AS ax1, greatest(dy, 0) AS ay1, greatest(r, 0) AS ax2, greatest(b, 0) AS ay2 FROM c""")
+def mosaic_row(spark, d):
+    """Three images in a row."""
+    v = view(spark, d, "v_images").select(F.expr("image_id div 3").alias("mosaic"), (F.col("image_id") % 3).cast("int").alias("place"), F.expr("width div 4").alias("width"), F.expr("height div 4").alias("height"))
+    whole = v.join(v.where("place = 0").select("mosaic"), "mosaic", "left_semi")
+    return mosaics.mosaic3(whole, 640).select("mosaic", "place", "dx", "dy", "ax1", "ay1", "ax2", "ay2")

@@ -165,3 +165,12 @@ def train_list(spark: SparkSession, path: str) -> DataFrame:
 
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+
+
+def cvat_masks(spark: SparkSession, path: str) -> DataFrame:
+    """``image_id, name, label, left, top, width, height, runs`` of the masks of a CVAT document."""
+    kind = "array<struct<_label: string, _rle: string, _left: bigint, _top: bigint, _width: bigint, _height: bigint>>"
+    rows = spark.read.format("xml").option("rowTag", "image").schema(f"_id bigint, _name string, mask {kind}").load(path)
+    flat = rows.select(F.col("_id").alias("image_id"), F.col("_name").alias("name"), F.explode("mask").alias("m"))
+    runs = F.transform(F.split("m._rle", r"\s*,\s*"), lambda r: r.cast("long")).alias("runs")
+    return flat.select("image_id", "name", *[F.col(f"m._{c}").alias(c) for c in ("label", "left", "top", "width", "height")], runs)

@@ -94,3 +94,16 @@ def copy_plan(images: DataFrame, root: str, to: str) -> DataFrame:
 def write_table(rows: DataFrame, path: str) -> None:
     """Metrics, details, summaries or lists of names as delimited text with a header."""
     rows.write.mode("overwrite").csv(path, header=True)
+
+
+def write_cvat_masks(masks: DataFrame, path: str) -> None:
+    """``image`` elements with ``mask`` children. ``masks``: image_id, name, label, left, top, width, height (of the mask) and
+    ``runs``, its run lengths."""
+    mask = F.struct(
+        F.col("label").alias("_label"), F.lit("semi-auto").alias("_source"), F.lit(0).alias("_occluded"),
+        F.array_join(F.col("runs").cast("array<string>"), ", ").alias("_rle"), *[F.col(c).alias(f"_{c}") for c in ("left", "top", "width", "height")],
+        F.lit(0).alias("_z_order"),
+    )
+    rows = masks.groupBy("image_id", "name").agg(F.collect_list(mask).alias("mask"))
+    rows = rows.select(F.col("image_id").alias("_id"), F.col("name").alias("_name"), "mask")
+    rows.write.mode("overwrite").format("xml").option("rootTag", "annotations").option("rowTag", "image").save(path)
