@@ -166,3 +166,18 @@ def test_leaks_recall(spark, share, least):
     caught = sum(1 for d, i, _ in got if d == i)
     print("replaced", share, "caught", caught, "of 200, others", len(got) - caught)
     assert caught >= least * 200 and all(d == i for d, i, _ in got)
+
+
+def test_token_counts_with_one_id(spark):
+    """Rows that share an id, a text with more different pre-tokens than the trie has nodes: counts as with a roomy trie."""
+    from quadrat.llm import tokencount
+    from quadrat.llm.queries import vocabulary
+
+    rng = random.Random(1)
+    texts = [" ".join("".join(rng.choice("abcdefg") for _ in range(6)) for _ in range(300)) for _ in range(40)]
+    docs = spark.createDataFrame([(7, t) for t in [*texts, texts[0]]], "doc_id long, text string")
+    assert 0 < len(set(tokencount.sample(docs))) <= 40
+    model = tokencount.fit(tokencount.sample(docs), tokencount.vocabulary_of(vocabulary("piece_bpe_32k.model")))
+    pieces = dict(zip(tokencount.vocabulary_of(vocabulary("piece_bpe_32k.model")), model.scores))
+    small, roomy = (tokencount.Trie(pieces, model.byte_score, room) for room in (50, 10**6))
+    assert list(small.measure([" ".join(texts)])) == list(roomy.measure([" ".join(texts)])) and len(small.scores) < 1000
