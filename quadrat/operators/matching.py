@@ -247,7 +247,7 @@ def _thinned(preds: DataFrame, key: str, threshold: float, same_class: bool) ->
 def first_overlaps(boxes: DataFrame, key: str, by: str = "image_id") -> DataFrame:
     """Boxes of an image joined in pairs: each free box, in the order of ``key``, with the first free one after it that it
     meets. ``by, key, other`` (null for a box that stays alone) and the box around both, the class of the more confident
-    one (of the second if equal), the mean confidence."""
+    one (of the second if equal), the mean confidence. Keys are different in all boxes of an image."""
     once = stored(boxes.select(by, key, "class_id", "conf", *grid.BOX))
     pairs = grid.meeting(once, once, by, grid.crowded(once, once, by, whole=0)).where(F.col(f"a.{key}") < F.col(f"b.{key}"))
     pairs = stored(pairs.select(by, F.col(f"a.{key}").alias(key), F.col(f"b.{key}").alias("other")))

@@ -573,8 +573,8 @@ def prepared_split(spark, d):
     return rows.groupBy("split").agg(F.count("*").alias("n_images"), F.coalesce(F.sum("k"), F.lit(0)).alias("n_labels"))
 
 
-@query("""WITH RECURSIVE b AS (SELECT image_id, concat_ws('-', l_partkey, l_suppkey, l_linenumber) AS k, class_id, 10 * discount AS conf, x1, y1, x2, y2,
-      row_number() OVER (PARTITION BY image_id ORDER BY concat_ws('-', l_partkey, l_suppkey, l_linenumber)) AS i FROM v_labels),
+@query("""WITH RECURSIVE b AS (SELECT image_id, concat_ws('-', l_partkey, l_suppkey, l_linenumber, CAST(round(price * 100) AS BIGINT)) AS k, class_id, 10 * discount AS conf, x1, y1, x2, y2,
+      row_number() OVER (PARTITION BY image_id ORDER BY concat_ws('-', l_partkey, l_suppkey, l_linenumber, CAST(round(price * 100) AS BIGINT))) AS i FROM v_labels),
     m AS (SELECT p.image_id, p.i, q.i AS j FROM b p JOIN b q ON p.image_id = q.image_id AND p.i < q.i
       AND p.x1 <= q.x2 AND q.x1 <= p.x2 AND p.y1 <= q.y2 AND q.y1 <= p.y2),
     n AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY i, j) AS step FROM m),
@@ -592,5 +592,6 @@ def prepared_split(spark, d):
     SELECT b.image_id, k, NULL, class_id, conf, x1, y1, x2, y2 FROM b JOIN e ON e.image_id = b.image_id WHERE NOT list_contains(used, i)""")
 def first_overlap_pairs(spark, d):
     """Each box with the first free one that it meets."""
-    rows = truth(spark, d).join(view(spark, d, "v_labels").select("image_id", F.concat_ws("-", "l_partkey", "l_suppkey", "l_linenumber").alias("gt_id"), (10 * F.col("discount")).alias("conf")), ["image_id", "gt_id"])
+    key = F.concat_ws("-", "l_partkey", "l_suppkey", "l_linenumber", F.round(F.col("price") * 100).cast("long")).alias("gt_id")
+    rows = view(spark, d, "v_labels").select("image_id", key, "class_id", (10 * F.col("discount")).alias("conf"), "x1", "y1", "x2", "y2")
     return matching.first_overlaps(rows, "gt_id")
