@@ -20,6 +20,14 @@ def crowded(left: DataFrame, right: DataFrame, by: str, whole: int = WHOLE) -> D
     )
 
 
+def any_crowded(left: DataFrame, right: DataFrame, by: str, whole: int = WHOLE) -> bool:
+    """Whether a group may have more than ``whole`` pairs: one side then has more rows than its root. A cheap look before
+    ``crowded``."""
+    most = int(whole**0.5)
+    many = lambda d: d.groupBy(by).count().where(F.col("count") > most).select(by)
+    return not many(left).unionByName(many(right)).isEmpty()
+
+
 def _span(low: str, high: str) -> Column:
     return F.sequence(F.floor(F.col(low) / F.col("cell")), F.floor(F.greatest(low, high) / F.col("cell")))
 

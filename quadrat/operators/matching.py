@@ -30,8 +30,8 @@ def iou_candidates(
     """Pairs inside an image whose boxes overlap: ``gt, pred`` (structs) and ``iou``. ``truth`` and ``preds`` have
     image_id, class_id, x1, y1, x2, y2. The join is on image (and class), the overlap its condition; images with more than
     ``whole`` pairs are joined on cells of a grid."""
-    crowded = stored(grid.crowded(truth, preds, "image_id", whole))
-    hot = not crowded.isEmpty()
+    hot = grid.any_crowded(truth, preds, "image_id", whole)
+    crowded = stored(grid.crowded(truth, preds, "image_id", whole)) if hot else None
     rest = (lambda d: d.join(crowded, "image_id", "left_anti")) if hot else (lambda d: d)
     on = (
         (F.col("image_id") == F.col("p_image_id")) & (F.col("g_x1") < F.col("p_x2")) & (F.col("p_x1") < F.col("g_x2"))
