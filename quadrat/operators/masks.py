@@ -66,11 +66,27 @@ def mask_pixels(masks: DataFrame, key: str, runs: str, width: str) -> DataFrame:
 SIDES = (((0, 0), (0, 1)), ((0, 1), (1, 1)), ((1, 1), (1, 0)), ((1, 0), (0, 0)))
 
 
+#: Bits of a coordinate in a side's number, which is y, x and which side it is.
+_BITS = 30
+
+
+def _y(at: str) -> Column:
+    return F.shiftright(at, _BITS + 2)
+
+
+def _x(at: str) -> Column:
+    return F.shiftright(at, 2).bitwiseAND(F.lit((1 << _BITS) - 1))
+
+
+def _side(at: str) -> Column:
+    return F.col(at).bitwiseAND(F.lit(3))
+
+
 def _borders(pixels: DataFrame, key: str) -> DataFrame:
-    """``key, at, next``: the sides between a pixel and the background, and the one that follows, as (y, x, side)."""
+    """``key, at, next``: the numbers of the sides between a pixel and the background, and of the ones that follow."""
+    corner = lambda c: F.shiftleft(F.col("y") + c[1], _BITS) + F.col("x") + c[0]
     side = lambda i: F.struct(
-        F.struct("y", "x", F.lit(i).alias("side")).alias("at"),
-        *[F.struct((F.col("x") + c[0]).alias("x"), (F.col("y") + c[1]).alias("y")).alias(n) for n, c in zip(("begin", "end"), SIDES[i])],
+        (F.shiftleft(F.shiftleft("y", _BITS) + F.col("x"), 2) + i).alias("at"), *[corner(c).alias(n) for n, c in zip(("begin", "end"), SIDES[i])]
     )
     all_sides = pixels.select(key, F.explode(F.array(*map(side, range(4)))).alias("s")).select(key, "s.*")
     # a side that two pixels have, once in each direction, is no border
@@ -78,7 +94,7 @@ def _borders(pixels: DataFrame, key: str) -> DataFrame:
     single = line.agg(F.count("*").alias("n"), F.first("at").alias("at"), F.first("begin").alias("begin"), F.first("end").alias("end"))
     single = stored(single.where("n = 1").select(key, "at", "begin", "end"))
     leaving = single.groupBy(key, F.col("begin").alias("end")).agg(F.collect_list("at").alias("_on"))  # two at most
-    other = F.filter("_on", lambda s: (s["x"] != F.col("at.x")) | (s["y"] != F.col("at.y")))
+    other = F.filter("_on", lambda s: F.shiftright(s, 2) != F.shiftright("at", 2))
     # where two pixels meet at a corner only, the walk goes over to the other one
     follows = F.when(F.size("_on") == 1, F.get("_on", F.lit(0))).otherwise(F.get(other, F.lit(0)))
     return single.join(leaving, [key, "end"]).select(key, "at", follows.alias("next"))
@@ -107,7 +123,8 @@ def contours(masks: DataFrame, key: str, runs: str, width: str, least: int = 3)
     no hole of another part: ``points`` are flat pixel coordinates, from the first pixel (x, y) of the part in reading
     order, down its left side; points in the middle of a straight or diagonal line are left out. Borders with fewer than
     ``least`` points go."""
-    borders = stored(_borders(mask_pixels(masks, key, runs, width), key))
+    runs_of = stored(masks.select(key, runs, width))  # else their expression is computed again for each run
+    borders = stored(_borders(mask_pixels(runs_of, key, runs, width), key))
     named = stored(borders.select(key, "at", F.col("next").alias("to"), F.least("at", "next").alias("value")))
     ring = _settled(named, key, F.least).select(key, "at", F.col("value").alias("ring"))
     # steps to the first side, where pointers stay
@@ -118,12 +135,12 @@ def contours(masks: DataFrame, key: str, runs: str, width: str, least: int = 3)
     placed = stored(steps.select(key, "at", (-F.col("value")).alias("place")).join(ring, [key, "at"]))
 
     # a ring is outer if it begins at the left of its first pixel; what stands left of that in the row tells where it lies
-    rights = placed.where("at.side = 2").select(key, F.col("at.y").alias("y"), F.col("at.x").alias("x"), F.col("ring").alias("_left"))
-    heads = placed.where("at = ring AND at.side = 0").select(key, F.col("at.y").alias("y"), F.col("at.x").alias("x"), "ring")
+    rights = placed.where(_side("at") == 2).select(key, _y("at").alias("y"), _x("at").alias("x"), F.col("ring").alias("_left"))
+    heads = placed.where((F.col("at") == F.col("ring")) & (_side("at") == 0)).select(key, _y("at").alias("y"), _x("at").alias("x"), "ring")
     row = Window.partitionBy(key, "y").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
     both = rights.join(heads, [key, "y", "x"], "full").withColumn("_by", F.last("_left", ignorenulls=True).over(row)).where("ring IS NOT NULL")
     known = both.select(key, F.col("ring").alias("at"), F.col("_by").alias("to"))
-    status = stored(known.select(key, "at", "to", F.when(F.col("to").isNull(), 1).when(F.col("to.side") != 0, 0).alias("value")))
+    status = stored(known.select(key, "at", "to", F.when(F.col("to").isNull(), 1).when(_side("to") != 0, 0).alias("value")))
     while not status.where("value IS NULL").isEmpty():
         there = status.select(key, F.col("at").alias("to"), F.col("to").alias("_to"), F.col("value").alias("_value"))
         joined = status.join(there, [key, "to"], "left")
@@ -133,7 +150,7 @@ def contours(masks: DataFrame, key: str, runs: str, width: str, least: int = 3)
 
     around = Window.partitionBy(key, "ring").orderBy("place")
     whole = Window.partitionBy(key, "ring").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    pixel = F.struct(F.col("at.x").alias("x"), F.col("at.y").alias("y"))
+    pixel = F.struct(_x("at").alias("x"), _y("at").alias("y"))
 
     def beside(c: str, shift: int) -> Column:
         """The value of the row before or after, around the ring."""
@@ -144,9 +161,9 @@ def contours(masks: DataFrame, key: str, runs: str, width: str, least: int = 3)
     chain = chain.withColumn("_before", beside("p", 1)).where((F.col("p") != F.col("_before")) | (F.col("place") == -(1 << 60)))
     chain = chain.withColumns({"_b": beside("p", 1), "_a": beside("p", -1)})
     # the walk may come back to the first pixel before it reaches the first side
-    chain = chain.where(~((F.col("place") > -(1 << 60)) & (F.col("p.x") == F.col("ring.x")) & (F.col("p.y") == F.col("ring.y")) & (F.col("_a") == F.col("p"))))
+    chain = chain.where(~((F.col("place") > -(1 << 60)) & (F.col("p.x") == _x("ring")) & (F.col("p.y") == _y("ring")) & (F.col("_a") == F.col("p"))))
     chain = chain.withColumns({"_b": beside("p", 1), "_a": beside("p", -1)})
     turn = (F.col("p.x") - F.col("_b.x") != F.col("_a.x") - F.col("p.x")) | (F.col("p.y") - F.col("_b.y") != F.col("_a.y") - F.col("p.y"))
     points = chain.where(turn | (F.col("_b") == F.col("p"))).groupBy(key, "ring").agg(F.array_sort(F.collect_list(F.struct("place", "p"))).alias("_c"))
     flat = F.flatten(F.transform("_c", lambda c: F.array(c["p"]["x"], c["p"]["y"])))
-    return points.where(F.size("_c") >= least).select(key, F.col("ring.y").alias("y"), F.col("ring.x").alias("x"), flat.alias("points"))
+    return points.where(F.size("_c") >= least).select(key, _y("ring").alias("y"), _x("ring").alias("x"), flat.alias("points"))
