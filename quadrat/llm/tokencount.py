@@ -23,7 +23,6 @@ one; an empty table gives no rows. Extra columns are not read.
 from __future__ import annotations
 
 import math
-import os
 from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
@@ -68,6 +67,16 @@ def strings(words: pa.Array) -> list[str]:
     return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), "\n")[0].as_py().split("\n")
 
 
+def shared(one: str, other: str) -> int:
+    """Characters that two strings begin with alike."""
+    n = 0
+    for a, b in zip(one, other):
+        if a != b:
+            break
+        n += 1
+    return n
+
+
 class Endings:
     """The pieces that end at a character, by a machine over their reversed-suffix links (Aho-Corasick), so that a
     node looks at pieces that match only."""
@@ -128,8 +137,9 @@ class Trie:
         for length, score in self.endings.pieces[state]:
             forward, best, count = path[-length]
             into.append(forward + score)
-            if best + score > top:
-                top, tokens = best + score, count + 1
+            best += score
+            if best > top:
+                top, tokens = best, count + 1
         if char not in self.pieces:
             n = len(char.encode("utf-8", "surrogatepass"))
             forward, best, count = path[-1]
@@ -159,7 +169,8 @@ class Trie:
 
     def insert(self, pretokens: list[str]) -> list[tuple[int, float]]:
         """(tokens, forward score) of each of sorted pre-tokens."""
-        child, state, scores, advance = self.child, self.state, self.scores, self.endings.advance
+        child, state, scores, score = self.child, self.state, self.scores, self._score
+        advance, step = self.endings.advance, self.endings.step
         nodes, path = [0], [_START]  # of the first characters, the mark among them
         previous, out = "", []
         for word in pretokens:
@@ -170,17 +181,22 @@ class Trie:
                 self.clear()
                 child, state, scores = self.child, self.state, self.scores
                 nodes, path = [0], [_START]
-            kept = len(os.path.commonprefix((previous, word))) + 2 if len(nodes) > 1 else 1
+            kept = shared(previous, word) + 2 if len(nodes) > 1 else 1
             del nodes[kept:], path[kept:]
+            above = nodes[-1]
             for char in (MARK + word)[len(nodes) - 1 :]:
-                key = nodes[-1] * 0x110000 + ord(char)
+                key = above * 0x110000 + ord(char)
                 node = child.get(key)
                 if node is None:
                     node = child[key] = len(scores)
-                    state.append(advance(state[nodes[-1]], char))
-                    scores.append(self._score(state[node], char, path))
+                    at = state[above]
+                    if (nxt := step.get((at, char))) is None:
+                        nxt = advance(at, char)
+                    state.append(nxt)
+                    scores.append(score(nxt, char, path))
                 nodes.append(node)
                 path.append(scores[node])
+                above = node
             forward, _, count = path[-1]
             out.append((count, forward))
             previous = word
@@ -239,7 +255,8 @@ def tally(words: Iterable[tuple[str, int]], trie: Trie) -> Counter[str]:
     """How often each piece is in the best segmentations of pre-tokens that occur so many times. The best segmentation of
     a prefix is part of those that go on from it, so along the path of the pre-token before, a prefix holds the count of
     all that pass it and hands it on when it is left; sorted pre-tokens share most of their paths."""
-    pieces, advance, endings, byte = trie.pieces, trie.endings.advance, trie.endings.pieces, trie.byte_score
+    pieces, endings, byte = trie.pieces, trie.endings.pieces, trie.byte_score
+    advance, step = trie.endings.advance, trie.endings.step
     counts: Counter[str] = Counter()
     path, state, best, back, passing = "", [0], [0.0], [0], [0]
 
@@ -258,12 +275,13 @@ def tally(words: Iterable[tuple[str, int]], trie: Trie) -> Counter[str]:
                 if piece in pieces:
                     counts[piece] += n
             continue
-        nxt = MARK + word
-        kept = len(os.path.commonprefix((path, nxt)))
+        marked = MARK + word
+        kept = shared(path, marked)
         leave(kept)
         at = state[-1]
-        for char in nxt[kept:]:
-            at = advance(at, char)
+        for char in marked[kept:]:
+            nxt = step.get((at, char))
+            at = advance(at, char) if nxt is None else nxt
             top, length = -math.inf, 0
             for size, score in endings[at]:
                 if (x := best[-size] + score) > top:
@@ -275,7 +293,7 @@ def tally(words: Iterable[tuple[str, int]], trie: Trie) -> Counter[str]:
             back.append(length)
             passing.append(0)
         passing[-1] += n
-        path = nxt
+        path = marked
     leave(0)
     return counts
 
