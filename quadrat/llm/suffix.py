@@ -16,6 +16,8 @@ about one suffix in 170 is an anchor. No window is lost by this: it is exact.
    one of its own, so no comparison crosses a border.
 4. Repeated windows go back to their documents as byte intervals, which are merged and cut out.
 
+Passages of over 50 words that another row has too are reported beside this, whatever their bytes (see ``passages``).
+
 Defined cases: null texts are empty; texts under ``LENGTH`` bytes keep all; equal rows repeat each other; a null id is
 kept; an empty table gives no rows. Extra columns are not read.
 """
@@ -32,6 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrat.llm.common import rows_of, stored, tune, utf8
+from quadrat.llm.passages import WORDS, shared_passages
+from quadrat.llm.rolling import BYTES, CHUNK, PLACE, least, pieces, rolled, row_key
 
 LENGTH = 400
 KGRAM = 64
@@ -39,61 +43,17 @@ KGRAM = 64
 BUCKET = 500
 #: With more than so many times ``BUCKET``, each window goes to a bucket by itself, by distance and hash.
 WIDE = 50
-#: Window starts that are worked on at once; arrays of 8 bytes each.
-CHUNK = 1 << 19
-_PLACE = np.uint64((1 << 21) - 1)
-
-_rng = np.random.default_rng(20240229)
-_BYTES = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_BASE = int(_rng.integers(2**62, 2**63)) | 1
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _rolling(data: np.ndarray, width: int) -> np.ndarray:
-    """A 64-bit hash of the ``width`` bytes (a power of two) at each position, mixed so that all bits count."""
-    h, power, n = _BYTES[data], _BASE, 1
-    while n < width:
-        h = h[:-n] * np.uint64(power) + h[n:]
-        power, n = power * power % (1 << 64), 2 * n
-    h ^= h >> np.uint64(31)
-    h *= _MIX
-    return h ^ (h >> np.uint64(29))
-
-
-def _least(key: np.ndarray, width: int) -> np.ndarray:
-    """The least of each ``width`` values in a row."""
-    n = 1
-    while 2 * n <= width:
-        key = np.minimum(key[:-n], key[n:])
-        n *= 2
-    return np.minimum(key[: len(key) - (width - n)], key[width - n :])
-
-
-def _pieces(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, int]]]:
-    """(text, first window start, window starts) in lots of at most ``CHUNK`` starts; long texts are divided."""
-    lot, room = [], CHUNK
-    for i, text in enumerate(texts):
-        at, n = 0, len(text) - length + 1
-        while at < n:
-            take = min(n - at, room)
-            lot.append((i, at, take))
-            at, room = at + take, room - take - length
-            if room <= length:
-                yield lot
-                lot, room = [], CHUNK
-    if lot:
-        yield lot
 
 
 def find_anchors(texts: list[bytes], length: int = LENGTH, kgram: int = KGRAM) -> Iterator[tuple[int, ...]]:
     """(text, anchor, first start, last start, k-gram hash, context hash) of every anchor."""
-    for lot in _pieces(texts, length):
+    for lot in pieces(texts, length):
         data = np.frombuffer(b"".join(texts[i][at : at + n + length - 1] for i, at, n in lot), np.uint8)
         if len(data) < length:
             continue
-        hashes = _rolling(data, kgram)
-        key = (hashes & ~_PLACE) | np.arange(len(hashes), dtype=np.uint64)
-        picked = (_least(key, length - kgram + 1) & _PLACE).astype(np.int64)
+        hashes = rolled(BYTES[data], kgram)
+        key = (hashes & ~PLACE) | np.arange(len(hashes), dtype=np.uint64)
+        picked = (least(key, length - kgram + 1) & PLACE).astype(np.int64)
         offset = 0
         for i, at, n in lot:
             own = picked[offset : offset + n]
@@ -107,12 +67,6 @@ def find_anchors(texts: list[bytes], length: int = LENGTH, kgram: int = KGRAM) -
             offset += n + length - 1
 
 
-def _row_key(doc: int | None, text: bytes) -> tuple[int, int]:
-    x = xxhash.xxh3_128_intdigest(b"%r:" % doc + text)
-    a, b = x >> 64, x & ((1 << 64) - 1)
-    return (a - (1 << 64) if a >> 63 else a), (b - (1 << 64) if b >> 63 else b)
-
-
 _ANCHOR = "r1 long, r2 long, a int, lo int, hi int, kh long, ch long"
 
 
@@ -131,7 +85,7 @@ def anchors(docs: DataFrame, length: int, kgram: int) -> DataFrame:
             keys, out = {}, []
             for i, *rest in find_anchors(texts, length, kgram):
                 if i not in keys:
-                    keys[i] = _row_key(ids[i], texts[i])
+                    keys[i] = row_key(ids[i], texts[i])
                 out.append((*keys[i], *rest))
                 if len(out) >= 50_000:
                     yield _batch(out, _ANCHOR)
@@ -191,7 +145,7 @@ def repeated_windows(groups: np.ndarray, shifts: np.ndarray, bodies: list[bytes]
         while upto < len(bodies) and (upto == lot or size < CHUNK):
             size += len(bodies[upto])
             upto += 1
-        hashes = _rolling(np.frombuffer(b"".join(bodies[lot:upto]), np.uint8), width)
+        hashes = rolled(BYTES[np.frombuffer(b"".join(bodies[lot:upto]), np.uint8)], width)
         n = counts[lot:upto]
         sizes = np.array([len(b) for b in bodies[lot:upto]])
         at = np.repeat(np.cumsum(sizes) - sizes, n) + inside[done : done + int(n.sum())]
@@ -273,7 +227,7 @@ def verdicts(marks: DataFrame, docs: DataFrame, length: int, kgram: int, bucket:
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        keys = [_row_key(d, t) for d, t in zip(ids, texts)]
+        keys = [row_key(d, t) for d, t in zip(ids, texts)]
         yield pa.RecordBatch.from_arrays(
             [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), batch.column(1)],
             ["r1", "r2", "body"],
@@ -308,15 +262,23 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM, bu
 
 
 SCHEMA = (
-    "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, has_repeats boolean, removed_share double"
+    "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, has_repeats boolean, removed_share double, "
+    "n_shared_words long, n_passages long"
 )
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM, bucket: int = BUCKET) -> DataFrame:
-    """``SCHEMA`` of every document; ``has_repeats`` says whether anything goes, ``removed_share`` how much of it."""
+def remove_repeats(
+    docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM, bucket: int = BUCKET, words: int = WORDS
+) -> DataFrame:
+    """``SCHEMA`` of every document; ``has_repeats`` says whether anything goes, ``removed_share`` how much of it.
+
+    A passage of ``words`` words can have under ``length`` bytes, and then stays. ``n_shared_words`` counts the words in
+    passages that another row has too, of any length in bytes, ``n_passages`` the maximal runs of these words.
+    """
     tune(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("body"))
     spans = stored(repeated_spans(own, length, kgram, bucket))
+    both = stored(spans.join(shared_passages(own, words), ["r1", "r2"], "full"))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -324,9 +286,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM, bu
                 yield pa.RecordBatch.from_arrays([batch.column(0), *part.columns], ["doc_id", "r1", "r2", "body"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts, found in rows_of(batches, "doc_id", "body", "spans"):
+        for ids, texts, found, shared in rows_of(batches, "doc_id", "body", "spans", "passages"):
             out = []
-            for doc, text, spans in zip(ids, texts, found):
+            for doc, text, spans, passages in zip(ids, texts, found, shared):
                 gone = merged([(x["s"], x["e"]) for x in spans or ()])
                 digest, at = hashlib.sha256(), 0
                 for a, b in gone:
@@ -334,8 +296,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM, bu
                     at = b
                 digest.update(text[at:])
                 removed = sum(b - a for a, b in gone)
-                out.append((doc, len(text), removed, len(gone), digest.hexdigest(), removed > 0, removed / max(1, len(text))))
+                runs = merged([(x["s"], x["e"]) for x in passages or ()])
+                contract = doc, len(text), removed, len(gone), digest.hexdigest()
+                out.append((*contract, removed > 0, removed / max(1, len(text)), sum(b - a for a, b in runs), len(runs)))
             yield _batch(out, SCHEMA)
 
     rows = own.mapInArrow(keyed, "doc_id long, r1 long, r2 long, body binary")
-    return rows.join(spans, ["r1", "r2"], "left").select("doc_id", "body", "spans").mapInArrow(cut, SCHEMA)
+    return rows.join(both, ["r1", "r2"], "left").select("doc_id", "body", "spans", "passages").mapInArrow(cut, SCHEMA)
