@@ -9,7 +9,9 @@ the same one at the same distance.
    (all words of those windows).
 2. K-grams of one row repeat nothing in another; a bit table of the others drops most of these. A context of two rows is
    shared as a whole.
-3. Where a k-gram has a context of one row and other contexts too, its windows become rows, and those of two rows are shared.
+3. Where a k-gram has a context of one row and other contexts too, windows become rows, of two occurrences of each
+   context (in two rows, if it has them) and the few others that bit tables let pass. Those of two rows are shared, and
+   so are the ones at their distance in every occurrence of the context.
 
 Words, k-grams, contexts and windows are named by 64-bit hashes.
 """
@@ -141,7 +143,10 @@ def find_anchors(texts: list[np.ndarray], words: int, kgram: int) -> Iterator[An
 
 
 _MARK = "d long, r1 long, r2 long, lo int, hi int, kh long, ch long"
-_WINDOW = "x long, r1 long, r2 long, s int"
+_WINDOW = "x long, r long, kh long, ch long, t int"
+_RUN = "r1 long, r2 long, s int, e int"
+#: Occurrences of a context in a row are told apart by so many bits.
+_LOW = 12
 
 
 def _table(columns: list[np.ndarray], schema: str) -> pa.RecordBatch:
@@ -174,21 +179,53 @@ def marks(docs: DataFrame, words: int, kgram: int) -> DataFrame:
     return docs.mapInArrow(find, _MARK)
 
 
-def _windows(docs: DataFrame, words: int, kgram: int, table) -> DataFrame:
-    """Every window whose k-gram the bit table has."""
+def _among(df: DataFrame, column: str, table) -> DataFrame:
+    """The rows whose name the bit table has."""
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(Frequent.has(table.value, batch.column(column).to_numpy().view(np.uint64))))
+
+    return df.mapInArrow(known, df.schema)
+
+
+def _windows(docs: DataFrame, words: int, kgram: int, kgrams, places) -> DataFrame:
+    """Every window of the anchors whose k-gram and place the bit tables have."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, x in _lots(batches, words, kgram):
+            row = keys[x.text, 1]
+            place = (row ^ (x.lo & (1 << _LOW) - 1)).view(np.uint64)
+            place = (place << np.uint64(64 - _LOW)) | (place >> np.uint64(_LOW))
             anchor = np.repeat(np.arange(len(x.begins)), x.hi - x.lo + 1)
-            wanted = Frequent.has(table.value, x.kgram)[anchor]
-            anchor, places = anchor[wanted], x.places[wanted]
-            begin = x.lo[anchor] + places - x.places[x.begins[anchor]]
-            own = keys[x.text[anchor]].T
-            yield _table([strings(x.codes, places, places + words), own[1], own[2], begin], _WINDOW)
+            wanted = (Frequent.has(kgrams.value, x.kgram) & Frequent.has(places.value, place))[anchor]
+            anchor, at = anchor[wanted], x.places[wanted]
+            names = strings(x.codes, at, at + words)
+            yield _table([names, row[anchor], x.kgram[anchor], x.context[anchor], at - x.places[x.begins[anchor]]], _WINDOW)
 
     return docs.mapInArrow(find, _WINDOW)
 
 
+def _runs(words: int):
+    """Intervals of words of the windows at distances ``ts`` from ``lo``, or of all up to ``hi`` where it is null."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = batch.column("ts")
+            row = {n: batch.column(n).to_numpy() for n in ("r1", "r2", "lo", "hi")}
+            part = np.repeat(np.arange(len(some)), some.value_lengths().fill_null(0).to_numpy())
+            t = some.flatten().to_numpy()
+            first = np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1] + 1) | (part[1:] != part[:-1])))[: len(t)])
+            last = np.append(first[1:], len(t))[: len(first)] - 1
+            whole = np.flatnonzero(some.is_null().to_numpy(zero_copy_only=False))
+            at = np.concatenate((part[first], whole))
+            begin = np.concatenate((row["lo"][part[first]] + t[first], row["lo"][whole]))
+            end = np.concatenate((row["lo"][part[first]] + t[last], row["hi"][whole])) + words
+            yield _table([row["r1"][at], row["r2"][at], begin, end], _RUN)
+
+    return join
+
+
 def shared_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """``(r1, r2, passages)``, intervals of words, of the rows of ``docs`` (doc_id, body) that share any."""
     kgram = 1
@@ -196,19 +233,27 @@ def shared_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
         kgram *= 2
     own = stored(marks(docs, words, kgram))
     several = own.groupBy("kh").agg(F.min("d").alias("d0"), F.max("d").alias("d1")).where("d0 <> d1")
-    table = Frequent(stored(several.select(F.col("kh").alias("name")))).table
-
-    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = batch.column("kh").to_numpy().view(np.uint64)
-            yield batch.filter(pa.array(Frequent.has(table.value, names)))
-
-    own = stored(own.mapInArrow(known, _MARK))
-    contexts = stored(own.groupBy("kh", "ch").agg((F.min("d") != F.max("d")).alias("shared")))
+    own = stored(_among(own, "kh", _names(several)))
+    place = F.col("r1").bitwiseXOR(F.col("lo").bitwiseAND((1 << _LOW) - 1)).alias("place")
+    contexts = stored(
+        own.select("kh", "ch", "d", place)
+        .groupBy("kh", "ch")
+        .agg((F.min("d") != F.max("d")).alias("shared"), F.min("place").alias("p0"), F.max("place").alias("p1"))
+    )
     open_ = contexts.groupBy("kh").agg(F.count("*").alias("n"), F.every("shared").alias("closed")).where("n > 1 and not closed")
-    windows = stored(_windows(docs, words, kgram, Frequent(stored(open_.select(F.col("kh").alias("name")))).table))
+    kgrams = _names(open_)
+    two = _among(contexts, "kh", kgrams).select(F.explode(F.array("p0", "p1")).alias("p"))
+    places = _names(two.select(F.shiftleft("p", 64 - _LOW).bitwiseOR(F.shiftrightunsigned("p", _LOW)).alias("kh")))
+    windows = stored(_windows(docs, words, kgram, kgrams, places))
     # equal rows have one key, but all their contexts are shared as a whole
-    twice = windows.groupBy("x").agg(F.min("r1").alias("r"), F.max("r1").alias("s1")).where("r <> s1").select("x")
-    whole = own.join(contexts.where("shared"), ["kh", "ch"]).select("r1", "r2", F.col("lo").alias("s"), (F.col("hi") + words).alias("e"))
-    part = windows.join(stored(twice), "x").select("r1", "r2", "s", (F.col("s") + words).alias("e"))
-    return whole.unionByName(part).groupBy("r1", "r2").agg(F.collect_set(F.struct("s", "e")).alias("passages"))
+    twice = stored(windows.groupBy("x").agg(F.min("r").alias("r0"), F.max("r").alias("r1")).where("r0 <> r1").select("x"))
+    part = windows.join(twice, "x").groupBy("kh", "ch").agg(F.array_sort(F.collect_set("t")).alias("ts"))
+    found = contexts.join(part, ["kh", "ch"], "left").where("shared or ts is not null")
+    found = stored(found.select("kh", "ch", F.when(~F.col("shared"), F.col("ts")).alias("ts")))
+    runs = own.join(found, ["kh", "ch"]).select("r1", "r2", "lo", "hi", "ts").mapInArrow(_runs(words), _RUN)
+    return runs.groupBy("r1", "r2").agg(F.collect_set(F.struct("s", "e")).alias("passages"))
+
+
+def _names(df: DataFrame):
+    """The bit table of ``kh``."""
+    return Frequent(stored(df.select(F.col("kh").alias("name")))).table
