@@ -144,7 +144,8 @@ def find_anchors(texts: list[np.ndarray], words: int, kgram: int) -> Iterator[An
 
 _MARK = "d long, r1 long, r2 long, lo int, hi int, kh long, ch long"
 _WINDOW = "x long, r long, kh long, ch long, t int"
-_RUN = "r1 long, r2 long, s int, e int"
+_RUN = "r1 long, r2 long, run long"
+_COUNTS = "r1 long, r2 long, n_shared_words long, n_passages long"
 #: Occurrences of a context in a row are told apart by so many bits.
 _LOW = 12
 
@@ -207,7 +208,8 @@ def _windows(docs: DataFrame, words: int, kgram: int, kgrams, places) -> DataFra
 
 
 def _runs(words: int):
-    """Intervals of words of the windows at distances ``ts`` from ``lo``, or of all up to ``hi`` where it is null."""
+    """Intervals of words of the windows at distances ``ts`` from ``lo``, or of all up to ``hi`` where it is null, as
+    2^32 times the start, and the end."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,13 +223,30 @@ def _runs(words: int):
             at = np.concatenate((part[first], whole))
             begin = np.concatenate((row["lo"][part[first]] + t[first], row["lo"][whole]))
             end = np.concatenate((row["lo"][part[first]] + t[last], row["hi"][whole])) + words
-            yield _table([row["r1"][at], row["r2"][at], begin, end], _RUN)
+            yield _table([row["r1"][at], row["r2"][at], (begin.astype(np.int64) << 32) | end], _RUN)
 
     return join
 
 
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words in the intervals of each row, and the maximal runs of these words."""
+    for batch in batches:
+        lists = batch.column("runs")
+        part = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+        runs = lists.flatten().to_numpy()
+        order = np.lexsort((runs, part))
+        part, runs = part[order], runs[order]
+        shift = part << 32  # rows follow each other, so that one running maximum does for all
+        begin, end = (runs >> 32) + shift, np.maximum.accumulate((runs & (1 << 32) - 1) + shift)
+        first = np.flatnonzero(np.concatenate(([True], (begin[1:] > end[:-1]) | (part[1:] != part[:-1])))[: len(runs)])
+        last = np.append(first[1:], len(runs))[: len(first)] - 1
+        words = np.bincount(part[first], weights=end[last] - begin[first], minlength=len(lists)).astype(np.int64)
+        many = np.bincount(part[first], minlength=len(lists))
+        yield _table([batch.column(n).to_numpy() for n in ("r1", "r2")] + [words, many], _COUNTS)
+
+
 def shared_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``(r1, r2, passages)``, intervals of words, of the rows of ``docs`` (doc_id, body) that share any."""
+    """``(r1, r2, n_shared_words, n_passages)`` of the rows of ``docs`` (doc_id, body) that share any."""
     kgram = 1
     while 8 * kgram <= words:
         kgram *= 2
@@ -251,7 +270,7 @@ def shared_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
     found = contexts.join(part, ["kh", "ch"], "left").where("shared or ts is not null")
     found = stored(found.select("kh", "ch", F.when(~F.col("shared"), F.col("ts")).alias("ts")))
     runs = own.join(found, ["kh", "ch"]).select("r1", "r2", "lo", "hi", "ts").mapInArrow(_runs(words), _RUN)
-    return runs.groupBy("r1", "r2").agg(F.collect_set(F.struct("s", "e")).alias("passages"))
+    return runs.groupBy("r1", "r2").agg(F.collect_list("run").alias("runs")).mapInArrow(_counts, _COUNTS)
 
 
 def _names(df: DataFrame):

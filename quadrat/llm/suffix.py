@@ -278,6 +278,7 @@ def remove_repeats(
     tune(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("body"))
     spans = stored(repeated_spans(own, length, kgram, bucket))
+    counts = ["n_shared_words", "n_passages"]
     both = stored(spans.join(shared_passages(own, words), ["r1", "r2"], "full"))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,9 +287,9 @@ def remove_repeats(
                 yield pa.RecordBatch.from_arrays([batch.column(0), *part.columns], ["doc_id", "r1", "r2", "body"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts, found, shared in rows_of(batches, "doc_id", "body", "spans", "passages"):
+        for ids, texts, found, shared, passages in rows_of(batches, "doc_id", "body", "spans", *counts):
             out = []
-            for doc, text, spans, passages in zip(ids, texts, found, shared):
+            for doc, text, spans, words, many in zip(ids, texts, found, shared, passages):
                 gone = merged([(x["s"], x["e"]) for x in spans or ()])
                 digest, at = hashlib.sha256(), 0
                 for a, b in gone:
@@ -296,10 +297,9 @@ def remove_repeats(
                     at = b
                 digest.update(text[at:])
                 removed = sum(b - a for a, b in gone)
-                runs = merged([(x["s"], x["e"]) for x in passages or ()])
                 contract = doc, len(text), removed, len(gone), digest.hexdigest()
-                out.append((*contract, removed > 0, removed / max(1, len(text)), sum(b - a for a, b in runs), len(runs)))
+                out.append((*contract, removed > 0, removed / max(1, len(text)), words or 0, many or 0))
             yield _batch(out, SCHEMA)
 
     rows = own.mapInArrow(keyed, "doc_id long, r1 long, r2 long, body binary")
-    return rows.join(both, ["r1", "r2"], "left").select("doc_id", "body", "spans", "passages").mapInArrow(cut, SCHEMA)
+    return rows.join(both, ["r1", "r2"], "left").select("doc_id", "body", "spans", *counts).mapInArrow(cut, SCHEMA)
