@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -60,6 +62,19 @@ def in_windows(rois: DataFrame, windows: DataFrame, by: str = "image_id") -> Dat
     return r.join(w, (F.col(by) == F.col("_by")) & G.within(F.col("_r"), F.col("_w"))).drop("_by", "_r", "_w")
 
 
+def in_own_windows(rois: DataFrame, images: DataFrame, windows: Callable[[DataFrame, list[str]], DataFrame], by: str = "image_id") -> DataFrame:
+    """Regions with the windows of their image that contain them, in columns ``w_...``; borders count. ``windows`` makes the
+    windows (``x0, y0, x1, y1`` and more) of a table of images and keeps the columns that are named beside it. It gets the
+    regions with the size of their image, so only images are joined: Spark takes a table of all windows for as small as that
+    of the images, and would send it to every task."""
+    named = {c: f"_r_{c}" for c in rois.columns if c != by}
+    rows = rois.withColumnsRenamed(named).join(images.select(by, "width", "height"), by)
+    found = windows(rows, list(named.values()))
+    inside = (F.col("_r_x1") >= F.col("x0")) & (F.col("_r_y1") >= F.col("y0")) & (F.col("_r_x2") <= F.col("x1")) & (F.col("_r_y2") <= F.col("y1"))
+    own = [F.col(c).alias(f"w_{c}") for c in found.columns if c != by and c not in named.values()]
+    return found.where(inside).select(by, *[F.col(r).alias(c) for c, r in named.items()], *own)
+
+
 def class_lookup(rois: DataFrame, master: DataFrame, name: str, order: str, value: str) -> DataFrame:
     """Regions with the class of the first master row of their name, else ``Not Found``."""
     first = master.groupBy(name).agg(F.min_by(value, order).alias(value))

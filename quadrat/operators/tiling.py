@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -61,14 +62,14 @@ def tile_estimate(images: DataFrame, t: Tiling = Tiling()) -> DataFrame:
     return images.select("image_id", nx.alias("nx"), ny.alias("ny"), (nx * ny).alias("n"))
 
 
-def segments(images: DataFrame, n: int = 3) -> DataFrame:
-    """An n x n grid; pixels that don't divide are left out."""
+def segments(images: DataFrame, n: int = 3, keep: Sequence[str] = ()) -> DataFrame:
+    """An n x n grid; pixels that don't divide are left out. ``keep``: columns of the images that stay."""
     w, h = F.floor(F.col("width") / n).cast("long"), F.floor(F.col("height") / n).cast("long")
     grid = images.select(
-        "image_id", w.alias("w"), h.alias("h"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("row")
+        "image_id", *keep, w.alias("w"), h.alias("h"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("row")
     ).select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("col"))
     return grid.select(
-        "image_id", "row", "col", (F.col("col") * F.col("w")).alias("x0"), (F.col("row") * F.col("h")).alias("y0"),
+        "image_id", *keep, "row", "col", (F.col("col") * F.col("w")).alias("x0"), (F.col("row") * F.col("h")).alias("y0"),
         ((F.col("col") + 1) * F.col("w")).alias("x1"), ((F.col("row") + 1) * F.col("h")).alias("y1"),
     )
 

@@ -653,7 +653,8 @@ def missing_pairs(spark, d):
     WHERE x1 >= c * (width // 3) AND y1 >= r * (height // 3) AND x2 <= (c + 1) * (width // 3) AND y2 <= (r + 1) * (height // 3)""")
 def roi_containment(spark, d):
     """C16, D14."""
-    found = boxes.in_windows(view(spark, d, "v_labels"), tiling.segments(view(spark, d, "v_images")))
+    labels = view(spark, d, "v_labels").select("image_id", *KEY, "x1", "y1", "x2", "y2")
+    found = boxes.in_own_windows(labels, view(spark, d, "v_images"), lambda rows, keep: tiling.segments(rows, keep=keep))
     return found.select("image_id", *KEY, F.col("w_row").alias("row"), F.col("w_col").alias("col"))
 
 
