@@ -52,16 +52,6 @@ def low_overlap(boxes: DataFrame, others: DataFrame, key: str, most: float = 0.3
     return a.join(b, on, "left_anti").select(by, key)
 
 
-def in_windows(rois: DataFrame, windows: DataFrame, by: str = "image_id") -> DataFrame:
-    """Regions with the window of their image that contains them; borders count."""
-    r = rois.withColumn("_r", F.struct("x1", "y1", "x2", "y2"))
-    w = windows.select(
-        F.col(by).alias("_by"), *[F.col(c).alias(f"w_{c}") for c in windows.columns if c not in (by, "x0", "y0", "x1", "y1")],
-        F.struct(F.col("x0").alias("x1"), F.col("y0").alias("y1"), F.col("x1").alias("x2"), F.col("y1").alias("y2")).alias("_w"),
-    )
-    return r.join(w, (F.col(by) == F.col("_by")) & G.within(F.col("_r"), F.col("_w"))).drop("_by", "_r", "_w")
-
-
 def in_own_windows(rois: DataFrame, images: DataFrame, windows: Callable[[DataFrame, list[str]], DataFrame], by: str = "image_id") -> DataFrame:
     """Regions with the windows of their image that contain them, in columns ``w_...``; borders count. ``windows`` makes the
     windows (``x0, y0, x1, y1`` and more) of a table of images and keeps the columns that are named beside it. It gets the

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -60,8 +62,9 @@ def centre_crop(df: DataFrame, width: Column, height: Column, size: int) -> Data
     return moved.where("x1 < x2 AND y1 < y2")
 
 
-def slices(images: DataFrame, size: int = 640, overlap: float = 0.5) -> DataFrame:
-    """Overlapping windows ``x0, y0, x1, y1``; the last of a row ends at the edge."""
+def slices(images: DataFrame, size: int = 640, overlap: float = 0.5, keep: Sequence[str] = ()) -> DataFrame:
+    """Overlapping windows ``x0, y0, x1, y1``; the last of a row ends at the edge. ``keep``: columns of the images that
+    stay."""
     step = size - int(overlap * size)
 
     def starts(c: str) -> Column:
@@ -69,10 +72,10 @@ def slices(images: DataFrame, size: int = 640, overlap: float = 0.5) -> DataFram
         n = F.ceil(edge / step).cast("int")
         return F.transform(F.sequence(F.lit(0), n), lambda i: F.least(i * step, edge))
 
-    rows = images.select("image_id", "width", "height", F.explode(starts("width")).alias("x0"))
+    rows = images.select("image_id", *keep, "width", "height", F.explode(starts("width")).alias("x0"))
     rows = rows.select("*", F.explode(starts("height")).alias("y0"))
     far = lambda start, c: F.least(F.col(start) + size, F.col(c)).cast("int")
-    return rows.select("image_id", "x0", "y0", far("x0", "width").alias("x1"), far("y0", "height").alias("y1"))
+    return rows.select("image_id", *keep, "x0", "y0", far("x0", "width").alias("x1"), far("y0", "height").alias("y1"))
 
 
 def from_slices(found: DataFrame) -> DataFrame:

@@ -471,9 +471,9 @@ def sliced_windows(spark, d):
     AND l.x1 >= s.x0 AND l.y1 >= s.y0 AND l.x2 <= s.x1 AND l.y2 <= s.y1 GROUP BY l.image_id""")
 def sliced_detections(spark, d):
     """Boxes found inside windows, back in coordinates of their image."""
-    w = mosaics.slices(view(spark, d, "v_images"))
-    inside = boxes.in_windows(truth(spark, d), w.withColumns({"cx": F.col("x0"), "cy": F.col("y0")}))
-    local = inside.withColumns({"x0": F.col("w_cx"), "y0": F.col("w_cy")})
+    regions = view(spark, d, "v_labels").select("image_id", "x1", "y1", "x2", "y2")
+    inside = boxes.in_own_windows(regions, view(spark, d, "v_images"), lambda rows, keep: mosaics.slices(rows, keep=keep))
+    local = inside.withColumns({"x0": F.col("w_x0"), "y0": F.col("w_y0")})
     local = local.withColumns({c: F.col(c) - F.col(f"{c[0]}0") for c in ("x1", "y1", "x2", "y2")})
     return mosaics.from_slices(local).groupBy("image_id").agg(F.count("*").alias("n"), F.sum("x1").alias("x1"), F.sum("y2").alias("y2"))
 

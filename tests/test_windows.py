@@ -2,7 +2,7 @@
 
 import random
 
-from quadrat.operators import boxes, tiling
+from quadrat.operators import boxes, mosaics, tiling
 
 
 def sample(spark, seed):
@@ -37,3 +37,21 @@ def test_segments_of_a_query_are_not_joined(spark):
     from quadrat.plans.catalogue import QUERIES
 
     assert joins_images_only(QUERIES["roi_containment"](spark, "/root/testdata/sf0.001"))
+
+
+def test_regions_in_slices(spark):
+    images, rois, i, r = sample(spark, 2)
+    found = boxes.in_own_windows(r, i, lambda rows, keep: mosaics.slices(rows, keep=keep))
+    starts = lambda n: [min(s, max(n - 640, 0)) for s in range(0, max(n - 640, 0) + 320, 320)]
+    size = {image: (w, h) for image, w, h in images}
+    want = [
+        (k, x, y) for image, k, x1, y1, x2, y2 in rois if image in size for x in starts(size[image][0]) for y in starts(size[image][1])
+        if x1 >= x and y1 >= y and x2 <= min(x + 640, size[image][0]) and y2 <= min(y + 640, size[image][1])
+    ]
+    assert sorted((x.k, x.w_x0, x.w_y0) for x in found.collect()) == sorted(want)
+
+
+def test_slices_of_a_query_are_not_joined(spark):
+    from quadrat.plans.catalogue import QUERIES
+
+    assert joins_images_only(QUERIES["sliced_detections"](spark, "/root/testdata/sf0.001"))
