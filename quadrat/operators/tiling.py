@@ -8,8 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quadrat.functions import cuts
 from quadrat.functions import geometry as G
-from quadrat.functions import parts as P
 
 
 @dataclass(frozen=True)
@@ -119,21 +119,18 @@ def tile_boxes(labels: DataFrame, images: DataFrame, t: Tiling = Tiling()) -> Da
     )
 
 
-def tile_polygons(labels: DataFrame, images: DataFrame, t: Tiling = Tiling()) -> DataFrame:
-    """Polygon labels (``coords``, fractions of the image) by tile: vertices in whole pixels, cut to the tile, and as
-    fractions of it. A concave polygon may fall into parts, each a row of its own (``part_no`` from 0); whether enough of
-    it lies in the tile is judged by all of them. Polygons that cross themselves are in no tile."""
+def tile_polygons(
+    labels: DataFrame, images: DataFrame, t: Tiling = Tiling(), wanted: Sequence[str] = ("part", "tile_coords")
+) -> DataFrame:
+    """Polygon labels (``coords``, fractions of the image) by tile: vertices in whole pixels, cut to the tile. A concave
+    polygon may fall into parts, each a row of its own (``part_no`` from 0); whether enough of it lies in the tile is judged
+    by all of them. Polygons that cross themselves or have a value that is no finite number are in no tile.
+
+    The columns of ``labels`` but ``coords``, then ``tx, ty, part_no``, the part's area ``inside`` and, as far as ``wanted``,
+    its pixels ``part`` and fractions of the tile ``tile_coords``. Cut in numpy, batch by batch (``functions.cuts``)."""
     image = images.select("image_id", F.col("width").alias("_w"), F.col("height").alias("_h"))
-    px = labels.join(image, "image_id").withColumn("px", G.to_pixels(F.col("coords"), F.col("_w"), F.col("_h"))).drop("_w", "_h")
-    px = px.where(G.is_simple(F.col("px"))).withColumn("_b", G.bbox(F.col("px"))).select("*", "_b.*").drop("_b")
-    c = candidate_tiles(px.withColumn("_convex", P.is_convex(F.col("px"))), images, t)
-    tile = [F.col("tx"), F.col("ty"), F.col("tx") + t.width, F.col("ty") + t.height]
-    one = c.where("_convex").withColumn("_parts", F.array(G.flat(G.clip(F.col("px"), *tile))))
-    some = c.where("NOT _convex").withColumn("_parts", P.clip_parts("px", *tile))
-    both = one.unionByName(some).drop("_convex")
-    inside = F.aggregate("_parts", F.lit(0.0), lambda a, p: a + G.polygon_area(p))
-    both = both.where(keeps(G.polygon_area(F.col("px")), inside, t))
-    parts = both.select("*", F.posexplode("_parts").alias("part_no", "part")).drop("_parts")
-    return parts.where(F.size("part") >= 6).withColumn(
-        "tile_coords", G.to_tile(F.col("part"), F.col("tx"), F.col("ty"), F.lit(t.width), F.lit(t.height))
-    )
+    names = [c for c in labels.columns if c != "coords"]
+    rows = labels.join(image, "image_id").select(*names, F.col("coords").cast("array<double>").alias("coords"), "_w", "_h")
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema]
+    kinds += ["tx int", "ty int", "part_no int", "inside double", *(f"{c} array<double>" for c in ("part", "tile_coords") if c in wanted)]
+    return rows.mapInArrow(lambda batches: cuts.cut(batches, t, names, wanted), ", ".join(kinds))

@@ -125,10 +125,8 @@ def tile_concave_labels(spark, d):
     ring = F.array(x1, y1, x1 + 3, y1, x1 + 3, y1 + 5, x2 - 3, y1 + 5, x2 - 3, y1, x2, y1, x2, y2, x1, y2)
     rows = view(spark, d, "v_labels").join(images.select("image_id", "width", "height"), "image_id")
     shares = F.transform(ring, lambda c, i: c / F.when(i % 2 == 0, F.col("width")).otherwise(F.col("height")))
-    parts = tiling.tile_polygons(rows.select("image_id", "class_id", shares.alias("coords")), images)
-    return parts.withColumn("inside", G.polygon_area(F.col("part"))).groupBy("image_id", "tx", "ty", "class_id").agg(
-        F.count("*").alias("n"), F.round(F.sum("inside"), 3).alias("inside")
-    )
+    parts = tiling.tile_polygons(rows.select("image_id", "class_id", shares.alias("coords")), images, wanted=())
+    return parts.groupBy("image_id", "tx", "ty", "class_id").agg(F.count("*").alias("n"), F.round(F.sum("inside"), 3).alias("inside"))
 
 
 @query(f"""WITH {_CATS}, d AS (SELECT id, CASE id % 3 WHEN 2 THEN 2 ELSE 1 END AS category_id FROM v_coco_images_add),

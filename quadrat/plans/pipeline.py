@@ -81,7 +81,7 @@ def _patch(state: State, s: Settings) -> State:
     name = F.concat_ws("_", F.col("image_id").cast("string"), F.col("x0").cast("string"), F.col("y0").cast("string"))
     grid = tiling.tiles(images, s.tiling).join(images.drop("width", "height"), "image_id")
     tiles = grid.withColumn("image_id", name).withColumns({"width": F.lit(s.tiling.width), "height": F.lit(s.tiling.height)})
-    cut = tiling.tile_polygons(labels, images, s.tiling)
+    cut = tiling.tile_polygons(labels, images, s.tiling, wanted=["tile_coords"])
     key = F.concat_ws("_", F.col("image_id").cast("string"), F.col("tx").cast("string"), F.col("ty").cast("string"))
     return tiles, cut.select(key.alias("image_id"), "class_id", F.col("tile_coords").alias("coords"))
 
