@@ -9,6 +9,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from quadrat.functions.parts import halved
 
@@ -171,6 +173,42 @@ def _listed(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.stack([x, y], axis=2)[there].ravel()))
 
 
+def _tables(coords: pa.Array, w: np.ndarray, h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of flat ``coords`` with as many points (three or more), and tables of their points times width and height."""
+    values = coords.flatten().to_numpy(zero_copy_only=False)
+    lengths = coords.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    starts, points = np.cumsum(lengths) - lengths, lengths // 2
+    for size in np.unique(points[points >= 3]).tolist():
+        all_rows, many = np.flatnonzero(points == size), max(1, VALUES // size)
+        for begin in range(0, len(all_rows), many):
+            rows = all_rows[begin : begin + many]
+            at = starts[rows][:, None] + 2 * np.arange(size)
+            yield rows, values[at] * w[rows][:, None], values[at + 1] * h[rows][:, None]
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).astype(float)
+
+
+def pixel_area(coords: Column, width: Column, height: Column) -> Column:
+    """As ``geometry.pixel_area``, in batches: an expression over it leaves ``coords`` computed once."""
+
+    @F.arrow_udf("double")
+    def area(coords: pa.Array, w: pa.Array, h: pa.Array) -> pa.Array:
+        out = np.zeros(len(coords))
+        for rows, x, y in _tables(coords, _numbers(w), _numbers(h)):
+            out[rows] = areas(x, y, np.full(len(rows), x.shape[1]))
+        flat = coords.flatten()
+        unknown = np.zeros(len(coords), bool)
+        if flat.null_count or w.null_count or h.null_count:
+            owner = np.repeat(np.arange(len(coords)), coords.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            unknown[owner[flat.is_null().to_numpy(zero_copy_only=False)]] = True
+            unknown |= (w.is_null().to_numpy(zero_copy_only=False) | h.is_null().to_numpy(zero_copy_only=False))
+        return pa.array(out, mask=unknown)
+
+    return area(coords.cast("array<double>"), width, height)
+
+
 def cut(batches: Iterator[pa.RecordBatch], t, names: Sequence[str], wanted: Sequence[str]) -> Iterator[pa.RecordBatch]:
     """Rows of ``coords, _w, _h`` and ``names`` by tile: ``names, tx, ty, part_no, inside`` and those of ``part`` and
     ``tile_coords`` that are ``wanted``. ``t``: a ``Tiling``."""
@@ -233,21 +271,11 @@ def cut(batches: Iterator[pa.RecordBatch], t, names: Sequence[str], wanted: Sequ
                 yield out(batch, rows[q[own]], tx[some[own]], ty[some[own]], part_no[kept], inside[kept], px[kept], py[kept], n[kept])
 
     for batch in batches:
-        coords = batch.column("coords")
-        values = coords.flatten().to_numpy(zero_copy_only=False)
-        lengths = coords.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        starts, points = np.cumsum(lengths) - lengths, lengths // 2
-        w, h = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("_w", "_h"))
-        usable = (points >= 3) & np.isfinite(w) & np.isfinite(h)
-        for size in np.unique(points[usable]).tolist():
-            all_rows = np.flatnonzero(usable & (points == size))
-            many = max(1, VALUES // size)
-            for begin in range(0, len(all_rows), many):
-                rows = all_rows[begin : begin + many]
-                at = starts[rows][:, None] + 2 * np.arange(size)
-                x, y = np.rint(values[at] * w[rows][:, None]), np.rint(values[at + 1] * h[rows][:, None])
-                good = np.isfinite(x).all(axis=1) & np.isfinite(y).all(axis=1)
-                rows, x, y = rows[good], x[good], y[good]
-                good = simple(x, y)
-                rows, x, y = rows[good], x[good], y[good]
-                yield from of(batch, rows, x, y, w[rows], h[rows])
+        w, h = (_numbers(batch.column(c)) for c in ("_w", "_h"))
+        for rows, x, y in _tables(batch.column("coords"), w, h):
+            x, y = np.rint(x), np.rint(y)
+            good = np.isfinite(x).all(axis=1) & np.isfinite(y).all(axis=1)
+            rows, x, y = rows[good], x[good], y[good]
+            good = simple(x, y)
+            rows, x, y = rows[good], x[good], y[good]
+            yield from of(batch, rows, x, y, w[rows], h[rows])

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from quadrat.session import ranked_by_key, ranked_randomly
+from quadrat.session import md5_order, ranked_by_key, ranked_randomly, stored
 
 
 def count_by_field(df: DataFrame, field: str) -> DataFrame:
@@ -39,21 +40,38 @@ def balance(df: DataFrame) -> DataFrame:
     )
 
 
+#: Hex digits of a random order by which rows are counted before any is ranked.
+_DIGITS = 3
+
+
 def balance_sample(df: DataFrame, key: str, seed: int = 42, preserve_all_non_empty: bool = False, by: str = "split") -> DataFrame:
     """Images so that states are even in each split: a random part of the larger side goes. Splits without a non-empty
-    image are left out; without an empty one, all stay. Ranks are taken in hash buckets, so no split is sorted in one
-    task."""
-    rows = df.where(F.col("state").isin("non_empty", "empty"))
-    sizes = rows.groupBy(by).agg(
-        F.count_if(F.col("state") == "non_empty").alias("_ne"), F.count_if(F.col("state") == "empty").alias("_em")
-    )
-    ranks = ranked_randomly(rows, seed, key, "_rn", [by, "state"])
-    joined = ranks.join(sizes, ranks[by].eqNullSafe(sizes[by])).drop(sizes[by])
+    image are left out; without an empty one, all stay.
+
+    The rows are counted by the first digits of their random order. Those counts tell in which of these buckets the last
+    row of a side lies that stays; what lies before it stays unranked, and that bucket alone is ranked. The input is
+    computed once."""
+    order = md5_order(seed, key)
+    rows = stored(df.where(F.col("state").isin("non_empty", "empty")).withColumn("_bucket", F.substring(order, 1, _DIGITS)))
+    counts = stored(rows.groupBy(by, "state", "_bucket").agg(F.count("*").alias("_n")))
+    total = lambda state: F.sum(F.when(F.col("state") == state, F.col("_n")).otherwise(0))
+    sizes = counts.groupBy(by).agg(total("non_empty").alias("_ne"), total("empty").alias("_em"))
     low = F.least("_ne", "_em")
     quota = F.when(F.col("_em") == 0, F.col("_ne")).when(
         F.lit(preserve_all_non_empty), F.when(F.col("state") == "non_empty", F.col("_ne")).otherwise(low)
     ).otherwise(low)
-    return joined.where((F.col("_ne") > 0) & (F.col("_rn") <= quota)).drop("_rn", "_ne", "_em")
+    upto = F.sum("_n").over(Window.partitionBy(by, "state").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0))
+    placed = counts.withColumn("_upto", upto).join(sizes, counts[by].eqNullSafe(sizes[by])).drop(sizes[by])
+    placed = placed.where("_ne > 0").withColumn("_quota", quota).where(F.col("_upto") - F.col("_n") < F.col("_quota"))
+    # of each side, the bucket that the quota ends in, and how many of its rows stay
+    last = F.max_by(F.struct("_bucket", (F.col("_quota") - F.col("_upto") + F.col("_n")).alias("room"), "_n"), "_bucket")
+    ends = stored(placed.groupBy(by, "state").agg(last.alias("_e")).select(by, "state", F.col("_e._bucket").alias("_last"), "_e.room", F.col("_e._n").alias("_all")))
+    few = F.broadcast(ends) if ends.count() <= 10_000 else ends
+    joined = rows.join(few, rows[by].eqNullSafe(few[by]) & (rows["state"] == few["state"])).drop(few[by], few["state"])
+    before = joined.where((F.col("_bucket") < F.col("_last")) | (F.col("_bucket") == F.col("_last")) & (F.col("room") >= F.col("_all")))
+    edge = joined.where((F.col("_bucket") == F.col("_last")) & (F.col("room") < F.col("_all")))
+    edge = edge.withColumn("_rn", F.row_number().over(Window.partitionBy(by, "state").orderBy(order, key))).where("_rn <= room")
+    return before.select(*df.columns).unionByName(edge.select(*df.columns))
 
 
 def every_nth(df: DataFrame, key: str, n: int, start: int = 0) -> DataFrame:

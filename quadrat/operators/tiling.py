@@ -48,12 +48,12 @@ def _starts(size: Column, tile: int, t: Tiling) -> Column:
     return F.when(n > 0, starts).otherwise(F.array().cast("array<int>"))
 
 
-def tiles(images: DataFrame, t: Tiling = Tiling()) -> DataFrame:
-    """``image_id, x0, x1, y0, y1`` of every tile."""
-    xs = images.select("image_id", "height", F.explode(_starts(F.col("width"), t.width, t)).alias("x0"))
-    both = xs.select("image_id", "x0", F.explode(_starts(F.col("height"), t.height, t)).alias("y0"))
+def tiles(images: DataFrame, t: Tiling = Tiling(), keep: Sequence[str] = ()) -> DataFrame:
+    """``image_id, x0, x1, y0, y1`` of every tile. ``keep``: columns of the images that stay."""
+    xs = images.select("image_id", *keep, "height", F.explode(_starts(F.col("width"), t.width, t)).alias("x0"))
+    both = xs.select("image_id", *keep, "x0", F.explode(_starts(F.col("height"), t.height, t)).alias("y0"))
     return both.select(
-        "image_id", "x0", (F.col("x0") + t.width).alias("x1"), "y0", (F.col("y0") + t.height).alias("y1")
+        "image_id", *keep, "x0", (F.col("x0") + t.width).alias("x1"), "y0", (F.col("y0") + t.height).alias("y1")
     )
 
 

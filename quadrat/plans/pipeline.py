@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrat.functions import geometry as G
+from quadrat.functions import cuts
 from quadrat.operators import areas, counting, splitting, tiling
 from quadrat.session import stored
 
@@ -59,9 +59,9 @@ State = tuple[DataFrame, DataFrame]  # images (image_id, width, height, split, .
 def _filter(state: State, s: Settings) -> State:
     images, labels = state
     spark = images.sparkSession
-    thresholds = spark.createDataFrame(list(enumerate(map(float, s.min_areas))), "class_id int, min_area double")
+    thresholds = F.broadcast(spark.createDataFrame(list(enumerate(map(float, s.min_areas))), "class_id int, min_area double"))  # settings
     sized = labels.join(images.select("image_id", "width", "height"), "image_id")
-    sized = sized.withColumn("area", G.pixel_area(F.col("coords"), F.col("width"), F.col("height")))
+    sized = sized.withColumn("area", cuts.pixel_area(F.col("coords"), F.col("width"), F.col("height")))
     judged = areas.filter_small(sized, thresholds, "area", F.size("coords") + 1)
     return images, judged.where("kept").select(*labels.columns)
 
@@ -79,7 +79,7 @@ def _patch(state: State, s: Settings) -> State:
     """Images become tiles; a tile's id is image, x and y."""
     images, labels = state
     name = F.concat_ws("_", F.col("image_id").cast("string"), F.col("x0").cast("string"), F.col("y0").cast("string"))
-    grid = tiling.tiles(images, s.tiling).join(images.drop("width", "height"), "image_id")
+    grid = tiling.tiles(images, s.tiling, [c for c in images.columns if c not in ("image_id", "width", "height")])
     tiles = grid.withColumn("image_id", name).withColumns({"width": F.lit(s.tiling.width), "height": F.lit(s.tiling.height)})
     cut = tiling.tile_polygons(labels, images, s.tiling, wanted=["tile_coords"])
     key = F.concat_ws("_", F.col("image_id").cast("string"), F.col("tx").cast("string"), F.col("ty").cast("string"))
@@ -91,8 +91,7 @@ def _balance(state: State, s: Settings) -> State:
     labels = stored(labels)  # used twice, and costly after patching
     used = labels.select("image_id").distinct().withColumn("_used", F.lit(True))
     stated = images.join(used, "image_id", "left").withColumn("state", F.when(F.col("_used"), "non_empty").otherwise("empty")).drop("_used")
-    stated = stored(stated)
-    kept = counting.balance_sample(stated, "image_id", s.seed, s.preserve_all_non_empty).drop("state")
+    kept = stored(counting.balance_sample(stated, "image_id", s.seed, s.preserve_all_non_empty).drop("state"))  # used twice
     return kept, labels.join(kept.select("image_id"), "image_id", "left_semi")
 
 
