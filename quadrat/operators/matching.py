@@ -244,11 +244,45 @@ def _thinned(preds: DataFrame, key: str, threshold: float, same_class: bool) ->
     return out.select("image_id", F.col("m.k").alias(key), (-F.col("m.o")).alias("conf"))
 
 
-def first_overlaps(boxes: DataFrame, key: str, by: str = "image_id") -> DataFrame:
+def first_overlaps(boxes: DataFrame, key: str, by: str = "image_id", fold: int = FOLD) -> DataFrame:
     """Boxes of an image joined in pairs: each free box, in the order of ``key``, with the first free one after it that it
     meets. ``by, key, other`` (null for a box that stays alone) and the box around both, the class of the more confident
-    one (of the second if equal), the mean confidence. Keys are different in all boxes of an image."""
-    once = stored(boxes.select(by, key, "class_id", "conf", *grid.BOX))
+    one (of the second if equal), the mean confidence. Keys are different in all boxes of an image.
+
+    Images with at most ``fold`` pairs of boxes are folded in the JVM, so that a box moves once; the boxes of others are
+    joined on cells of a grid and their pairs chosen in rounds."""
+    rows = boxes.select(by, key, "class_id", "conf", *grid.BOX)
+    large = stored(rows.groupBy(by).agg(F.count("*").alias("n")).where(F.col("n") * (F.col("n") - 1) / 2 > fold).select(by))
+    if large.isEmpty():
+        return _first_folded(rows, key, by)
+    of_large = rows[by].eqNullSafe(large[by])
+    many = _first_in_rounds(stored(rows.join(large, of_large, "left_semi")), key, by)
+    return _first_folded(rows.join(large, of_large, "left_anti"), key, by).unionByName(many)
+
+
+def _first_folded(rows: DataFrame, key: str, by: str) -> DataFrame:
+    grouped = rows.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), "class_id", "conf", *grid.BOX))).alias("_c"))
+    indexes = F.sequence(F.lit(0), F.size("_c") - 1)
+
+    def take(acc, i):
+        a = F.get("_c", i)
+        free = lambda j: ~F.exists(acc, lambda m: m["j"] == j)
+        other = F.filter(indexes, lambda j: (j > i) & G.overlaps(a, F.get("_c", j)) & free(j) & F.col(by).isNotNull())
+        return F.when(free(i), F.concat(acc, F.array(F.struct(i.alias("i"), F.coalesce(F.get(other, F.lit(0)), F.lit(-1)).alias("j"))))).otherwise(acc)
+
+    # never empty; the plain form would be computed a second time, to see that
+    pairs = grouped.select(by, "_c", F.explode_outer(F.aggregate(indexes, F.array().cast("array<struct<i:int,j:int>>"), take)).alias("m"))
+    both = pairs.select(by, F.get("_c", F.col("m.i")).alias("a"), F.get("_c", F.col("m.j")).alias("b"))
+    two, of = F.col("b").isNotNull(), lambda f: [f(f"a.{c}", f"b.{c}").alias(c) for c in (grid.BOX[:2] if f is F.least else grid.BOX[2:])]
+    return both.select(
+        by, F.col("a.k").alias(key), F.col("b.k").alias("other"),
+        F.when(two & ~F.coalesce(F.col("a.conf") > F.col("b.conf"), F.lit(False)), F.col("b.class_id")).otherwise(F.col("a.class_id")).alias("class_id"),
+        F.when(two, (F.col("a.conf") + F.col("b.conf")) / 2).otherwise(F.col("a.conf")).alias("conf"), *of(F.least), *of(F.greatest),
+    )
+
+
+def _first_in_rounds(once: DataFrame, key: str, by: str) -> DataFrame:
+    """``once``: a stored table."""
     pairs = grid.meeting(once, once, by, grid.crowded(once, once, by, whole=0)).where(F.col(f"a.{key}") < F.col(f"b.{key}"))
     pairs = stored(pairs.select(by, F.col(f"a.{key}").alias(key), F.col(f"b.{key}").alias("other")))
     taken = greedy_edges(pairs, by, key, "other", [key, "other"], shared=True)
