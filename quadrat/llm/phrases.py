@@ -22,12 +22,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -35,7 +36,7 @@ from quadrat.llm.common import rows_of, stored, tune, utf8
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Bytes of text that a row of a relation is made from, and that are worked on at once.
-SLICE = 1 << 20
+SLICE = 1 << 18
 #: Places between two pieces, over LONGEST.
 JUMP = 8
 #: Bytes from which a word is hashed by itself.
@@ -255,27 +256,30 @@ def _one(values: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
 
 
-def _row(lang: str, first: int, p1: np.ndarray, i1: np.ndarray, p: np.ndarray, i: np.ndarray, seen: list[dict]) -> pa.RecordBatch:
+def _row(lang: str, first: int, p1: np.ndarray, i1: np.ndarray, p: np.ndarray, i: np.ndarray, seen: tuple[np.ndarray, ...]) -> pa.RecordBatch:
     columns = [pa.array([lang]), pa.array([first], pa.int32())]
     for places, items in ((p1, i1), (p, i)):
         columns += [_one(_gaps(places), pa.int32()), _one(items.view(np.int64), pa.int64())]
-    return pa.RecordBatch.from_arrays([*columns, pa.array([seen], _SEEN)], _NAMES)
+    structs = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in seen], fields=list(_SEEN.value_type))
+    columns.append(pa.ListArray.from_arrays(pa.array([0, len(structs)], pa.int32()), structs))
+    return pa.RecordBatch.from_arrays(columns, _NAMES)
 
 
 class _Seen:
     """Which names a task has met, forgotten when they are many."""
 
     def __init__(self):
-        self.names: set[int] = set()
+        self.names = np.zeros(0, np.int64)  # sorted
 
-    def new(self, names: np.ndarray) -> list[tuple[int, int]]:
-        """(place in ``names``, name) of the first of each name that is new."""
-        some, at = np.unique(names, return_index=True)
-        out = [(i, x) for i, x in zip(at.tolist(), some.view(np.int64).tolist()) if x not in self.names]
-        if len(self.names) > HELD:
-            self.names.clear()
-        self.names.update(x for _, x in out)
-        return out
+    def new(self, names: np.ndarray) -> np.ndarray:
+        """Places in ``names`` of the first of each name that is new."""
+        some, at = np.unique(names.view(np.int64), return_index=True)
+        place = np.searchsorted(self.names, some)
+        fresh = np.append(self.names, 0)[place] != some if len(self.names) else np.ones(len(some), bool)
+        fresh |= place == len(self.names)
+        kept = np.zeros(0, np.int64) if len(self.names) > HELD else self.names
+        self.names = np.sort(np.concatenate((kept, some[fresh])))
+        return at[fresh]
 
 
 def _first_relation(table):
@@ -287,7 +291,7 @@ def _first_relation(table):
                 kept = np.flatnonzero(Frequent.has(table.value, names))
                 if len(kept):
                     places, names, starts = (x[kept] for x in (places, names, starts))
-                    yield _row(lang, int((starts < border).sum()), places, names, none, none.view(np.uint64), [])
+                    yield _row(lang, int((starts < border).sum()), places, names, none, none.view(np.uint64), (none, none, none))
 
     return build
 
@@ -328,7 +332,8 @@ def _next_relation(k: int, table):
             here, there, names = here[kept], there[kept], names[kept]
             mine = _asked(names)
             prefix, last = i[here[mine]].view(np.int64), i1[there[mine]].view(np.int64)
-            new = [{"name": x, "prefix": int(prefix[j]), "last": int(last[j])} for j, x in seen.new(names[mine])]
+            at = seen.new(names[mine])
+            new = names[mine][at].view(np.int64), prefix[at], last[at]
             # of R1, only what a phrase may still reach
             reach = np.zeros(len(p1), bool)
             for more in range(k + 1, LONGEST):
@@ -356,9 +361,8 @@ def _rest(k: int, table):
             here, there = _merge_join(p, p1, k)
             names = _extended(i[here], i1[there])
             kept = np.flatnonzero(Frequent.has(table.value, names))
-            new = seen.new(names[kept])
-            at = kept[np.array([j for j, _ in new], np.int64)]
-            columns = [pa.array([lang] * len(new), pa.string()), *(pa.array(x.view(np.int64)) for x in (names[at], i[here[at]], i1[there[at]]))]
+            at = kept[seen.new(names[kept])]
+            columns = [pa.array([lang] * len(at), pa.string()), *(pa.array(x.view(np.int64)) for x in (names[at], i[here[at]], i1[there[at]]))]
             yield pa.RecordBatch.from_arrays(columns, ["lang", "name", "prefix", "last"])
 
     return find
@@ -370,6 +374,27 @@ def _frequent(counts: DataFrame, least: int) -> DataFrame:
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """(lang, n) of all languages, and (lang, phrase, size, f) of the phrases of up to five words that are frequent."""
+    with _few_rows_at_once(docs.sparkSession):
+        return _frequent_phrases(docs, least)
+
+
+#: Stored rows that a task decodes at once. A row of a relation may take 16 times the bytes of its slice.
+_AT_ONCE = 32
+
+
+@contextmanager
+def _few_rows_at_once(spark: SparkSession) -> Iterator[None]:
+    """Relations are read in actions inside this block: Spark would decode 4096 of their rows at once."""
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    former = spark.conf.get(name)
+    spark.conf.set(name, str(_AT_ONCE))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, former)
+
+
+def _frequent_phrases(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     own = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), utf8("text").alias("body"))
     tally = own.mapInArrow(_count_words, _WORDS).groupBy("lang", "name").agg(F.sum("n").alias("n"), F.first("word").alias("word"))
     tally = stored(tally.where(F.col("name").isNull() | (F.col("n") >= least)))
