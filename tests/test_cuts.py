@@ -82,3 +82,12 @@ def test_queries_cut_in_batches(spark):
 
     plan = QUERIES["tile_polygon_labels"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "aggregate(" not in plan
+
+
+def test_concave_labels_are_cut_in_batches(spark):
+    """Each part of a label with a notch, without a function that is called for one row after the other."""
+    from quadrat.plans import catalogue_masks  # noqa: F401  adds to the table
+    from quadrat.plans.catalogue import QUERIES
+
+    plan = QUERIES["tile_concave_labels"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan and "aggregate(" not in plan
